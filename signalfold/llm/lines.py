@@ -33,7 +33,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     keys = F.array_distinct(F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= max(min_chars, 1)))
     if min_chars <= 0:
         keys = F.array_distinct(F.transform(lines, line_key))
-    pairs = rows.select("doc_id", F.explode(F.transform(keys, key_hash)).alias("h")).distinct()
+    pairs = rows.select("doc_id", F.explode_outer(F.transform(keys, key_hash)).alias("h")).where("h IS NOT NULL").distinct()
     pairs = staged(pairs, "line-keys")
     frequent = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
     drops = pairs.join(frequent, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("drops"))
