@@ -60,3 +60,25 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, max_rows: int = 200_000) -> DataFrame:
     """Broadcast right only if a count proves that it has max_rows rows at most; a shuffled join otherwise."""
     return left.join(F.broadcast(right) if small_enough(right, max_rows) else right, on, how)
+
+
+class Kept:
+    """A bounded store of computed values: entries unused for a while go first, half the store at a time."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = max(size // 2, 1), {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of keys that must be computed; the others are in `young` from now on."""
+        young = self.young
+        lost = [k for k in keys if k not in young]
+        if len(young) + len(lost) > self.half:
+            self.old, self.young = young, {}
+            young, lost = self.young, list(keys)
+        old, new = self.old, []
+        for k in lost:
+            if k in old:
+                young[k] = old[k]
+            else:
+                new.append(k)
+        return new

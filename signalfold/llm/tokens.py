@@ -12,16 +12,18 @@ Each block starts a new word, and each document's number of ids gives its offset
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import LOWER_BYTES, Kept, new_path, staged
 
 #: Ids a word, by selector; 60 // count bits each.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -103,36 +105,66 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+#: A comma or full stop after a letter and before white space is always a token of its own.
+MARKS = re.compile(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0D]|\Z)")
+
+
 class WordEncoder:
     """Ids of texts; white space separates what this tokenizer encodes, so ids of white-space-free pieces are kept.
 
-    At most `kept` pieces of at most 64 bytes each are kept; when full, the store starts anew.
+    The tokenizer lower-cases, so A-Z is lower-cased first unless the text may spell a special token. At most `kept`
+    pieces of at most 64 bytes each are kept.
     """
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept, self.known = kept, {}
+        self.known = Kept(kept)
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for n, i in names.items() if n.endswith("</w>")]] = True
+
+    def pieces(self, text: str) -> list[bytes]:
+        data = text.encode("utf-8", "surrogatepass")
+        if b"<|" not in data:
+            data = MARKS.sub(rb" \g<0>", data.translate(LOWER_BYTES))
+        return data.split()
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
-        pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = {w for p in pieces for w in p} - self.known.keys()
-        if len(self.known) + len(new) > self.kept:
-            self.known, new = {}, {w for p in pieces for w in p}
-        extra: dict[bytes, bytes] = {}
-        order = list(new)
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded, strict=True):
-                (self.known if len(w) <= 64 else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            both = self.known | extra
-            return [b"".join([both[w] for w in p]) for p in pieces]
-        known = self.known
-        return [b"".join([known[w] for w in p]) for p in pieces]
+        pieces = [self.pieces(t) for t in texts]
+        order = self.known.missing({w for p in pieces for w in p})
+        plain, other = [], []
+        for w in order:
+            t = w.decode("utf-8", "replace")
+            (plain if len(w) <= 64 and t.isalpha() else other).append((w, t))
+        for i in range(0, len(plain), 2048):
+            part = plain[i : i + 2048]
+            # letters alone make one word, and the last token of a word is known by its id
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                other += part
+                continue
+            data, at = ids.tobytes(), 0
+            for (w, _), end in zip(part, (4 * ends).tolist(), strict=True):
+                self.known.young[w] = data[at:end]
+                at = end
+        long: dict[bytes, bytes] = {}
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
+            coded = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+            for (w, _), e in zip(part, coded, strict=True):
+                (self.known.young if len(w) <= 64 else long)[w] = np.array(e.ids, "<u4").tobytes()
+        get = (self.known.young | long if long else self.known.young).__getitem__
+        return [b"".join(map(get, p)) for p in pieces]
+
+
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    return WordEncoder(path)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -144,7 +176,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer), TaskContext.get().partitionId()
         names: list[int | None] = []
         codes: list[bytes] = []
         held = 0
@@ -163,7 +195,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids
             for i in range(0, b.num_rows, 64):
                 few = b.slice(i, 64)
                 texts = [t or "" for t in few.column(1).to_pylist()]
-                for name, code in zip(few.column(0).to_pylist(), encoder.texts(texts), strict=True):
+                for name, code in zip(few.column(0).to_pylist(), coder.texts(texts), strict=True):
                     names.append(name)
                     codes.append(code + end)
                     held += len(code) // 4 + 1
@@ -226,8 +258,6 @@ def read(spark, path: str) -> DataFrame:
 
 def with_starts(rows: DataFrame) -> DataFrame:
     """read()'s rows with starts counted over all files."""
-    from pyspark.sql import Window
-
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("part", F.coalesce(before, F.lit(0).cast("long")).alias("before"))
@@ -236,8 +266,6 @@ def with_starts(rows: DataFrame) -> DataFrame:
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None, **options) -> DataFrame:
     """write() to path (a new one in the shared folder if none is given), then read() with starts over all files."""
-    from .common import staged
-
     spark = docs.sparkSession
     path = path or new_path(spark, "token-ids")
     write(docs, path, tokenizer, end_id, **options)

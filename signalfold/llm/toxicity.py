@@ -9,6 +9,7 @@ document teach.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Kept
+
 EDGES = ".,;:!?\"'()[]{}<>*-_…¡¿«»"
 
 
@@ -76,28 +79,25 @@ class Model:
 class Scorer:
     """Scores texts with a model's effects. The softmax is linear in the mean, so each word needs one number.
 
-    At most `kept` of them are kept; when full, the store starts anew. A text without words scores as the prior.
+    At most `kept` of them are kept. A text without words scores as the prior.
     """
 
-    def __init__(self, effect: np.ndarray, offset: float, passage: int, prior: float, kept: int = 400_000):
-        self.effect, self.offset, self.passage, self.prior, self.kept, self.known = effect, offset, passage, prior, kept, {}
+    def __init__(self, effect: np.ndarray, offset: float, passage: int, prior: float, kept: int = 600_000):
+        self.effect, self.offset, self.passage, self.prior, self.known = effect, offset, passage, prior, Kept(kept)
 
     def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
             sub, at = subwords(part, len(self.effect))
             mean = np.add.reduceat(self.effect[sub].astype(np.float64), at[:-1]) / np.diff(at)
-            self.known.update(zip(part, mean.tolist(), strict=True))
+            self.known.young.update(zip(part, mean.tolist(), strict=True))
 
     def scores(self, texts: list[str | None]) -> list[float]:
         out = []
         for i in range(0, len(texts), 64):
             lists = [words_of(t) for t in texts[i : i + 64]]
-            new = {w for x in lists for w in x} - self.known.keys()
-            if len(self.known) + len(new) > self.kept:
-                self.known, new = {}, {w for x in lists for w in x}
-            self.learn(list(new))
-            get = self.known.__getitem__
+            self.learn(self.known.missing({w for x in lists for w in x}))
+            get = self.known.young.__getitem__
             for words in lists:
                 if not words:
                     out.append(self.prior)
@@ -134,7 +134,11 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
     prior = (float(truth.mean()) if len(truth) else 0.0) if prior is None else prior
     if not docs:
         return Model(emb, w, bias, passage, prior)
-    flat, at = subwords(list(ids), buckets)
+    names = list(ids)
+    parts = [subwords(names[i : i + 5000], buckets) for i in range(0, len(names), 5000)]
+    flat = np.concatenate([f for f, _ in parts])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
+    del ids, names, parts
     starts = [passage_starts(len(d), passage) for d in docs]
     owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
     first = np.concatenate(starts)
@@ -195,7 +199,7 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, max_chars: int = 40_000, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
     """Train on at most max_rows labelled documents of each class (lowest hashed ids), none held out.
 
     Texts over max_chars and null texts don't teach; so the driver holds 2 * max_rows * max_chars characters at most.
@@ -208,11 +212,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, max_chars: int
     few = [known.where(F.col("toxic") == t).orderBy(*order).limit(max_rows) for t in (0, 1)]
     few = F.broadcast(few[0].unionAll(few[1]))  # 2 * max_rows rows at most
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") <= max_chars)
-    rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in texts.join(few, "doc_id").collect())
+    rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in texts.join(few, "doc_id").toLocalIterator())
     prior = counts.get(1, 0) / max(sum(counts.values()), 1)
     return train([t for _, _, t in rows], [y for _, y, _ in rows], prior=min(max(prior, 0.05), 0.95), **options)
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, sent) -> Scorer:
+    """One for all tasks of a Python worker that use this model."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(*sent.value)
+    return _SCORERS[name]
+
+
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 for each row; null, empty and blank texts get the prior share of label 1.
 
@@ -221,9 +236,11 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.effect, model.offset, model.passage, model.prior))
 
+    name = uuid.uuid4().hex
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(*sent.value)
+        scorer = _scorer(name, sent)
         for b in batches:
             yield pd.Series(scorer.scores(b.tolist()), dtype="float64")
 
