@@ -19,7 +19,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = _mark(edges)
     if before[0] == 0:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return _stars(edges)
     for _ in range(max_rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -32,11 +32,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(edges)
         edges, after = new, _mark(new)
         if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return _stars(edges)
         before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], int(row[1] or 0)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, lmscore, mixing, simhash, tokens, toxicity
+from . import ann, chat, decontam, lmscore, mixing, simhash, substring, tokens, toxicity
+from .common import staged
 from .lines import drop_frequent_lines
 
 
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.rendered(chat.repaired(table(spark, sf_dir, "conversations")))
+    return rows.select("conv_id", "turn", "seq", "action", "role", F.size("inserted").alias("n_inserted"), F.size("closing").alias("n_closing"), F.sha2(F.col("chunk").cast("binary"), 256).alias("chunk_sha256"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return lmscore.scores(table(spark, sf_dir, "documents"), good)
@@ -46,6 +52,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeated_passages(table(spark, sf_dir, "documents"), least_words=50, similarity=0.8)
+    return substring.passage_classes(staged(found, "repeated-passages"))
+
+
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
@@ -81,6 +92,6 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_nearest_vectors, op4_toxicity, op5_simhash, op6_token_ids, op7_decontamination, op9_lm_scoring, op10_line_dedup)
+    f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_nearest_vectors, op4_toxicity, op5_simhash, op6_token_ids, op7_decontamination, op8_chat_formatting, op9_lm_scoring, op10_line_dedup)
 }
 ORACLE: dict[str, str] = {"op10_line_dedup": OP10_SQL}
