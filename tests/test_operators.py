@@ -1,0 +1,53 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from signalfold.operators import fit, ranking, reports, resolve, scoring, signals, state
+
+
+def test_merge_is_in_order(spark):
+    rows = [(1, "a", None), (2, "a", "a.com"), (3, "a", "b.com"), (4, "c", "a.com"), (5, "c", None), (6, "d", None)]
+    got = {r["seq"]: r["key"] for r in resolve.merge_companies(spark.createDataFrame(rows, "seq long, name string, domain string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1, 6: 6}
+
+
+def test_greedy_selection_counts_only_what_it_took(spark):
+    rows = [("x", "A", "p", 1), ("x", "B", "p", 2), ("x", "B", "q", 3)]
+    df = spark.createDataFrame(rows, "client string, company string, person string, pos long")
+    got = {r["pos"] for r in ranking.select_greedy(df, "client", ["pos"], "company", ["person"], 10, df.schema).collect()}
+    assert got == {1, 3}
+
+
+def test_unknown_is_neither_pass_nor_fail(spark):
+    df = spark.createDataFrame([(None,), (5,), (50,)], "n int")
+    got = [r[0] for r in df.select(fit.size_fit(F.col("n"), 10, None)).collect()]
+    assert got == [None, False, True]
+    assert [r[0] for r in df.select(fit.reject_reason([(fit.size_fit(F.col("n"), 10, None), "size")])).collect()] == [None, "size", None]
+    assert df.limit(1).select(scoring.fit_credit(fit.size_fit(F.lit(None).cast("int"), 1, 2))).first()[0] == 0.5
+
+
+def test_total_rounds_half_to_even(spark):
+    assert spark.range(1).select(scoring.total(F.lit(62.5))).first()[0] == 62
+
+
+def test_repeats_after_a_week(spark):
+    d = dt.date(2024, 1, 1)
+    rows = spark.createDataFrame([("a", d, 1), ("a", d + dt.timedelta(6), 2), ("a", d + dt.timedelta(13), 3)], "k string, day date, ident int")
+    assert [r["repeat"] for r in signals.repeats(rows, ["k"], "day", "ident").orderBy("ident").collect()] == [False, False, True]
+
+
+def test_upsert_and_stages(spark, tmp_path):
+    table = state.StateTable(spark, f"file://{tmp_path}/leads", ["k"], "at")
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v string, at int")
+    assert table.read() is None
+    table.merge(rows(("a", "one", 1), ("b", "one", 1)))
+    got = {r["k"]: r["v"] for r in table.merge(rows(("a", "two", 1), ("c", "two", 2))).collect()}
+    assert got == {"a": "two", "b": "one", "c": "two"}
+    events = spark.createDataFrame([("x", "exported", 1), ("x", "found", 2), ("y", "won", 1), ("y", "lost", 2)], "k string, s string, at int")
+    assert {r["k"]: r["stage"] for r in state.forward_only(events, "k", "s", "at").collect()} == {"x": "exported", "y": "lost"}
+
+
+def test_funnel_and_zeros(spark):
+    got = reports.funnel(spark.createDataFrame([(0,), (1,), (1,)], "r int"), F.col("r"), ["a", "b", "c"]).collect()
+    assert [(r["n"], r["rate"]) for r in got] == [(3, None), (2, 0.6667), (0, 0.0)]
+    assert {r["s"]: r["n"] for r in reports.counts_with_zeros(spark.createDataFrame([("a",)], "s string"), "s", ["a", "b"]).collect()} == {"a": 1, "b": 0}
