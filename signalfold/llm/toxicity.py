@@ -121,8 +121,11 @@ def passage_means(values: np.ndarray, passage: int) -> np.ndarray:
     return (total[ends] - total[starts]) / (ends - starts)
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int = 8, passage: int = 16, rounds: int = 20, rate: float = 0.3, batch: int = 256, prior: float | None = None, seed: int = 11) -> Model:
-    """Fit embeddings and softmax jointly by Adagrad on the passages of the texts; prior is the share of label 1."""
+def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int = 8, passage: int = 16, rounds: int = 20, steps: int = 600, rate: float = 0.3, batch: int = 256, prior: float | None = None, seed: int = 11) -> Model:
+    """Fit embeddings and softmax jointly by Adagrad on the passages of the texts; prior is the share of label 1.
+
+    It makes `rounds` passes or more, until `steps` batches have taught.
+    """
     rng = np.random.default_rng(seed)
     ids: dict[str, int] = {}
     docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int32) for t in texts]
@@ -173,7 +176,10 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
             past += (grad * grad).astype(np.float32)
             value -= (0.3 * rate * grad / np.sqrt(past)).astype(np.float32)
 
-    for r in range(rounds):
+    done = 0
+    for r in range(rounds + steps):
+        if r >= rounds and done >= steps:
+            break
         if r == 0:  # a few passages of each document
             order, low = rng.permutation(len(first)), 8
         else:  # those that decide: the highest of a document and, in clean ones, all that look toxic
@@ -191,6 +197,7 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
         rng.shuffle(chosen)
         for i in range(0, len(chosen), batch):
             step(chosen[i : i + batch])
+            done += 1
     return Model(emb, w, bias, passage, prior)
 
 

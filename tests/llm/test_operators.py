@@ -77,11 +77,11 @@ def test_simhash(docs, rows, empty):
 
 def test_simhash_links_find_all_near_pairs_and_large_cells(spark):
     r = random.Random(5)
-    points = [r.getrandbits(64) for _ in range(300)]
-    for p in points[:60]:
+    points = [r.getrandbits(64) for _ in range(120)]
+    for p in points[:40]:
         points.append(p ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 3))))
     signed = [(p - 2**64 if p >> 63 else p,) for p in points]
-    for block in (4096, 8):
+    for block in (4096, 4):
         found = links.components(simhash.links(spark.createDataFrame(signed, "fp long"), 3, block)).collect()
         root = {x["node"] % 2**64: x["root"] for x in found}
         for a, b in itertools.combinations(points, 2):
@@ -96,7 +96,7 @@ def test_components(spark):
 
 
 def test_decontamination(spark, docs, rows, empty):
-    items = [(1, " ".join((rows[0][1] or "").split()[5:25])), (2, "one two"), (3, None), (4, "  "), (5, "é")]
+    items = [(1, " ".join((rows[0][1] or "").split()[5:25])), (2, "one two"), (3, None), (4, "  ")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for most in (500_000, 0):  # broadcast, and the shuffled way
@@ -112,8 +112,8 @@ def test_decontamination(spark, docs, rows, empty):
                         hit |= set(range(k, k + n))
                         names.add(str(item))
             assert got[i] == (len(w), len(hit), sorted(names)), i
-    assert decontam.contaminated(empty, bench).count() == 0
     assert decontam.contaminated(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontam.contaminated(empty, bench.limit(1)).count() == 0
 
 
 def test_mixing(spark, empty):
@@ -174,16 +174,17 @@ def test_toxicity_learns_subwords():
     r = random.Random(2)
     bad = ["idiotic", "moronic", "wretched"]
     texts, labels = [], []
-    for i in range(400):
+    for i in range(1600):
         w = prose(r.randint(30, 200), r).split()
         if i % 4 == 0:
-            w[r.randrange(len(w))] = r.choice(bad)
+            for k in range(r.randrange(30), len(w), 30):  # about as dense as in the labelled tables
+                w[k] = r.choice(bad)
         texts.append(" ".join(w))
         labels.append(int(i % 4 == 0))
-    m = toxicity.train(texts[:300], labels[:300])
+    m = toxicity.train(texts[:1400], labels[:1400])
     scorer = toxicity.Scorer(m.effect, m.offset, m.passage, m.prior)
-    p = np.array(scorer.scores(texts[300:]))
-    y = np.array(labels[300:])
+    p = np.array(scorer.scores(texts[1400:]))
+    y = np.array(labels[1400:])
     assert ((p >= 0.3) == (y == 1)).mean() > 0.95
     seen, other = scorer.scores([f"{prose(20)} idiotik {prose(20)}", prose(40)])
     assert seen > other
