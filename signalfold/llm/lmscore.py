@@ -172,7 +172,7 @@ def scores(docs: DataFrame, target_ids: DataFrame, size: int = 1 << 15, least: i
                 b = whole.slice(i, 1024)
                 at, w, before = _bigrams(b.column(1).to_pylist(), known)
                 k = b.num_rows
-                base = np.bincount(at, by_word[w] + by_context[before], k)
+                base = np.bincount(at, by_word[w] + by_context[before], k).astype(float)  # of nothing it is whole numbers
                 n = np.bincount(at, minlength=k)
                 key = before * (v + 2) + w
                 # one row for each shard and document; a document's sums stand in a row of no bigrams
