@@ -1,7 +1,7 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models share one vocabulary: the target model counts the documents of a target set, the background model
-all documents. Both smooth towards their unigrams: p(w|v) = (c(v,w) + mu p(w)) / (c(v) + mu). A document's score is the
+all documents, its counts scaled to the target's total, so that smoothing weighs alike. Both smooth towards their unigrams: p(w|v) = (c(v,w) + mu p(w)) / (c(v) + mu). A document's score is the
 mean over its words of background loss less target loss, in nats: above 0, it looks more like the target.
 
 The vocabulary holds the `size` commonest words (ties by bytes); other words are one unknown word. Bigrams seen less
@@ -145,14 +145,18 @@ def scores(docs: DataFrame, target_ids: DataFrame, size: int = 1 << 15, least: i
     kept = staged(bigram_counts(rows, sent, v).where(F.col("n") >= least), "bigrams")
     sums = {r["v"]: (r["n"], r["t"]) for r in kept.groupBy(F.floor(F.col("key") / F.lit(v + 2)).alias("v")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}  # V + 2 rows at most
     ctx = np.array([sums.get(i, (0, 0)) for i in range(v + 2)], float).T
+    total = float(n_all.sum())
+    matched = n_target.sum() / n_all.sum() if n_target.sum() else 1.0
+    n_all, ctx[0] = n_all * matched, ctx[0] * matched
     uni = [np.log((c + alpha) / (c.sum() + alpha * (v + 1))) for c in (n_all, n_target)]
     tables = spark.sparkContext.broadcast((uni, ctx))
-    shards = max(8, math.ceil(float(n_all.sum()) / words_per_shard))
+    shards = max(8, math.ceil(total / words_per_shard))
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (u_all, u_target), (c_all, c_target) = tables.value
         for b in batches:
             key, n, t = (b.column(i).to_numpy() for i in range(3))
+            n = n * matched
             before, w = key // (v + 2), key % (v + 2)
             gain_t = np.log((t + mu * np.exp(u_target[w])) / (mu * np.exp(u_target[w])))
             gain_n = np.log((n + mu * np.exp(u_all[w])) / (mu * np.exp(u_all[w])))
