@@ -283,3 +283,13 @@ def test_repeated_passages(docs, empty):
 
 def test_items_hash_of_none():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_shared_run_inside_texts_that_differ():
+    rng = np.random.default_rng(5)
+    x, other = (rng.integers(0, 1 << 60, 400).astype(np.uint64) for _ in range(2))
+    y = x.copy()
+    apart = [i for i in range(0, 400, 7) if not 100 <= i < 160]
+    y[apart] = other[apart]
+    found = substring.alike(x, y, 46, 0.8)
+    assert any(i <= 100 and j >= 159 and i == k and j == m and same >= 0.8 for i, j, k, m, same in found)
