@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import dates, matching, text
 from ..operators import fit, ranking, reports, resolve, scoring, signals, state
+from ..sources import files
 
 AS_OF = "2001-08-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,3 +388,21 @@ def usage_by_adapter(spark, sf_dir):
 @query("SELECT o_orderkey, CASE WHEN age = 0 THEN 'posted today' WHEN age = 1 THEN 'posted yesterday' ELSE 'posted ' || CAST(age AS VARCHAR) || ' days ago' END AS phrase FROM (SELECT o_orderkey, greatest(0, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01')) AS age FROM orders)")
 def posted_phrases(spark, sf_dir):
     return order_signals(spark, sf_dir).select(F.col("ident").alias("o_orderkey"), dates.posted_phrase(F.col("age")).alias("phrase"))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(' ' || lower(p_name) || ' ', ' bolts? ') THEN 'bolts' WHEN regexp_matches(' ' || lower(p_name) || ' ', ' widgets? ') THEN 'Widget' WHEN regexp_matches(' ' || lower(p_name) || ' ', ' blue rods? ') THEN 'blue rod' END AS keyword FROM part")
+def keyword_match_plural(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", matching.keyword_match(F.col("p_name"), ["bolts", "Widget", "blue rod"]).alias("keyword"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN lower(p_name) LIKE '%gear%' THEN NULL WHEN lower(p_name) = 'large bolt' THEN 0 WHEN lower(p_name) LIKE '%widget%' THEN 1 WHEN lower(p_name) = 'blue rod' THEN 2 END AS INT) AS title_rank FROM part")
+def title_rank(spark, sf_dir):
+    """Part names as titles: the wanted words in any order, plurals too."""
+    return t(spark, sf_dir, "part").select("p_partkey", matching.title_rank(F.col("p_name"), ["Bolt, Large", "Widgets", "rod of blue"], ["gear"]).alias("title_rank"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE json_valid(props)")
+def json_records(spark, sf_dir):
+    """The records of each event's JSON text, one object each."""
+    e = t(spark, sf_dir, "events")
+    return e.select("event_id", F.explode(files.records_of(F.col("props"))).alias("record")).select("event_id", F.get_json_object("record", "$.k").alias("value"))
