@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 DELIMITERS = (",", ";", "\t", "|")
 DELIMITER_NAMES = {"tab": "\t", "\\t": "\t", "comma": ",", "semicolon": ";", "pipe": "|"}
 WRAPPERS = ("items", "data", "results", "records", "rows", "companies", "leads", "jobs", "organizations", "accounts", "people", "contacts")
+#: The characters of bytes 80 to 9F in latin-1 and in windows-1252, of those that windows-1252 has.
+_HIGH = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+C1 = ("".join(map(chr, _HIGH)), bytes(_HIGH).decode("cp1252"))
 
 
 def sniff_delimiter(header: str) -> str:
@@ -33,14 +36,17 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     """All columns as trimmed text, missing cells as "", rows without any text dropped.
 
     The header is the first line with text after skip_rows lines. Without an encoding, UTF-8 is taken unless the text
-    has bytes that it cannot hold, then windows-1252. Cells with line breaks need multi_line, which reads a file in one
+    has bytes that it cannot hold, then windows-1252 (what
+    that leaves open is read as latin-1). Cells with line breaks need multi_line, which reads a file in one
     task; skip_rows reads line by line and does without such cells. An empty file gives a table without columns.
     """
     lines = spark.read.text(path)
     if encoding is None:
-        encoding = "windows-1252" if lines.where(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
+        encoding = "ISO-8859-1" if lines.where(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
+    windows = encoding == "ISO-8859-1"
+    decoded = lambda c: F.translate(c, *C1) if windows else c
     raw = spark.read.option("encoding", encoding).option("sep", "\x00").option("quote", "").csv(path, schema="value string") if encoding != "UTF-8" else lines
-    top = [(r.value or "").lstrip("﻿") for r in raw.take(skip_rows + 100)]
+    top = [(r.value or "").lstrip("﻿") for r in raw.select(decoded(F.col("value")).alias("value")).take(skip_rows + 100)]
     at = next((i for i in range(skip_rows, len(top)) if top[i].strip()), None)
     if at is None:
         return spark.createDataFrame([], "struct<>")
@@ -57,7 +63,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
         rows = numbered.select(F.from_csv("value", schema, options).alias("r")).select("r.*")
     else:
         rows = spark.read.options(**options, encoding=encoding, multiLine=str(multi_line).lower(), header="true", enforceSchema="true").csv(path, schema=schema)
-    cells = [F.trim(F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(n) for i, n in enumerate(names)]
+    cells = [decoded(F.trim(F.coalesce(F.col(f"c{i}"), F.lit("")))).alias(n) for i, n in enumerate(names)]
     filled = F.lit(False)
     for i in range(len(names)):
         filled = filled | (F.trim(F.coalesce(F.col(f"c{i}"), F.lit(""))) != "")

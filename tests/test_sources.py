@@ -38,8 +38,8 @@ def test_csv(spark, tmp_path):
     got = files.read_csv(spark, str(p))
     assert got.columns == ["Name", "Name (2)", "column_3", "A;b"]
     assert sorted(map(tuple, got.collect())) == [("x", "two\nlines", "3", ""), ("y,1", "2", "3", 'say "hi"')]
-    p.write_bytes("Stadt,Land\nKöln,DE\n".encode("cp1252"))
-    assert files.read_csv(spark, str(p)).collect()[0].Stadt == "Köln"
+    p.write_bytes("Stadt,Land\nKöln,5 €\n".encode("cp1252"))
+    assert files.read_csv(spark, str(p)).collect()[0] == ("Köln", "5 €")
     p.write_text("made by hand\n\nName\tCity\nx\ty\n")
     assert [tuple(r) for r in files.read_csv(spark, str(p), skip_rows=1).collect()] == [("x", "y")]
     p.write_text("")
@@ -78,7 +78,7 @@ def test_boards(spark):
         (r,) = boards.jobs(rows, system).collect()
         assert (r.board, r.id, r.title, r.url) == ("x", "1", "T", "u") and (r.location, r.department) == places[system]
     assert boards.jobs(spark.createDataFrame([(json.dumps(body["lever"]),)], "body string"), "lever").first().date == "2026-01-02"
-    found = spark.createDataFrame([("b", str(i), f"2026-01-0{i}") for i in (1, 2, 3, 3)], "board string, id string, date string")
+    found = spark.createDataFrame([("b", str(i), f"2026-01-0{i}", "t", "u") for i in (1, 2, 3, 3)], "board string, id string, date string, title string, url string")
     assert [r.id for r in boards.board_jobs(found, "board", 2).orderBy("place").collect()] == ["3", "2"]
 
 
