@@ -281,6 +281,22 @@ def test_repeated_passages(docs, empty):
     assert substring.passage_classes(substring.repeated_passages(empty)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_repeated_passages_of_overlapping_slices(spark, block):
+    r = random.Random(9)
+    text = [f"t{i}" for i in range(400)]  # no word twice
+    spans = {}
+    for i in r.sample(range(1000), 60):
+        n = r.randint(55, 80)
+        at = r.randrange(400 - n)
+        spans[i] = (at, at + n)
+    many = [(i, " ".join([*(f"o{i}x{k}" for k in range(30)), *text[lo:hi], *(f"e{i}x{k}" for k in range(30))])) for i, (lo, hi) in spans.items()]
+    found = substring.repeated_passages(spark.createDataFrame(many, "doc_id long, text string"), block=block)
+    got = {(x["a"], x["b"]) for x in found.collect()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(spans), 2) if min(spans[a][1], spans[b][1]) - max(spans[a][0], spans[b][0]) >= 50}
+    assert want <= got and len(want) > 100
+
+
 def test_items_hash_of_none():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
