@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from signalfold.llm import ann, chat, decontam, links, lmscore, mixing, simhash, substring, tokens, toxicity
+from signalfold.llm import ann, chat, decontam, links, lmscore, mixing, nearcopies, simhash, substring, tokens, toxicity
 from signalfold.llm.lines import drop_frequent_lines
 from signalfold.llm.queries import vocabulary
 
@@ -297,6 +297,31 @@ def test_repeated_passages_of_overlapping_slices(spark, block):
     assert want <= got and len(want) > 100
 
 
+def test_pipeline_drops_near_copies_like_brute_force(spark):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    many = [(None, "blank or not"), (1, ""), (2, None), (3, "one two"), (4, "One  TWO")]
+    for family in range(12):
+        base = [f"v{r.randrange(5000)}" for _ in range(r.randint(60, 400))]
+        for _ in range(8):
+            words = list(base)
+            for k in r.sample(range(len(words)), max(1, len(words) // r.choice([30, 45, 60, 90]))):
+                words[k] = f"new{r.randrange(10**6)}"
+            many.append((len(many) + 1, " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := lower(t or "").split()) else set() for _, t in many]
+    root = list(range(len(many)))
+    for a, b in itertools.combinations(range(len(many)), 2):
+        if (not sets[a] and not sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0:
+            x, y = sorted((root[a], root[b]))
+            root = [x if v == y else v for v in root]
+    want = sorted((many[i][0] for i in {*root}), key=str)
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(many, "doc_id long, text string"), "")
+    assert sorted((x["doc_id"] for x in got.collect()), key=str) == want
+    assert len(want) < len(many) - 20
+    assert nearcopies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_items_hash_of_none():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
