@@ -4,216 +4,217 @@ Two bigram models share one vocabulary: the target model counts the documents of
 all documents, its counts scaled to the target's total, so that smoothing weighs alike. Both smooth towards their unigrams: p(w|v) = (c(v,w) + mu p(w)) / (c(v) + mu). A document's score is the
 mean over its words of background loss less target loss, in nats: above 0, it looks more like the target.
 
-The vocabulary holds the `size` commonest words (ties by bytes); other words are one unknown word. Bigrams seen less
-than `least` times in the corpus are left to the unigrams in both models. Counts cover all documents. The vocabulary
-and per-word sums are bounded by `size` and sent to every task; the bigram table grows with the corpus, so documents'
-bigrams are dealt to its shards instead, four bytes each, and partial sums come back by document.
+All words and all bigrams of all documents count; words and bigrams are known by 64-bit hashes. Both tables grow with
+the corpus, so they are dealt to shards by a bigram's second word: a shard holds all bigrams that end in its words, and
+with them these words' own counts. How often a word stands before another is its count less its count as a last word,
+which comes as a bigram of the word and the end. So a document asks one shard for all that one of its words adds, eight
+bytes a word, and partial sums come back by document. Only totals come to the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, staged
 
-_SHARED: dict = {}
+START, END = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
 
 
-def _lookup(sent) -> dict[bytes, int]:
-    """The vocabulary's numbers, made once for all tasks of a Python worker."""
-    if _SHARED.get("id") != sent.id:
-        _SHARED.update(id=sent.id, words={w: i for i, w in enumerate(sent.value)})
-    return _SHARED["words"]
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = (v ^ (v >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-class _Sent:
-    def __init__(self, broadcast, name: str):
-        self.broadcast, self.id = broadcast, name
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
-def _bigrams(texts: list[str | None], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, word, previous word) of each word; the unknown word is V, the start of a text V + 1."""
-    v = len(words)
+def _bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, word, key, whether it is a text's end) of each word with the one before it and of each end."""
     lists = [words_of(t) for t in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
-    get = words.get
-    w = np.fromiter((get(x, v) for p in lists for x in p), np.int64, int(sizes.sum()))
+    w = np.fromiter((xxhash.xxh64_intdigest(x) for p in lists for x in p), np.uint64, int(sizes.sum()))
     before = np.empty_like(w)
     before[1:] = w[:-1]
-    starts = np.cumsum(sizes) - sizes
-    before[starts[sizes > 0]] = v + 1
-    return np.repeat(np.arange(len(lists)), sizes), w, before
+    full = np.flatnonzero(sizes)
+    stops = np.cumsum(sizes)[full]
+    before[stops - sizes[full]] = START
+    last = w[stops - 1]
+    at = np.concatenate([np.repeat(np.arange(len(lists)), sizes), full])
+    keys = np.concatenate([_pair(before, w), _pair(last, np.full_like(last, END))])
+    return at, np.concatenate([w, last]), keys, np.concatenate([np.zeros(len(w), bool), np.ones(len(last), bool)])
 
 
-def vocabulary(docs: DataFrame, size: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(words, counts in all documents, counts in target documents); the last count is that of the unknown word."""
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Where a new group of equal values starts in sorted columns."""
+    if not len(cols[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target = Counter(), Counter()
 
-        def out() -> pa.RecordBatch:
-            words = list(every)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([every[w] for w in words], pa.int64()), pa.array([target[w] for w in words], pa.int64())], ["word", "n", "t"])
+def _blobs(starts: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The groups' data as binaries."""
+    offsets = (np.append(starts, len(data)) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
-        for b in batches:
-            for text, is_target in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                every.update(words)
-                if is_target:
-                    target.update(words)
-                if len(every) > 500_000:
-                    yield out()
-                    every, target = Counter(), Counter()
-        yield out()
 
-    counts = docs.select("text", "target").mapInArrow(run, "word binary, n long, t long")
-    counts = staged(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "word-counts")
-    total = counts.agg(F.sum("n"), F.sum("t")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    n, t = np.array([r["n"] for r in top], float), np.array([r["t"] for r in top], float)
-    return [bytes(r["word"]) for r in top], np.append(n, (total[0] or 0) - n.sum()), np.append(t, (total[1] or 0) - t.sum())
+def _summed(w: np.ndarray, key: np.ndarray, end: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same sorted by word and key, with one row for each key."""
+    order = np.lexsort((key, w))
+    w, key, end, n, t = (x[order] for x in (w, key, end, n, t))
+    at = _starts(w, key)
+    if not len(at):
+        return w, key, end, n, t
+    return w[at], key[at], end[at], np.add.reduceat(n, at), np.add.reduceat(t, at)
 
 
-def bigram_counts(docs: DataFrame, sent: _Sent, v: int, flush: int = 1 << 21) -> DataFrame:
-    """(key, n, t): key is previous word * (V + 2) + word; n counts all documents, t the target."""
+COUNTED = ["shard", "w", "key", "end", "n", "t"]
+TYPES = {"w": np.uint64, "key": np.uint64, "end": np.bool_, "n": np.int64, "t": np.int64}
+TABLE = ["shard", "words", "all", "target", "ends", "target_ends", "key", "end", "n", "t", "wn", "wt", "cn", "ct"]
+#: Keys in one row of the table.
+CHUNK = 1 << 18
+
+
+def counts(docs: DataFrame, shards: int, flush: int = 1 << 19) -> DataFrame:
+    """The shards' bigrams: n and t count all and the target documents, wn and wt the second word's own, cn and ct its
+    own where another word follows. A shard's first row holds its totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _lookup(sent)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            key, is_target = keys >> 1, keys & 1
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(n * is_target)], ["key", "n", "t"])
+            w, key, end, n, t = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            shard = (w % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            at = _starts(shard[order])
+            return pa.RecordBatch.from_arrays([pa.array(shard[order][at]), *(_blobs(at, x[order]) for x in (w, key, end, n, t))], COUNTED)
 
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 few = b.slice(i, 512)
                 target = np.array(few.column(1).to_pylist(), bool).astype(np.int64)
-                at, w, before = _bigrams(few.column(0).to_pylist(), words)
-                held.append((before * (v + 2) + w) << 1 | target[at])
-                if sum(map(len, held)) >= flush:
+                at, w, key, end = _bigrams(few.column(0).to_pylist())
+                held.append((w, key, end, np.ones(len(w), np.int64), target[at]))
+                size += len(w)
+                if size >= flush:
                     yield out()
-                    held = []
-        if held:
+                    held, size = [], 0
+        if size:
             yield out()
 
-    return docs.select("text", "target").mapInArrow(run, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def _blobs(group: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """For sorted group numbers: where each group starts, and the groups' data as binaries."""
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
-    offsets = (np.append(starts, len(group)) * data.itemsize).astype(np.int32)
-    return starts, pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    def table(shard: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        w, key, end, n, t = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        at = _starts(w)
+        size = np.diff(np.append(at, len(w)))
+        wn, wt = (np.add.reduceat(np.where(end, 0, x), at) for x in (n, t))
+        en, et = (np.add.reduceat(np.where(end, x, 0), at) for x in (n, t))
+        totals = [len(at), *(int(x.sum()) for x in (wn, wt, en, et))]
+        wn, wt, cn, ct = (np.repeat(x, size) for x in (wn, wt, wn - en, wt - et))
+        for i in range(0, len(w), CHUNK):
+            few = [x[i : i + CHUNK] for x in (key, end, n, t, wn, wt, cn, ct)]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x if i == 0 else 0], pa.int64()) for x in totals), *(pa.array([x.tobytes()], pa.binary()) for x in few)], TABLE)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, size = None, [], 0
+        for b in batches:
+            for i, s in enumerate(b.column(0).to_pylist()):
+                if s != shard:
+                    if parts:
+                        yield from table(shard, parts)
+                    shard, parts, size = s, [], 0
+                parts.append(tuple(np.frombuffer(b.column(k + 1)[i].as_py(), TYPES[c]) for k, c in enumerate(COUNTED[1:])))
+                size += len(parts[-1][0])
+                if size > 2 * flush and len(parts) > 1:
+                    parts = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+                    size = 0
+        if parts:
+            yield from table(shard, parts)
+
+    counted = docs.select("text", "target").mapInArrow(run, "shard int, w binary, key binary, end binary, n binary, t binary")
+    schema = "shard int, words long, all long, target long, ends long, target_ends long, key binary, end binary, n binary, t binary, wn binary, wt binary, cn binary, ct binary"
+    return counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, schema)
 
 
 SCHEMA = "shard int, kind int, doc_id long, base double, n long, keys binary, values binary"
 NAMES = ["shard", "kind", "doc_id", "base", "n", "keys", "values"]
 
 
-def scores(docs: DataFrame, target_ids: DataFrame, size: int = 1 << 15, least: int = 2, mu: float = 20.0, alpha: float = 0.5, words_per_shard: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, target_ids: DataFrame, mu: float = 20.0, alpha: float = 0.5, words_per_shard: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, score) for each document id; target_ids (doc_id) names the target documents.
 
     Texts without words score 0. Rows of one id are scored as one document. An empty target leaves a uniform target
     model. A null id is an id of its own and never in the target. Other columns are ignored.
     """
-    import uuid
-
-    spark = docs.sparkSession
     marks = target_ids.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id IS NOT NULL").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(8, math.ceil(size / 6 / words_per_shard))
     rows = rows.join(marks, rows["doc_id"] == marks["target_id"], "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
-    words, n_all, n_target = vocabulary(rows, size)
-    v = len(words)
-    sent = _Sent(spark.sparkContext.broadcast(words), uuid.uuid4().hex)
-    kept = staged(bigram_counts(rows, sent, v).where(F.col("n") >= least), "bigrams")
-    sums = {r["v"]: (r["n"], r["t"]) for r in kept.groupBy(F.floor(F.col("key") / F.lit(v + 2)).alias("v")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}  # V + 2 rows at most
-    ctx = np.array([sums.get(i, (0, 0)) for i in range(v + 2)], float).T
-    total = float(n_all.sum())
-    matched = n_target.sum() / n_all.sum() if n_target.sum() else 1.0
-    n_all, ctx[0] = n_all * matched, ctx[0] * matched
-    uni = [np.log((c + alpha) / (c.sum() + alpha * (v + 1))) for c in (n_all, n_target)]
-    tables = spark.sparkContext.broadcast((uni, ctx))
-    shards = max(8, math.ceil(total / words_per_shard))
+    kept = staged(counts(rows, shards), "bigrams")
+    v, total, total_t, ends, ends_t = (x or 0 for x in kept.agg(*(F.sum(c) for c in TABLE[1:6])).first())
+    matched = total_t / total if total_t else 1.0
+    from_start = math.log(ends * matched + mu) - math.log(ends_t + mu)
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (u_all, u_target), (c_all, c_target) = tables.value
         for b in batches:
-            key, n, t = (b.column(i).to_numpy() for i in range(3))
-            n = n * matched
-            before, w = key // (v + 2), key % (v + 2)
-            gain_t = np.log((t + mu * np.exp(u_target[w])) / (mu * np.exp(u_target[w])))
-            gain_n = np.log((n + mu * np.exp(u_all[w])) / (mu * np.exp(u_all[w])))
-            order = np.lexsort((key, key % shards))
-            starts, keys = _blobs((key % shards)[order], key[order].astype(np.uint32))
-            _, values = _blobs((key % shards)[order], (gain_t - gain_n)[order].astype(np.float32))
-            k = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.array((key % shards)[order][starts].astype(np.int32)), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(np.zeros(k)), pa.array(np.zeros(k, np.int64)), keys, values], NAMES)
+            for i in range(b.num_rows):
+                key, end, n, t, wn, wt, cn, ct = (np.frombuffer(b.column(k)[i].as_py(), d) for k, d in enumerate([np.uint64, np.bool_] + [np.int64] * 6, 1))
+                u_all, u_target = (wn * matched + alpha) / (total * matched + alpha * (v + 1)), (wt + alpha) / (total_t + alpha * (v + 1))
+                context = np.log(cn * matched + mu) - np.log(ct + mu)
+                gain = np.log(t + mu * u_target) - np.log(n * matched + mu * u_all) + context
+                gain = np.where(end, -context, gain).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0.0]), pa.array([0], pa.int64()), pa.array([key.tobytes()], pa.binary()), pa.array([gain.tobytes()], pa.binary())], NAMES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (u_all, u_target), (c_all, c_target) = tables.value
-        known = _lookup(sent)
-        by_word = u_target - u_all
-        by_context = np.log(c_all + mu) - np.log(c_target + mu)
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                at, w, before = _bigrams(b.column(1).to_pylist(), known)
+                at, w, keys, end = _bigrams(b.column(1).to_pylist())
                 k = b.num_rows
-                base = np.bincount(at, by_word[w] + by_context[before], k).astype(float)  # of nothing it is whole numbers
-                n = np.bincount(at, minlength=k)
-                key = before * (v + 2) + w
-                # one row for each shard and document; a document's sums stand in a row of no bigrams
-                full, times = np.unique(((key % shards) << 42) | (at << 32) | key, return_counts=True)
-                starts, keys = _blobs(full >> 32, (full & 0xFFFFFFFF).astype(np.uint32))
-                _, values = _blobs(full >> 32, np.minimum(times, 0xFFFFFFFF).astype(np.uint32))
+                n = np.bincount(at[~end], minlength=k)
+                # one row for each shard and document; a document's count stands in a row of no bigrams
+                to = (w % np.uint64(shards)).astype(np.int64) << 10 | at
+                order = np.argsort(to, kind="stable")
+                to = to[order]
+                starts = _starts(to)
                 ids = b.column(0)
                 m = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array((full[starts] >> 42).astype(np.int32)), pa.array(np.ones(m, np.int32)), ids.take(pa.array((full[starts] >> 32) & 1023)), pa.array(np.zeros(m)), pa.array(np.zeros(m, np.int64)), keys, values], NAMES)
-                yield pa.RecordBatch.from_arrays([pa.array((np.arange(k) % shards).astype(np.int32)), pa.array(np.ones(k, np.int32)), ids, pa.array(base), pa.array(n.astype(np.int64)), pa.array([b""] * k, pa.binary()), pa.array([b""] * k, pa.binary())], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array((to[starts] >> 10).astype(np.int32)), pa.array(np.ones(m, np.int32)), ids.take(pa.array(to[starts] & 1023)), pa.array(np.zeros(m)), pa.array(np.zeros(m, np.int64)), _blobs(starts, keys[order]), pa.array([b""] * m, pa.binary())], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array((np.arange(k) % shards).astype(np.int32)), pa.array(np.ones(k, np.int32)), ids, pa.array(np.where(n > 0, from_start, 0.0)), pa.array(n.astype(np.int64)), pa.array([b""] * k, pa.binary()), pa.array([b""] * k, pa.binary())], NAMES)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts, keys, gains = -1, [], None, None
         for b in batches:
-            ids, sums, counts = [], [], []
+            ids, sums, times = [], [], []
             for s, kind, doc, base, n, k, x in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if s != shard:
                     shard, parts, keys = s, [], None
                 if kind == 0:
-                    parts.append((np.frombuffer(k, np.uint32), np.frombuffer(x, np.float32)))
+                    parts.append((np.frombuffer(k, np.uint64), np.frombuffer(x, np.float32)))
                     continue
-                if keys is None:
-                    keys = np.concatenate([p for p, _ in parts] or [np.empty(0, np.uint32)])
-                    gains = np.concatenate([g for _, g in parts] or [np.empty(0, np.float32)])
-                    order = np.argsort(keys)
-                    keys, gains, parts = np.append(keys[order], np.uint32(0xFFFFFFFF)), np.append(gains[order], np.float32(0)).astype(float), []
                 if k:
-                    want, times = np.frombuffer(k, np.uint32), np.frombuffer(x, np.uint32)
-                    at = np.searchsorted(keys, want)
-                    base += float((gains[at] * times)[keys[at] == want].sum())
+                    if keys is None:
+                        keys, gains = (np.concatenate(p) for p in zip(*parts, strict=True))
+                        order = np.argsort(keys)
+                        keys, gains, parts = keys[order], gains[order], []
+                    base += float(gains[np.searchsorted(keys, np.frombuffer(k, np.uint64))].sum(dtype=float))  # all are known
                 ids.append(doc)
                 sums.append(base)
-                counts.append(n)
+                times.append(n)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], ["doc_id", "sum", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.float64()), pa.array(times, pa.int64())], ["doc_id", "sum", "n"])
 
-    asked = kept.select("key", "n", "t").mapInArrow(model, SCHEMA).unionAll(rows.select("doc_id", "text").mapInArrow(ask, SCHEMA))
+    asked = kept.select("shard", "key", "end", "n", "t", "wn", "wt", "cn", "ct").mapInArrow(model, SCHEMA).unionAll(rows.select("doc_id", "text").mapInArrow(ask, SCHEMA))
     met = asked.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, "doc_id long, sum double, n long")
     found = met.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("sum").alias("sum"))
     return found.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words")).otherwise(F.lit(0.0)).alias("score"))

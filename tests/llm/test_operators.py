@@ -264,6 +264,33 @@ def test_lm_scores(spark, docs, empty):
     assert lmscore.scores(empty, target).count() == 0
 
 
+def test_lm_scores_count_all_words_and_bigrams(spark):
+    r = random.Random(12)
+    many = [(i, " ".join(r.choice(WORDS) if r.random() < 0.5 else f"rare{r.randrange(60_000)}" for _ in range(r.randint(0, 900)))) for i in range(300)]
+    good = set(range(0, 300, 5))
+    texts = {i: t.split() for i, t in many}
+    uni, bi, ctx = ([{}, {}] for _ in range(3))
+    for i, w in texts.items():
+        for k in [0, 1] if i in good else [0]:
+            for v, x in zip(["", *w], w, strict=False):
+                uni[k][x] = uni[k].get(x, 0) + 1
+                bi[k][v, x] = bi[k].get((v, x), 0) + 1
+                ctx[k][v] = ctx[k].get(v, 0) + 1
+    assert len(uni[0]) > 1 << 15
+    total, v_size = [sum(u.values()) for u in uni], len(uni[0]) + 1
+    scale = [total[1] / total[0], 1.0]
+
+    def p(k, v, x):
+        m = scale[k]
+        word = (uni[k].get(x, 0) * m + 0.5) / (total[k] * m + 0.5 * v_size)
+        return (bi[k].get((v, x), 0) * m + 20 * word) / (ctx[k].get(v, 0) * m + 20)
+
+    got = {x["doc_id"]: (x["n_words"], x["score"]) for x in lmscore.scores(spark.createDataFrame(many, "doc_id long, text string"), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    for i, w in texts.items():
+        want = sum(np.log(p(1, v, x)) - np.log(p(0, v, x)) for v, x in zip(["", *w], w, strict=False)) / max(len(w), 1)
+        assert got[i][0] == len(w) and abs(got[i][1] - want) < 1e-6, i
+
+
 def test_compact_windows_cover_every_run_once():
     h = np.random.default_rng(1).integers(0, 2**63, 60).astype(np.uint64)
     h[10] = h[30]
