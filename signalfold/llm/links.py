@@ -1,47 +1,3 @@
-"""Connected components of links between integer nodes, in DataFrame operations only."""
+"""Connected components of links between integer nodes."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import discard, staged
-
-
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of links (a long, b long); root is the smallest node that it reaches.
-
-    Alternates large-star and small-star rounds. Every round writes its edges to the shared folder, so a lost executor
-    repeats one round at most; neither links nor labels come to the driver, only a count and a checksum.
-    Self-links and repeated links change nothing; no links give no rows. If the edges still change after
-    max_rounds (the number of rounds grows with the logarithm of the largest component), it raises.
-    """
-    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = _mark(edges)
-    if before[0] == 0:
-        return _stars(edges)
-    for _ in range(max_rounds):
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        new = staged(small, "small-star")
-        discard(large)
-        discard(edges)
-        edges, after = new, _mark(new)
-        if after == before:
-            return _stars(edges)
-        before = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def _stars(edges: DataFrame) -> DataFrame:
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
-
-
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], int(row[1] or 0)
+from signalfold.operators.components import components  # noqa: F401

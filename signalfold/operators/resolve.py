@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
+
 
 def merge_companies(rows: DataFrame) -> DataFrame:
     """(seq, key): for each row (seq, name, domain) the seq of the record that it joins, in order of seq.
 
     A domain hit goes before a name hit; a record without a domain takes the first new domain of its name; one name
-    with two domains stays two records. Rows are folded in order within clusters. A cluster holds all rows that share
-    a name; names of one domain are brought together first by the domain's first name.
+    with two domains stays two records. Rows are folded in order within clusters. A cluster holds all
+    rows that a chain of shared names and domains connects.
     """
-    first = F.first("name").over(Window.partitionBy("domain").orderBy("seq"))
-    bound = rows.withColumn("cluster", F.when(F.col("domain").isNotNull(), first).otherwise(F.col("name")))
-    # one more pass: a name's cluster is the least cluster that any of its rows has
-    bound = bound.withColumn("cluster", F.min("cluster").over(Window.partitionBy("name")))
-    bound = bound.withColumn("cluster", F.when(F.col("domain").isNotNull(), F.min("cluster").over(Window.partitionBy("domain"))).otherwise(F.col("cluster")))
+    name, domain = F.xxhash64(F.lit("name"), "name"), F.xxhash64(F.lit("domain"), "domain")  # equal hashes only join clusters
+    rows = rows.select("seq", "name", "domain", name.alias("node"))
+    roots = components(rows.where("domain <> ''").select(F.col("node").alias("a"), domain.alias("b"))).select(F.col("node").alias("at"), "root")
+    bound = rows.join(roots, rows["node"] == roots["at"], "left").select("seq", "name", "domain", F.coalesce("root", "node").alias("cluster"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         by_domain: dict[str, int] = {}

@@ -11,6 +11,32 @@ def test_merge_is_in_order(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1, 6: 6}
 
 
+def folded(rows):
+    by_domain, by_name, domain_of, out = {}, {}, {}, {}
+    for seq, name, domain in sorted(rows):
+        at = by_domain.get(domain) if domain else None
+        if at is None and name in by_name and (not domain or domain_of[by_name[name]] in (None, domain)):
+            at = by_name[name]
+        if at is None:
+            at, domain_of[seq] = seq, domain
+        domain_of[at] = domain_of[at] or domain
+        if domain:
+            by_domain.setdefault(domain, at)
+        by_name.setdefault(name, at)
+        out[seq] = at
+    return out
+
+
+def test_merge_over_long_chains_is_the_plain_fold(spark):
+    short = [(1, "a", "d1"), (2, "b", "d1"), (3, "b", "d2"), (4, "c", "d2"), (5, "c", None)]
+    assert folded(short)[5] == 3
+    chain = [(100 + i, f"n{(i + 1) // 2:02d}", f"x{i // 2:02d}") for i in range(60)] + [(200 + i, f"n{i:02d}", None) for i in range(30)]
+    like_query = [(1000 + k, f"name{k % 400}", f"e{k % 700}.com" if k % 3 else None) for k in range(1500)]
+    rows = short + chain + like_query
+    got = {r["seq"]: r["key"] for r in resolve.merge_companies(spark.createDataFrame(rows, "seq long, name string, domain string")).collect()}
+    assert got == folded(rows)
+
+
 def test_greedy_selection_counts_only_what_it_took(spark):
     rows = [("x", "A", "p", 1), ("x", "B", "p", 2), ("x", "B", "q", 3)]
     df = spark.createDataFrame(rows, "client string, company string, person string, pos long")
