@@ -202,6 +202,12 @@ def normalize_text(spark, sf_dir):
     return t(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr", "es")).select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
 
 
+@query()
+def normalize_text_all(spark, sf_dir):
+    """The whole table; normalize_text and its SQL hold documents in three languages only."""
+    return t(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
+
+
 @query("SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name FROM customer")
 def company_name_normalize(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", text.normalize_company_name(F.concat(F.lit("The "), "c_name", F.lit(", Inc."))).alias("name"))

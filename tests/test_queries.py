@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import duckdb
 import pytest
 
@@ -22,3 +25,14 @@ def test_query_agrees_with_its_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_normalize_text_of_the_whole_table(spark):
+    def plain(text):
+        folded = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
+        return re.sub("[^a-z0-9]+", " ", folded.lower()).strip(" ")
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r["doc_id"]: r["normal"] for r in base.QUERIES["normalize_text_all"](spark, SF).collect()}
+    assert got == {d["doc_id"]: plain(d["text"]) for d in docs}
+    assert "de" in {d["lang"] for d in docs}
