@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalfold.operators.components import discard, new_path, shared_dir, staged  # noqa: F401
@@ -30,6 +30,19 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, max_rows: int
     return left.join(F.broadcast(right) if small_enough(right, max_rows) else right, on, how)
 
 
+def staged_by(df: DataFrame, name: str, column: str) -> tuple[DataFrame, str]:
+    """staged() with one folder for each value of an integer column of few values, and where these folders are."""
+    path = new_path(df.sparkSession, name)
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of staged files that no later read needs."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Kept:
     """A bounded store of computed values: entries unused for a while go first, half the store at a time."""
 

@@ -1,14 +1,16 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models share one vocabulary: the target model counts the documents of a target set, the background model
-all documents, its counts scaled to the target's total, so that smoothing weighs alike. Both smooth towards their unigrams: p(w|v) = (c(v,w) + mu p(w)) / (c(v) + mu). A document's score is the
-mean over its words of background loss less target loss, in nats: above 0, it looks more like the target.
-
-All words and all bigrams of all documents count; words and bigrams are known by 64-bit hashes. Both tables grow with
-the corpus, so they are dealt to shards by a bigram's second word: a shard holds all bigrams that end in its words, and
-with them these words' own counts. How often a word stands before another is its count less its count as a last word,
-which comes as a bigram of the word and the end. So a document asks one shard for all that one of its words adds, eight
-bytes a word, and partial sums come back by document. Only totals come to the driver.
+all documents, its counts scaled to the target's total, so that smoothing weighs alike. Both smooth towards their
+unigrams: p(w|v) = (c(v,w) + mu p(w)) / (c(v) + mu). A document's score is the mean over its words of background loss
+less target loss, in nats: above 0, it looks more like the target.
+
+All words and all bigrams of all documents count, known by 64-bit hashes. Documents are read once, in batches of about
+`batch_words` words. A batch counts its distinct words and bigrams and asks for the corpus' counts of just these: it
+deals its keys, sorted, to ranges of the key space, a range adds up what all batches say of its keys and answers each
+batch in the order of its keys. The batch then scores its own documents from the answers. So each distinct key of a
+batch travels once each way, no row pairs documents with parts of the table, and a frequent word is one key of each
+batch wherever it stands. Only totals come to the driver.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, staged
+from .common import LOWER_BYTES, delete, join_checked, staged, staged_by
 
-START, END = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D)
+START = np.uint64(0x8CB92BA72F3D8DD7)
+ONE = np.uint64(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -38,183 +42,191 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, word, key, whether it is a text's end) of each word with the one before it and of each end."""
-    lists = [words_of(t) for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    w = np.fromiter((xxhash.xxh64_intdigest(x) for p in lists for x in p), np.uint64, int(sizes.sum()))
-    before = np.empty_like(w)
-    before[1:] = w[:-1]
-    full = np.flatnonzero(sizes)
-    stops = np.cumsum(sizes)[full]
-    before[stops - sizes[full]] = START
-    last = w[stops - 1]
-    at = np.concatenate([np.repeat(np.arange(len(lists)), sizes), full])
-    keys = np.concatenate([_pair(before, w), _pair(last, np.full_like(last, END))])
-    return at, np.concatenate([w, last]), keys, np.concatenate([np.zeros(len(w), bool), np.ones(len(last), bool)])
+def narrow(x: np.ndarray) -> bytes:
+    """Counts as planes of bytes, the lowest first, without planes that are zero throughout."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return np.ascontiguousarray(np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _starts(*cols: np.ndarray) -> np.ndarray:
-    """Where a new group of equal values starts in sorted columns."""
-    if not len(cols[0]):
-        return np.empty(0, np.int64)
-    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
+def widen(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<i8").ravel()
 
 
-def _blobs(starts: np.ndarray, data: np.ndarray) -> pa.Array:
-    """The groups' data as binaries."""
-    offsets = (np.append(starts, len(data)) * data.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+#: A batch's rows: kind KEYS holds its keys of one range with their counts (all: a, target: b, and of words as a
+#: document's last, all: c, target: d); kind TEXTS its documents (a: ids, b: which are null, c: numbers of words, d: the
+#: bigram's number at each word), its bigrams' words (keys) and its totals (words, documents with words; all, target).
+KEYS, TEXTS = 0, 1
+COLS = ["kind", "batch", "range", "n", "keys", "a", "b", "c", "d", "totals"]
+SCHEMA = "kind int, batch long, range int, n int, keys binary, a binary, b binary, c binary, d binary, totals array<long>"
 
 
-def _summed(w: np.ndarray, key: np.ndarray, end: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The same sorted by word and key, with one row for each key."""
-    order = np.lexsort((key, w))
-    w, key, end, n, t = (x[order] for x in (w, key, end, n, t))
-    at = _starts(w, key)
-    if not len(at):
-        return w, key, end, n, t
-    return w[at], key[at], end[at], np.add.reduceat(n, at), np.add.reduceat(t, at)
+def _row(kind: int, batch: int, at: int, n: int, *blobs: bytes, totals: list[int] | None = None) -> tuple:
+    return kind, batch, at, n, *blobs, totals
 
 
-COUNTED = ["shard", "w", "key", "end", "n", "t"]
-TYPES = {"w": np.uint64, "key": np.uint64, "end": np.bool_, "n": np.int64, "t": np.int64}
-TABLE = ["shard", "words", "all", "target", "ends", "target_ends", "key", "end", "n", "t", "wn", "wt", "cn", "ct"]
-#: Keys in one row of the table.
-CHUNK = 1 << 18
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], COLS)
 
 
-def counts(docs: DataFrame, shards: int, flush: int = 1 << 19) -> DataFrame:
-    """The shards' bigrams: n and t count all and the target documents, wn and wt the second word's own, cn and ct its
-    own where another word follows. A shard's first row holds its totals."""
+def batch_rows(batch: int, ranges: int, ids: list, lists: list[np.ndarray], target: np.ndarray) -> list[tuple]:
+    """The rows of one batch; lists holds the word hashes of each document, target whether it is a target."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    w = np.concatenate(lists) if lists else np.empty(0, np.uint64)
+    full = np.flatnonzero(sizes)
+    stops = np.cumsum(sizes)[full]
+    before = np.empty_like(w)
+    before[1:] = w[:-1]
+    before[stops - sizes[full]] = START
+    weight = np.repeat(target, sizes).astype(np.float64)
+    final = np.zeros(len(w), bool)
+    final[stops - 1] = True
+    # words have odd keys, bigrams even ones
+    words, word_at = np.unique(w | ONE, return_inverse=True)
+    pairs, first, pair_at = np.unique(_pair(before, w) & ~ONE, return_index=True, return_inverse=True)
+    count = lambda at, m, weights=None: np.bincount(at, weights, m).astype(np.int64)
+    n, m = len(words), len(pairs)
+    counts = [
+        np.concatenate([count(word_at, n), count(pair_at, m)]),
+        np.concatenate([count(word_at, n, weight), count(pair_at, m, weight)]),
+        np.concatenate([count(word_at[final], n), np.zeros(m, np.int64)]),
+        np.concatenate([count(word_at[final], n, weight[final]), np.zeros(m, np.int64)]),
+    ]
+    keys = np.concatenate([words, pairs])
+    order = np.argsort(keys)
+    keys, counts = keys[order], [x[order] for x in counts]
+    place = np.empty(n + m, np.int64)
+    place[order] = np.arange(n + m)
+    totals = [len(w), int(weight.sum()), len(full), int(target[full].sum())]
+    # of each bigram the place of its key and of its second word's
+    known = np.concatenate([place[n:], place[:n][word_at[first]]])
+    nulls = np.array([x is None for x in ids], np.uint8)
+    names = np.array([x or 0 for x in ids], "<i8")
+    rows = [_row(TEXTS, batch, -1, len(ids), narrow(known), names.tobytes(), nulls.tobytes(), narrow(sizes), narrow(pair_at), totals=totals)]
+    cuts = np.searchsorted(keys, range_starts(ranges))
+    for r, (lo, hi) in enumerate(zip(cuts, np.append(cuts[1:], len(keys)), strict=True)):
+        if hi > lo:
+            rows.append(_row(KEYS, batch, r, int(hi - lo), keys[lo:hi].tobytes(), *(narrow(x[lo:hi]) for x in counts)))
+    return rows
+
+
+def range_starts(ranges: int) -> np.ndarray:
+    """The least key of each range."""
+    return np.array([i * 2**64 // ranges for i in range(ranges)], np.uint64)
+
+
+def batches_of(docs: DataFrame, ranges: int, batch_words: int) -> DataFrame:
+    """The rows of all batches of docs (doc_id, text, target). A batch ends when it has batch_words words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            w, key, end, n, t = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            shard = (w % np.uint64(shards)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            at = _starts(shard[order])
-            return pa.RecordBatch.from_arrays([pa.array(shard[order][at]), *(_blobs(at, x[order]) for x in (w, key, end, n, t))], COUNTED)
-
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                few = b.slice(i, 512)
-                target = np.array(few.column(1).to_pylist(), bool).astype(np.int64)
-                at, w, key, end = _bigrams(few.column(0).to_pylist())
-                held.append((w, key, end, np.ones(len(w), np.int64), target[at]))
-                size += len(w)
-                if size >= flush:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
-
-    def table(shard: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        w, key, end, n, t = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        at = _starts(w)
-        size = np.diff(np.append(at, len(w)))
-        wn, wt = (np.add.reduceat(np.where(end, 0, x), at) for x in (n, t))
-        en, et = (np.add.reduceat(np.where(end, x, 0), at) for x in (n, t))
-        totals = [len(at), *(int(x.sum()) for x in (wn, wt, en, et))]
-        wn, wt, cn, ct = (np.repeat(x, size) for x in (wn, wt, wn - en, wt - et))
-        for i in range(0, len(w), CHUNK):
-            few = [x[i : i + CHUNK] for x in (key, end, n, t, wn, wt, cn, ct)]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x if i == 0 else 0], pa.int64()) for x in totals), *(pa.array([x.tobytes()], pa.binary()) for x in few)], TABLE)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts, size = None, [], 0
+        task, number = TaskContext.get().partitionId() << 32, 0
+        ids: list = []
+        lists: list[np.ndarray] = []
+        target: list[bool] = []
+        held = 0
         for b in batches:
-            for i, s in enumerate(b.column(0).to_pylist()):
-                if s != shard:
-                    if parts:
-                        yield from table(shard, parts)
-                    shard, parts, size = s, [], 0
-                parts.append(tuple(np.frombuffer(b.column(k + 1)[i].as_py(), TYPES[c]) for k, c in enumerate(COUNTED[1:])))
-                size += len(parts[-1][0])
-                if size > 2 * flush and len(parts) > 1:
-                    parts = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
-                    size = 0
-        if parts:
-            yield from table(shard, parts)
-
-    counted = docs.select("text", "target").mapInArrow(run, "shard int, w binary, key binary, end binary, n binary, t binary")
-    schema = "shard int, words long, all long, target long, ends long, target_ends long, key binary, end binary, n binary, t binary, wn binary, wt binary, cn binary, ct binary"
-    return counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, schema)
-
-
-SCHEMA = "shard int, kind int, doc_id long, base double, n long, keys binary, values binary"
-NAMES = ["shard", "kind", "doc_id", "base", "n", "keys", "values"]
-
-
-def scores(docs: DataFrame, target_ids: DataFrame, mu: float = 20.0, alpha: float = 0.5, words_per_shard: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, score) for each document id; target_ids (doc_id) names the target documents.
+            for doc, text, good in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                words = words_of(text.as_py())
+                ids.append(doc)
+                lists.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+                target.append(good)
+                held += len(words)
+                if held >= batch_words or len(ids) >= batch_words:
+                    yield _record(batch_rows(task + number, ranges, ids, lists, np.array(target)))
+                    number, held, ids, lists, target = number + 1, 0, [], [], []
+        if ids:
+            yield _record(batch_rows(task + number, ranges, ids, lists, np.array(target)))
+
+    return docs.select("doc_id", "text", "target").mapInArrow(run, SCHEMA)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of kind KEYS sorted by range: the same rows with the sums of all batches; a range's first row has the
+    number of its words in `totals`."""
+
+    def whole(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sizes = [r[3] for r in rows]
+        keys = np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows])
+        known, at = np.unique(keys, return_inverse=True)
+        ends = np.cumsum(sizes)
+        sums = []
+        for c in range(5, 9):
+            values = np.concatenate([widen(r[c], r[3]) for r in rows])
+            # bincount adds doubles, which are exact up to 2^53
+            sums.append(np.bincount(at, values, len(known)).astype(np.int64))
+        words = int((known & ONE).sum())
+        for i, (r, lo, hi) in enumerate(zip(rows, ends - sizes, ends, strict=True)):
+            yield _record([_row(KEYS, r[1], r[2], r[3], b"", *(narrow(s[at[lo:hi]]) for s in sums), totals=[words if i == 0 else 0])])
+
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+            if held and held[0][2] != row[2]:
+                yield from whole(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from whole(held)
+
+
+def scores(docs: DataFrame, target_ids: DataFrame, mu: float = 20.0, alpha: float = 0.5, batch_words: int = 1 << 20, words_per_range: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, score) for each document id; target_ids (a column named id_col) names the target documents.
 
     Texts without words score 0. Rows of one id are scored as one document. An empty target leaves a uniform target
-    model. A null id is an id of its own and never in the target. Other columns are ignored.
+    model. A null id is an id of its own and never in the target. Repeats in target_ids change nothing. Other columns
+    are ignored, also those named like the result's. No documents give no rows.
     """
-    marks = target_ids.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id IS NOT NULL").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marks = target_ids.select(F.col(id_col).cast("long").alias("target_id")).where("target_id IS NOT NULL").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, math.ceil(size / 6 / words_per_shard))
-    rows = rows.join(marks, rows["doc_id"] == marks["target_id"], "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
-    kept = staged(counts(rows, shards), "bigrams")
-    v, total, total_t, ends, ends_t = (x or 0 for x in kept.agg(*(F.sum(c) for c in TABLE[1:6])).first())
+    # 1024 ranges hold up to a thousand million words; rows never outnumber the keys that batches ask for
+    ranges = max(1024, math.ceil(size / 6 / words_per_range))
+    rows = join_checked(rows, marks, rows["doc_id"] == marks["target_id"], "left", 1_000_000).select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
+    made, path = staged_by(batches_of(rows, ranges, batch_words), "word-batches", "kind")
+    answers = staged(made.where(F.col("kind") == KEYS).select(COLS[:9]).repartition("range").sortWithinPartitions("range").mapInArrow(_answer, SCHEMA), "word-counts")
+    delete(docs.sparkSession, f"{path}/kind={KEYS}")
+    total, total_t, texts, texts_t = (x or 0 for x in made.where(F.col("kind") == TEXTS).agg(*(F.sum(F.col("totals")[i]) for i in range(4))).first())
+    v = answers.agg(F.sum(F.col("totals")[0])).first()[0] or 0
     matched = total_t / total if total_t else 1.0
-    from_start = math.log(ends * matched + mu) - math.log(ends_t + mu)
+    from_start = math.log(texts * matched + mu) - math.log(texts_t + mu)
 
-    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
         for b in batches:
-            for i in range(b.num_rows):
-                key, end, n, t, wn, wt, cn, ct = (np.frombuffer(b.column(k)[i].as_py(), d) for k, d in enumerate([np.uint64, np.bool_] + [np.int64] * 6, 1))
-                u_all, u_target = (wn * matched + alpha) / (total * matched + alpha * (v + 1)), (wt + alpha) / (total_t + alpha * (v + 1))
-                context = np.log(cn * matched + mu) - np.log(ct + mu)
-                gain = np.log(t + mu * u_target) - np.log(n * matched + mu * u_all) + context
-                gain = np.where(end, -context, gain).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0.0]), pa.array([0], pa.int64()), pa.array([key.tobytes()], pa.binary()), pa.array([gain.tobytes()], pa.binary())], NAMES)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
-                at, w, keys, end = _bigrams(b.column(1).to_pylist())
-                k = b.num_rows
-                n = np.bincount(at[~end], minlength=k)
-                # one row for each shard and document; a document's count stands in a row of no bigrams
-                to = (w % np.uint64(shards)).astype(np.int64) << 10 | at
-                order = np.argsort(to, kind="stable")
-                to = to[order]
-                starts = _starts(to)
-                ids = b.column(0)
-                m = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array((to[starts] >> 10).astype(np.int32)), pa.array(np.ones(m, np.int32)), ids.take(pa.array(to[starts] & 1023)), pa.array(np.zeros(m)), pa.array(np.zeros(m, np.int64)), _blobs(starts, keys[order]), pa.array([b""] * m, pa.binary())], NAMES)
-                yield pa.RecordBatch.from_arrays([pa.array((np.arange(k) % shards).astype(np.int32)), pa.array(np.ones(k, np.int32)), ids, pa.array(np.where(n > 0, from_start, 0.0)), pa.array(n.astype(np.int64)), pa.array([b""] * k, pa.binary()), pa.array([b""] * k, pa.binary())], NAMES)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts, keys, gains = -1, [], None, None
-        for b in batches:
-            ids, sums, times = [], [], []
-            for s, kind, doc, base, n, k, x in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if s != shard:
-                    shard, parts, keys = s, [], None
-                if kind == 0:
-                    parts.append((np.frombuffer(k, np.uint64), np.frombuffer(x, np.float32)))
+            for row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+                if row[0] == KEYS:
+                    parts.append(row)
                     continue
-                if k:
-                    if keys is None:
-                        keys, gains = (np.concatenate(p) for p in zip(*parts, strict=True))
-                        order = np.argsort(keys)
-                        keys, gains, parts = keys[order], gains[order], []
-                    base += float(gains[np.searchsorted(keys, np.frombuffer(k, np.uint64))].sum(dtype=float))  # all are known
-                ids.append(doc)
-                sums.append(base)
-                times.append(n)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.float64()), pa.array(times, pa.int64())], ["doc_id", "sum", "n"])
-
-    asked = kept.select("shard", "key", "end", "n", "t", "wn", "wt", "cn", "ct").mapInArrow(model, SCHEMA).unionAll(rows.select("doc_id", "text").mapInArrow(ask, SCHEMA))
-    met = asked.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, "doc_id long, sum double, n long")
+                yield scored(row, parts)
+                parts = []
+
+    def scored(row: tuple, parts: list[tuple]) -> pa.RecordBatch:
+        _, _, _, k, known, names, nulls, sizes, at = row
+        sizes = widen(sizes, k)
+        at = widen(at, int(sizes.sum()))
+        sums = np.zeros(k)
+        if len(at):
+            n, t, e, f = (np.concatenate([widen(p[c], p[3]) for p in parts]) for c in range(5, 9))
+            m = int(at.max()) + 1
+            pair, word = widen(known, 2 * m).reshape(2, m)
+            u_all = (n[word] * matched + alpha) / (total * matched + alpha * (v + 1))
+            u_target = (t[word] + alpha) / (total_t + alpha * (v + 1))
+            gain = np.log(t[pair] + mu * u_target) - np.log(n[pair] * matched + mu * u_all)
+            # a word that another follows is that word's context
+            context = np.log((n[word] - e[word]) * matched + mu) - np.log(t[word] - f[word] + mu)
+            values = (gain + context)[at]
+            ends = np.cumsum(sizes)
+            full = sizes > 0
+            values[ends[full] - 1] -= context[at[ends[full] - 1]]
+            sums[full] = np.add.reduceat(values, (ends - sizes)[full]) + from_start
+        ids = pa.array(np.frombuffer(names, "<i8"), mask=np.frombuffer(nulls, np.uint8) == 1)
+        return pa.RecordBatch.from_arrays([ids, pa.array(sums), pa.array(sizes)], ["doc_id", "sum", "n"])
+
+    met = answers.select(COLS[:9]).unionAll(made.where(F.col("kind") == TEXTS).select(COLS[:9]))
+    met = met.repartition("batch").sortWithinPartitions("batch", "kind", "range").mapInArrow(score, "doc_id long, sum double, n long")
     found = met.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("sum").alias("sum"))
     return found.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words")).otherwise(F.lit(0.0)).alias("score"))

@@ -291,6 +291,21 @@ def test_lm_scores_count_all_words_and_bigrams(spark):
         assert got[i][0] == len(w) and abs(got[i][1] - want) < 1e-6, i
 
 
+def test_lm_scores_do_not_depend_on_batches(spark):
+    r = random.Random(13)
+    many = [(i % 40 if i % 7 else None, prose(r.randint(0, 60), r) if i % 9 else None, i) for i in range(120)]
+    df = spark.createDataFrame([(*m, *m[2:]) for m in many], "doc_id long, text string, score int, n_words int")
+    good = spark.createDataFrame([(1,), (2,), (2,), (None,), (99,)], "doc_id long")
+    whole, parts = ({x["doc_id"]: (x["n_words"], x["score"]) for x in lmscore.scores(df.repartition(k), good, batch_words=b).collect()} for k, b in ((1, 1 << 20), (5, 50)))
+    assert whole.keys() == parts.keys() == {m[0] for m in many}
+    assert all(whole[i][0] == parts[i][0] and abs(whole[i][1] - parts[i][1]) < 1e-9 for i in whole)
+
+
+@pytest.mark.parametrize("x", [[], [0], [0, 255, 256], [2**40, 1, 0], list(range(1000))])
+def test_byte_planes_round_trip(x):
+    assert lmscore.widen(lmscore.narrow(np.array(x, np.int64)), len(x)).tolist() == x
+
+
 def test_compact_windows_cover_every_run_once():
     h = np.random.default_rng(1).integers(0, 2**63, 60).astype(np.uint64)
     h[10] = h[30]
