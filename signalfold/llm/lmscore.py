@@ -5,12 +5,13 @@ all documents, its counts scaled to the target's total, so that smoothing weighs
 unigrams: p(w|v) = (c(v,w) + mu p(w)) / (c(v) + mu). A document's score is the mean over its words of background loss
 less target loss, in nats: above 0, it looks more like the target.
 
-All words and all bigrams of all documents count, known by 64-bit hashes. Documents are read once, in batches of about
-`batch_words` words. A batch counts its distinct words and bigrams and asks for the corpus' counts of just these: it
-deals its keys, sorted, to ranges of the key space, a range adds up what all batches say of its keys and answers each
-batch in the order of its keys. The batch then scores its own documents from the answers. So each distinct key of a
-batch travels once each way, no row pairs documents with parts of the table, and a frequent word is one key of each
-batch wherever it stands. Only totals come to the driver.
+All words and all bigrams of all documents count, known by 56-bit hashes (of 10^12 different ones each meets another
+with a chance of 10^-5). Documents are read in batches of about `batch_words` words. A batch counts its distinct words
+and bigrams and asks for the corpus' counts of just these: it deals its keys, sorted, to ranges of the key space, a
+range adds up what all batches say of its keys and answers each batch in the order of its keys. The batch, made again
+from the same documents, then scores them from the answers. So each distinct key of a batch travels once each way, no
+row pairs documents with parts of the table, and a frequent word is one key of each batch wherever it stands. Only
+totals come to the driver.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, delete, join_checked, staged, staged_by
+from .common import LOWER_BYTES, small_enough, staged
 
 START = np.uint64(0x8CB92BA72F3D8DD7)
 ONE = np.uint64(1)
@@ -56,16 +56,14 @@ def widen(data: bytes, n: int) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-#: A batch's rows: kind KEYS holds its keys of one range with their counts (all: a, target: b, and of words as a
-#: document's last, all: c, target: d); kind TEXTS its documents (a: ids, b: which are null, c: numbers of words, d: the
-#: bigram's number at each word), its bigrams' words (keys) and its totals (words, documents with words; all, target).
+#: A batch's rows. KEYS: its keys of one range (as differences) and how often each occurs (a: in all, b: in target
+#: documents, and of words as a document's last, c: in all, d: in target documents); the first of them also has the
+#: batch's totals (words and documents with words; all, target). TEXTS: its words' keys, its documents' ids (a), which
+#: of these are null (b), numbers of words (c) and at each place the number of the word (d).
 KEYS, TEXTS = 0, 1
 COLS = ["kind", "batch", "range", "n", "keys", "a", "b", "c", "d", "totals"]
 SCHEMA = "kind int, batch long, range int, n int, keys binary, a binary, b binary, c binary, d binary, totals array<long>"
-
-
-def _row(kind: int, batch: int, at: int, n: int, *blobs: bytes, totals: list[int] | None = None) -> tuple:
-    return kind, batch, at, n, *blobs, totals
+KEY_BITS = 56
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
@@ -73,104 +71,146 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], COLS)
 
 
-def batch_rows(batch: int, ranges: int, ids: list, lists: list[np.ndarray], target: np.ndarray) -> list[tuple]:
-    """The rows of one batch; lists holds the word hashes of each document, target whether it is a target."""
-    sizes = np.array([len(x) for x in lists], np.int64)
-    w = np.concatenate(lists) if lists else np.empty(0, np.uint64)
-    full = np.flatnonzero(sizes)
-    stops = np.cumsum(sizes)[full]
-    before = np.empty_like(w)
-    before[1:] = w[:-1]
-    before[stops - sizes[full]] = START
-    weight = np.repeat(target, sizes).astype(np.float64)
-    final = np.zeros(len(w), bool)
-    final[stops - 1] = True
-    # words have odd keys, bigrams even ones
-    words, word_at = np.unique(w | ONE, return_inverse=True)
-    pairs, first, pair_at = np.unique(_pair(before, w) & ~ONE, return_index=True, return_inverse=True)
-    count = lambda at, m, weights=None: np.bincount(at, weights, m).astype(np.int64)
-    n, m = len(words), len(pairs)
-    counts = [
-        np.concatenate([count(word_at, n), count(pair_at, m)]),
-        np.concatenate([count(word_at, n, weight), count(pair_at, m, weight)]),
-        np.concatenate([count(word_at[final], n), np.zeros(m, np.int64)]),
-        np.concatenate([count(word_at[final], n, weight[final]), np.zeros(m, np.int64)]),
-    ]
-    keys = np.concatenate([words, pairs])
-    order = np.argsort(keys)
-    keys, counts = keys[order], [x[order] for x in counts]
-    place = np.empty(n + m, np.int64)
-    place[order] = np.arange(n + m)
-    totals = [len(w), int(weight.sum()), len(full), int(target[full].sum())]
-    # of each bigram the place of its key and of its second word's
-    known = np.concatenate([place[n:], place[:n][word_at[first]]])
-    nulls = np.array([x is None for x in ids], np.uint8)
-    names = np.array([x or 0 for x in ids], "<i8")
-    rows = [_row(TEXTS, batch, -1, len(ids), narrow(known), names.tobytes(), nulls.tobytes(), narrow(sizes), narrow(pair_at), totals=totals)]
-    cuts = np.searchsorted(keys, range_starts(ranges))
-    for r, (lo, hi) in enumerate(zip(cuts, np.append(cuts[1:], len(keys)), strict=True)):
-        if hi > lo:
-            rows.append(_row(KEYS, batch, r, int(hi - lo), keys[lo:hi].tobytes(), *(narrow(x[lo:hi]) for x in counts)))
-    return rows
+def word_keys(text: str | None) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - KEY_BITS) | ONE
+
+
+def steps(keys: np.ndarray, base: int) -> bytes:
+    """Sorted keys as differences."""
+    return narrow(np.diff(keys.view(np.int64), prepend=np.int64(base)))
+
+
+def from_steps(data: bytes, n: int, base: int) -> np.ndarray:
+    return (np.cumsum(widen(data, n)) + base).view(np.uint64)
+
+
+class Batch:
+    """Distinct words and bigrams of the words w of documents with these numbers of words. Words have odd keys, bigrams even ones."""
+
+    def __init__(self, words: np.ndarray, word_at: np.ndarray, sizes: np.ndarray):
+        self.words, self.word_at, self.sizes = words, word_at, sizes
+        self.full = np.flatnonzero(sizes)
+        self.stops = np.cumsum(sizes)[self.full]
+        w = words[word_at]
+        before = np.empty_like(w)
+        before[1:] = w[:-1]
+        before[self.stops - sizes[self.full]] = START
+        self.pairs, self.first, self.pair_at = np.unique(_pair(before, w) >> np.uint64(64 - KEY_BITS) & ~ONE, return_index=True, return_inverse=True)
+        self.final = np.zeros(len(w), bool)
+        self.final[self.stops - 1] = True
+        keys = np.concatenate([words, self.pairs])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.place = np.empty(len(keys), np.int64)  # of a word's or, after them, a bigram's key
+        self.place[order] = np.arange(len(keys))
+
+    def counts(self, target: np.ndarray) -> list[np.ndarray]:
+        n, m = len(self.words), len(self.pairs)
+        weight = np.repeat(target, self.sizes).astype(np.float64)
+
+        def count(at: np.ndarray, size: int, weights=None) -> np.ndarray:
+            return np.bincount(at, weights, size).astype(np.int64)
+
+        none, last = np.zeros(m, np.int64), self.word_at[self.final]
+        found = [
+            [count(self.word_at, n), count(self.pair_at, m)],
+            [count(self.word_at, n, weight), count(self.pair_at, m, weight)],
+            [count(last, n), none],
+            [count(last, n, weight[self.final]), none],
+        ]
+        out = []
+        for parts in found:
+            x = np.empty(len(self.place), np.int64)
+            x[self.place] = np.concatenate(parts)
+            out.append(x)
+        return out
 
 
 def range_starts(ranges: int) -> np.ndarray:
     """The least key of each range."""
-    return np.array([i * 2**64 // ranges for i in range(ranges)], np.uint64)
+    return np.array([i * 2**KEY_BITS // ranges for i in range(ranges)], np.uint64)
 
 
-def batches_of(docs: DataFrame, ranges: int, batch_words: int) -> DataFrame:
-    """The rows of all batches of docs (doc_id, text, target). A batch ends when it has batch_words words."""
+def rows_of(kind: int, ids: list, lists: list[np.ndarray], target: np.ndarray, starts: np.ndarray) -> list[tuple]:
+    """The rows of one kind of a batch of documents; its number is a hash of its ids, sizes and words."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    words, word_at = np.unique(np.concatenate(lists), return_inverse=True)
+    names, nulls = np.array([x or 0 for x in ids], "<i8").tobytes(), np.array([x is None for x in ids], np.uint8).tobytes()
+    number = xxhash.xxh64_intdigest(b"".join([names, nulls, sizes.tobytes(), words.tobytes(), word_at.tobytes()]))
+    number -= (number >> 63) << 64
+    if kind == TEXTS:
+        return [(TEXTS, number, len(words), len(ids), steps(words, 0), names, nulls, narrow(sizes), narrow(word_at), None)]
+    if not len(words):
+        return []
+    batch = Batch(words, word_at, sizes)
+    counts = batch.counts(target)
+    totals = [len(word_at), int(sizes[target].sum()), len(batch.full), int(target[batch.full].sum())]
+    cuts = np.searchsorted(batch.keys, starts)
+    rows = []
+    for r, (lo, hi) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch.keys)], strict=True)):
+        if hi > lo:
+            rows.append((KEYS, number, r, hi - lo, steps(batch.keys[lo:hi], int(starts[r])), *(narrow(x[lo:hi]) for x in counts), None if rows else totals))
+    return rows
+
+
+def batches_of(docs: DataFrame, kind: int, ranges: int, batch_words: int) -> DataFrame:
+    """The rows of one kind of all batches of docs (doc_id, text, target). A batch ends when it has batch_words words.
+
+    Both kinds read the same partitions in the same order and so make the same batches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId() << 32, 0
+        starts = range_starts(ranges)
         ids: list = []
         lists: list[np.ndarray] = []
         target: list[bool] = []
         held = 0
         for b in batches:
             for doc, text, good in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                words = words_of(text.as_py())
                 ids.append(doc)
-                lists.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+                lists.append(word_keys(text.as_py()))
                 target.append(good)
-                held += len(words)
+                held += len(lists[-1])
                 if held >= batch_words or len(ids) >= batch_words:
-                    yield _record(batch_rows(task + number, ranges, ids, lists, np.array(target)))
-                    number, held, ids, lists, target = number + 1, 0, [], [], []
-        if ids:
-            yield _record(batch_rows(task + number, ranges, ids, lists, np.array(target)))
+                    if rows := rows_of(kind, ids, lists, np.array(target), starts):
+                        yield _record(rows)
+                    held, ids, lists, target = 0, [], [], []
+        if ids and (rows := rows_of(kind, ids, lists, np.array(target), starts)):
+            yield _record(rows)
 
     return docs.select("doc_id", "text", "target").mapInArrow(run, SCHEMA)
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows of kind KEYS sorted by range: the same rows with the sums of all batches; a range's first row has the
-    number of its words in `totals`."""
+def answers_to(asked: DataFrame, ranges: int) -> DataFrame:
+    """For the batches' rows of KEYS the same rows with the sums of all batches in place of their own counts. `totals`
+    starts with the number of different words, which a range's first row has, and goes on with the batch's."""
 
-    def whole(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sizes = [r[3] for r in rows]
-        keys = np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows])
-        known, at = np.unique(keys, return_inverse=True)
-        ends = np.cumsum(sizes)
-        sums = []
-        for c in range(5, 9):
-            values = np.concatenate([widen(r[c], r[3]) for r in rows])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = range_starts(ranges)
+
+        def whole(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            sizes = [r[3] for r in rows]
+            known, at = np.unique(np.concatenate([from_steps(r[4], r[3], int(starts[r[2]])) for r in rows]), return_inverse=True)
+            ends = np.cumsum(sizes)
             # bincount adds doubles, which are exact up to 2^53
-            sums.append(np.bincount(at, values, len(known)).astype(np.int64))
-        words = int((known & ONE).sum())
-        for i, (r, lo, hi) in enumerate(zip(rows, ends - sizes, ends, strict=True)):
-            yield _record([_row(KEYS, r[1], r[2], r[3], b"", *(narrow(s[at[lo:hi]]) for s in sums), totals=[words if i == 0 else 0])])
-
-    held: list[tuple] = []
-    for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
-            if held and held[0][2] != row[2]:
-                yield from whole(held)
-                held = []
-            held.append(row)
-    if held:
-        yield from whole(held)
+            sums = [np.bincount(at, np.concatenate([widen(r[c], r[3]) for r in rows]), len(known)).astype(np.int64) for c in range(5, 9)]
+            words = int((known & ONE).sum())
+            for i in range(0, len(rows), 256):
+                some = zip(rows[i : i + 256], ends[i : i + 256] - sizes[i : i + 256], ends[i : i + 256], strict=True)
+                yield _record([(KEYS, r[1], r[2], r[3], b"", *(narrow(s[at[lo:hi]]) for s in sums), [0 if i + k else words, *(r[9] or [0] * 4)]) for k, (r, lo, hi) in enumerate(some)])
+
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
+                if held and held[0][2] != row[2]:
+                    yield from whole(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from whole(held)
+
+    return asked.repartition("range").sortWithinPartitions("range").mapInArrow(run, SCHEMA)
 
 
 def scores(docs: DataFrame, target_ids: DataFrame, mu: float = 20.0, alpha: float = 0.5, batch_words: int = 1 << 20, words_per_range: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,48 +225,46 @@ def scores(docs: DataFrame, target_ids: DataFrame, mu: float = 20.0, alpha: floa
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # 1024 ranges hold up to a thousand million words; rows never outnumber the keys that batches ask for
     ranges = max(1024, math.ceil(size / 6 / words_per_range))
-    rows = join_checked(rows, marks, rows["doc_id"] == marks["target_id"], "left", 1_000_000).select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
-    made, path = staged_by(batches_of(rows, ranges, batch_words), "word-batches", "kind")
-    answers = staged(made.where(F.col("kind") == KEYS).select(COLS[:9]).repartition("range").sortWithinPartitions("range").mapInArrow(_answer, SCHEMA), "word-counts")
-    delete(docs.sparkSession, f"{path}/kind={KEYS}")
-    total, total_t, texts, texts_t = (x or 0 for x in made.where(F.col("kind") == TEXTS).agg(*(F.sum(F.col("totals")[i]) for i in range(4))).first())
-    v = answers.agg(F.sum(F.col("totals")[0])).first()[0] or 0
+    few = small_enough(marks, 1_000_000)
+    rows = rows.join(F.broadcast(marks) if few else marks, rows["doc_id"] == marks["target_id"], "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
+    rows = rows if few else staged(rows, "marked-texts")  # a shuffled join may give another order when it runs again
+    answers = staged(answers_to(batches_of(rows, KEYS, ranges, batch_words), ranges), "word-counts")
+    v, total, total_t, texts, texts_t = (x or 0 for x in answers.agg(*(F.sum(F.col("totals")[i]) for i in range(5))).first())
     matched = total_t / total if total_t else 1.0
     from_start = math.log(texts * matched + mu) - math.log(texts_t + mu)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
+        batch, parts = None, {}
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+                if row[1] != batch:
+                    batch, parts = row[1], {}
                 if row[0] == KEYS:
-                    parts.append(row)
-                    continue
-                yield scored(row, parts)
-                parts = []
+                    parts[row[2]] = row  # batches of equal documents get equal answers
+                else:
+                    yield scored(row, list(parts.values()))
 
     def scored(row: tuple, parts: list[tuple]) -> pa.RecordBatch:
-        _, _, _, k, known, names, nulls, sizes, at = row
+        _, _, words, k, keys, names, nulls, sizes, at = row
         sizes = widen(sizes, k)
-        at = widen(at, int(sizes.sum()))
+        batch = Batch(from_steps(keys, words, 0), widen(at, int(sizes.sum())), sizes)
         sums = np.zeros(k)
-        if len(at):
+        if sum(p[3] for p in parts) != len(batch.keys):
+            raise RuntimeError("the answers of a batch are not those it asked for: its documents were read in another order")
+        if len(batch.keys):
             n, t, e, f = (np.concatenate([widen(p[c], p[3]) for p in parts]) for c in range(5, 9))
-            m = int(at.max()) + 1
-            pair, word = widen(known, 2 * m).reshape(2, m)
+            pair, word = batch.place[words:], batch.place[:words][batch.word_at[batch.first]]
             u_all = (n[word] * matched + alpha) / (total * matched + alpha * (v + 1))
             u_target = (t[word] + alpha) / (total_t + alpha * (v + 1))
             gain = np.log(t[pair] + mu * u_target) - np.log(n[pair] * matched + mu * u_all)
             # a word that another follows is that word's context
             context = np.log((n[word] - e[word]) * matched + mu) - np.log(t[word] - f[word] + mu)
-            values = (gain + context)[at]
-            ends = np.cumsum(sizes)
-            full = sizes > 0
-            values[ends[full] - 1] -= context[at[ends[full] - 1]]
-            sums[full] = np.add.reduceat(values, (ends - sizes)[full]) + from_start
+            values = np.where(batch.final, gain[batch.pair_at], (gain + context)[batch.pair_at])
+            sums[batch.full] = np.add.reduceat(values, batch.stops - sizes[batch.full]) + from_start
         ids = pa.array(np.frombuffer(names, "<i8"), mask=np.frombuffer(nulls, np.uint8) == 1)
         return pa.RecordBatch.from_arrays([ids, pa.array(sums), pa.array(sizes)], ["doc_id", "sum", "n"])
 
-    met = answers.select(COLS[:9]).unionAll(made.where(F.col("kind") == TEXTS).select(COLS[:9]))
+    met = answers.select(COLS[:9]).unionAll(batches_of(rows, TEXTS, ranges, batch_words).select(COLS[:9]))
     met = met.repartition("batch").sortWithinPartitions("batch", "kind", "range").mapInArrow(score, "doc_id long, sum double, n long")
     found = met.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("sum").alias("sum"))
     return found.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words")).otherwise(F.lit(0.0)).alias("score"))

@@ -299,6 +299,8 @@ def test_lm_scores_do_not_depend_on_batches(spark):
     whole, parts = ({x["doc_id"]: (x["n_words"], x["score"]) for x in lmscore.scores(df.repartition(k), good, batch_words=b).collect()} for k, b in ((1, 1 << 20), (5, 50)))
     assert whole.keys() == parts.keys() == {m[0] for m in many}
     assert all(whole[i][0] == parts[i][0] and abs(whole[i][1] - parts[i][1]) < 1e-9 for i in whole)
+    same = spark.createDataFrame([(1, "a b a")] * 6 + [(2, "c")], "doc_id long, text string").repartition(7)
+    assert {x["doc_id"]: x["n_words"] for x in lmscore.scores(same, good).collect()} == {1: 18, 2: 1}
 
 
 @pytest.mark.parametrize("x", [[], [0], [0, 255, 256], [2**40, 1, 0], list(range(1000))])
