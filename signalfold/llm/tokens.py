@@ -12,18 +12,18 @@ Each block starts a new word, and each document's number of ids gives its offset
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, Kept, new_path, staged
+from .common import Kept, new_path, staged
 
 #: Ids a word, by selector; 60 // count bits each.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -105,15 +105,12 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
-#: A comma or full stop after a letter and before white space is always a token of its own.
-MARKS = re.compile(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0D]|\Z)")
-
-
 class WordEncoder:
     """Ids of texts; white space separates what this tokenizer encodes, so ids of white-space-free pieces are kept.
 
-    The tokenizer lower-cases, so A-Z is lower-cased first unless the text may spell a special token. At most `kept`
-    pieces of at most 64 bytes each are kept.
+    The tokenizer lower-cases, so A-Z is lower-cased first unless the text may spell a special token. A comma or full
+    stop after a letter that ends a piece is always a token of its own. At most `kept` pieces of at most 64 bytes each
+    are kept.
     """
 
     def __init__(self, path: str, kept: int = 1_000_000):
@@ -125,40 +122,64 @@ class WordEncoder:
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for n, i in names.items() if n.endswith("</w>")]] = True
 
-    def pieces(self, text: str) -> list[bytes]:
-        data = text.encode("utf-8", "surrogatepass")
-        if b"<|" not in data:
-            data = MARKS.sub(rb" \g<0>", data.translate(LOWER_BYTES))
-        return data.split()
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        pieces = [self.pieces(t) for t in texts]
-        order = self.known.missing({w for p in pieces for w in p})
+    def encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian u32 ids of each of these pieces, which are all different."""
+        keep = self.known
+        stems = {p: p[:-1] if len(p) > 1 and p[-1:] in b".," and p[-2:-1].isalpha() else p for p in keep.missing(set(pieces))}
+        young, long = keep.young, {}
+        ends = {p[-1:] for p, s in stems.items() if s is not p}
+        new = {*stems.values(), *ends}
         plain, other = [], []
-        for w in order:
+        for w in new:
+            if w in young:
+                continue
             t = w.decode("utf-8", "replace")
             (plain if len(w) <= 64 and t.isalpha() else other).append((w, t))
+        found: dict[bytes, bytes] = {}
         for i in range(0, len(plain), 2048):
             part = plain[i : i + 2048]
             # letters alone make one word, and the last token of a word is known by its id
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) != len(part):
                 other += part
                 continue
             data, at = ids.tobytes(), 0
-            for (w, _), end in zip(part, (4 * ends).tolist(), strict=True):
-                self.known.young[w] = data[at:end]
-                at = end
-        long: dict[bytes, bytes] = {}
+            for (w, _), stop in zip(part, (4 * stops).tolist(), strict=True):
+                found[w] = data[at:stop]
+                at = stop
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
             coded = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
             for (w, _), e in zip(part, coded, strict=True):
-                (self.known.young if len(w) <= 64 else long)[w] = np.array(e.ids, "<u4").tobytes()
-        get = (self.known.young | long if long else self.known.young).__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+                found[w] = np.array(e.ids, "<u4").tobytes()
+        young.update((w, ids) for w, ids in found.items() if len(w) <= 64)
+        for w, stem in stems.items():
+            ids = found[stem] if stem in found else young[stem]
+            if stem is not w:
+                mark = w[-1:]
+                ids += found[mark] if mark in found else young[mark]
+            (young if len(w) <= 64 else long)[w] = ids
+        get = (young | long if long else young).__getitem__
+        return list(map(get, pieces))
+
+    def codes(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each followed by end_id, number of ids of each text); null is empty."""
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|")
+        if pc.any(special).as_py():  # rare: what may spell a special token keeps its capitals
+            texts = pc.if_else(special, texts, pc.ascii_lower(texts))
+        else:
+            texts = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().cast(pa.binary()).dictionary_encode()
+        coded = self.encoded(words.dictionary.to_pylist())
+        coded.append(np.array([end_id], "<u4").tobytes())
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) // 4
+        of_piece = pa.ListArray.from_arrays(pa.array(np.insert(ends, 0, 0).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<u4")))
+        stops = np.cumsum(lists.value_lengths().to_numpy())
+        of_word = of_piece.take(pa.array(np.insert(words.indices.to_numpy(), stops, len(coded) - 1)))
+        return of_word.values.to_numpy(), np.diff(of_word.offsets.to_numpy()[stops + np.arange(len(stops)) + 1], prepend=0)
 
 
 @cache
@@ -167,41 +188,45 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = 1 << 18, slice_bytes: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text (null: empty), append end_id to each document and write files under path.
 
     Documents stand in ascending id order (null ids first, equal ids by text): files by range, rows within files.
-    Blocks hold about block_ids ids, so memory is bounded by one block and one text. Spark's committer writes the
+    Blocks hold about block_ids ids and no more than those of slice_bytes of text or one text beyond, so memory is
+    bounded by these and one text. Spark's committer writes the
     files: a lost executor's part is written again and no partial file stays. An empty table leaves no blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(tokenizer), TaskContext.get().partitionId()
         names: list[int | None] = []
-        codes: list[bytes] = []
+        sizes: list[np.ndarray] = []
+        codes: list[np.ndarray] = []
         held = 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def block() -> pa.RecordBatch:
-            lengths = np.array([len(c) // 4 for c in codes], "<u4")
-            ids = np.frombuffer(b"".join(codes), "<u4")
+            ids, lengths = np.concatenate(codes), np.concatenate(sizes).astype("<u4")
             words = pack(ids)
-            head = np.array([(MAGIC, part, len(codes), len(words), len(ids))], HEAD).tobytes()
+            head = np.array([(MAGIC, part, len(lengths), len(words), len(ids))], HEAD).tobytes()
             nulls = np.array([x is None for x in names], np.uint8).tobytes()
             body = np.array([x or 0 for x in names], "<i8").tobytes() + nulls + lengths.tobytes() + words.astype("<u8").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([head + body], pa.binary())], ["block"])
 
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                few = b.slice(i, 64)
-                texts = [t or "" for t in few.column(1).to_pylist()]
-                for name, code in zip(few.column(0).to_pylist(), coder.texts(texts), strict=True):
-                    names.append(name)
-                    codes.append(code + end)
-                    held += len(code) // 4 + 1
-                    if held >= block_ids:
-                        yield block()
-                        names, codes, held = [], [], 0
+            texts = b.column(1)
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            i = 0
+            while i < b.num_rows:  # about slice_bytes bytes of text at a time, one text at least
+                j = max(int(np.searchsorted(size, (size[i - 1] if i else 0) + slice_bytes, "right")), i + 1)
+                ids, lengths = coder.codes(texts.slice(i, j - i), end_id)
+                names += b.column(0).slice(i, j - i).to_pylist()
+                codes.append(ids)
+                sizes.append(lengths)
+                held += len(ids)
+                if held >= block_ids:
+                    yield block()
+                    names, sizes, codes, held = [], [], [], 0
+                i = j
         if names:
             yield block()
 
