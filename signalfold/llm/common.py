@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,20 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, max_rows: int
     return left.join(F.broadcast(right) if small_enough(right, max_rows) else right, on, how)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers from 0 as planes of bytes, the lowest first, without planes that are zero throughout."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return np.ascontiguousarray(np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        found = np.frombuffer(data, np.uint8).reshape(-1, n)
+        out[:, : len(found)] = found.T
+    return out.view("<i8").ravel()
+
+
 class Kept:
     """A bounded store of computed values: entries unused for a while go first, half the store at a time."""
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, small_enough, staged
+from .common import LOWER_BYTES, from_planes, planes, small_enough, staged
 
 START = np.uint64(0x8CB92BA72F3D8DD7)
 ONE = np.uint64(1)
@@ -42,20 +42,6 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def narrow(x: np.ndarray) -> bytes:
-    """Counts as planes of bytes, the lowest first, without planes that are zero throughout."""
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return np.ascontiguousarray(np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def widen(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
-        out[:, : len(planes)] = planes.T
-    return out.view("<i8").ravel()
-
-
 #: A batch's rows. KEYS: its keys of one range (as differences) and how often each occurs (a: in all, b: in target
 #: documents, and of words as a document's last, c: in all, d: in target documents); the first of them also has the
 #: batch's totals (words and documents with words; all, target). TEXTS: its words' keys, its documents' ids (a), which
@@ -78,11 +64,11 @@ def word_keys(text: str | None) -> np.ndarray:
 
 def steps(keys: np.ndarray, base: int) -> bytes:
     """Sorted keys as differences."""
-    return narrow(np.diff(keys.view(np.int64), prepend=np.int64(base)))
+    return planes(np.diff(keys.view(np.int64), prepend=np.int64(base)))
 
 
 def from_steps(data: bytes, n: int, base: int) -> np.ndarray:
-    return (np.cumsum(widen(data, n)) + base).view(np.uint64)
+    return (np.cumsum(from_planes(data, n)) + base).view(np.uint64)
 
 
 class Batch:
@@ -140,7 +126,7 @@ def rows_of(kind: int, ids: list, lists: list[np.ndarray], target: np.ndarray, s
     number = xxhash.xxh64_intdigest(b"".join([names, nulls, sizes.tobytes(), words.tobytes(), word_at.tobytes()]))
     number -= (number >> 63) << 64
     if kind == TEXTS:
-        return [(TEXTS, number, len(words), len(ids), steps(words, 0), names, nulls, narrow(sizes), narrow(word_at), None)]
+        return [(TEXTS, number, len(words), len(ids), steps(words, 0), names, nulls, planes(sizes), planes(word_at), None)]
     if not len(words):
         return []
     batch = Batch(words, word_at, sizes)
@@ -150,7 +136,7 @@ def rows_of(kind: int, ids: list, lists: list[np.ndarray], target: np.ndarray, s
     rows = []
     for r, (lo, hi) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch.keys)], strict=True)):
         if hi > lo:
-            rows.append((KEYS, number, r, hi - lo, steps(batch.keys[lo:hi], int(starts[r])), *(narrow(x[lo:hi]) for x in counts), None if rows else totals))
+            rows.append((KEYS, number, r, hi - lo, steps(batch.keys[lo:hi], int(starts[r])), *(planes(x[lo:hi]) for x in counts), None if rows else totals))
     return rows
 
 
@@ -194,11 +180,11 @@ def answers_to(asked: DataFrame, ranges: int) -> DataFrame:
             known, at = np.unique(np.concatenate([from_steps(r[4], r[3], int(starts[r[2]])) for r in rows]), return_inverse=True)
             ends = np.cumsum(sizes)
             # bincount adds doubles, which are exact up to 2^53
-            sums = [np.bincount(at, np.concatenate([widen(r[c], r[3]) for r in rows]), len(known)).astype(np.int64) for c in range(5, 9)]
+            sums = [np.bincount(at, np.concatenate([from_planes(r[c], r[3]) for r in rows]), len(known)).astype(np.int64) for c in range(5, 9)]
             words = int((known & ONE).sum())
             for i in range(0, len(rows), 256):
                 some = zip(rows[i : i + 256], ends[i : i + 256] - sizes[i : i + 256], ends[i : i + 256], strict=True)
-                yield _record([(KEYS, r[1], r[2], r[3], b"", *(narrow(s[at[lo:hi]]) for s in sums), [0 if i + k else words, *(r[9] or [0] * 4)]) for k, (r, lo, hi) in enumerate(some)])
+                yield _record([(KEYS, r[1], r[2], r[3], b"", *(planes(s[at[lo:hi]]) for s in sums), [0 if i + k else words, *(r[9] or [0] * 4)]) for k, (r, lo, hi) in enumerate(some)])
 
         held: list[tuple] = []
         for b in batches:
@@ -246,13 +232,13 @@ def scores(docs: DataFrame, target_ids: DataFrame, mu: float = 20.0, alpha: floa
 
     def scored(row: tuple, parts: list[tuple]) -> pa.RecordBatch:
         _, _, words, k, keys, names, nulls, sizes, at = row
-        sizes = widen(sizes, k)
-        batch = Batch(from_steps(keys, words, 0), widen(at, int(sizes.sum())), sizes)
+        sizes = from_planes(sizes, k)
+        batch = Batch(from_steps(keys, words, 0), from_planes(at, int(sizes.sum())), sizes)
         sums = np.zeros(k)
         if sum(p[3] for p in parts) != len(batch.keys):
             raise RuntimeError("the answers of a batch are not those it asked for: its documents were read in another order")
         if len(batch.keys):
-            n, t, e, f = (np.concatenate([widen(p[c], p[3]) for p in parts]) for c in range(5, 9))
+            n, t, e, f = (np.concatenate([from_planes(p[c], p[3]) for p in parts]) for c in range(5, 9))
             pair, word = batch.place[words:], batch.place[:words][batch.word_at[batch.first]]
             u_all = (n[word] * matched + alpha) / (total * matched + alpha * (v + 1))
             u_target = (t[word] + alpha) / (total_t + alpha * (v + 1))

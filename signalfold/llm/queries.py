@@ -53,8 +53,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring.repeated_passages(table(spark, sf_dir, "documents"), least_words=50, similarity=0.8)
-    return substring.passage_classes(staged(found, "repeated-passages"))
+    docs = table(spark, sf_dir, "documents")
+    found = substring.repeated_passages(docs, least_words=50, similarity=0.8)
+    return substring.passage_classes(docs, staged(found, "repeated-passages"), least_words=50)
 
 
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
