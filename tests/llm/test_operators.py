@@ -220,7 +220,32 @@ def test_nearest(spark):
         if q == 10:
             assert [r["vec_id"] for r in mine] == [11, 12, 13, 14, 15]
     assert hit >= 0.9 * 65 and {r["query_id"] for r in got} == {*range(0, 600, 50), 10}
-    assert ann.nearest(df.limit(0), df).count() == 0
+    assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df, df.limit(0)).count() == 0
+
+
+def test_nearest_of_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0], 9.0), (0, [1.0, 0.0], 8.0), (1, [1.0, 0.5], 7.0), (1, [1.0, 0.5], 7.0), (1, [0.0, 1.0], 6.0), (2, [1.0, 0.1], 5.0), (None, [1.0, 0.0], 4.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double")
+    got = sorted(tuple(r)[:3] for r in ann.nearest(df, df.where("vec_id = 0")).collect())
+    assert got == sorted([(0, i, v) for i, v in enumerate([0, 2, 1, 1, 1], 1)] * 2)
+    got = sorted(tuple(r)[1:3] for r in ann.nearest(df, df.where("vec_id = 2"), k=9).collect())
+    assert got == list(enumerate([0, 0, 1, 1, 1], 1))
+
+
+@pytest.mark.parametrize("rows", [2000, 6000])
+def test_nearest_probes_few_rows(spark, rows):
+    g = np.random.default_rng(6)
+    x = g.normal(size=(rows, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ask = df.where("vec_id % 50 = 0")
+    found = ann.search(df, ask, shard_rows=3000).select("query_id", "probed").distinct()
+    assert found.agg(F.avg("probed")).first()[0] < 0.23
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    s = u[::50] @ u.T
+    s[np.arange(len(s)), np.arange(0, rows, 50)] = -9
+    best = {(i * 50, int(v)) for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for v in row}
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, ask, shard_rows=3000).collect()}
+    assert len(best & got) >= 0.9 * len(best)
 
 
 def test_chat_repair_is_cheapest():
