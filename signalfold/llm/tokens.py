@@ -2,10 +2,11 @@
 
 File: a run of blocks, each ended by one byte 0x0A (Spark's text writer puts it there). Numbers are little-endian.
 
-    block  := b"S8B1" | part u32 | n_docs u32 | n_words u32 | n_ids u64
+    block  := b"S8B2" | part u32 | n_docs u32 | n_words u32 | n_ids u64 | start u64
               | doc ids (i64 x n_docs) | null flags (u8 x n_docs) | ids of each document (u32 x n_docs) | words (u64 x n_words)
 
-`part` orders files, blocks stand in order within a file. A word's top four bits select how many ids share the other
+`part` orders blocks, `start` is the block's offset: the ids of its part before it, so that a block is read without
+those before it; a part's blocks may be spread over several files. A word's top four bits select how many ids share the other
 60 bits (COUNTS); selector ESCAPE has no ids of its own, the next word holds one id of up to 64 bits as it is.
 Each block starts a new word, and each document's number of ids gives its offset, so blocks decode alone.
 """
@@ -28,8 +29,8 @@ from .common import Kept, new_path, staged
 #: Ids a word, by selector; 60 // count bits each.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
-MAGIC = b"S8B1"
-HEAD = np.dtype([("magic", "S4"), ("part", "<u4"), ("n_docs", "<u4"), ("n_words", "<u4"), ("n_ids", "<u8")])
+MAGIC = b"S8B2"
+HEAD = np.dtype([("magic", "S4"), ("part", "<u4"), ("n_docs", "<u4"), ("n_words", "<u4"), ("n_ids", "<u8"), ("start", "<u8")])
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -188,7 +189,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = 1 << 18, slice_bytes: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = 1 << 18, slice_bytes: int = 1 << 22, file_blocks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text (null: empty), append end_id to each document and write files under path.
 
     Documents stand in ascending id order (null ids first, equal ids by text): files by range, rows within files.
@@ -202,12 +203,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids
         names: list[int | None] = []
         sizes: list[np.ndarray] = []
         codes: list[np.ndarray] = []
-        held = 0
+        held = start = 0
 
         def block() -> pa.RecordBatch:
+            nonlocal start
             ids, lengths = np.concatenate(codes), np.concatenate(sizes).astype("<u4")
             words = pack(ids)
-            head = np.array([(MAGIC, part, len(lengths), len(words), len(ids))], HEAD).tobytes()
+            head = np.array([(MAGIC, part, len(lengths), len(words), len(ids), start)], HEAD).tobytes()
+            start += len(ids)
             nulls = np.array([x is None for x in names], np.uint8).tobytes()
             body = np.array([x or 0 for x in names], "<i8").tobytes() + nulls + lengths.tobytes() + words.astype("<u8").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([head + body], pa.binary())], ["block"])
@@ -233,11 +236,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     blocks = rows.mapInArrow(run, "block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.mode("overwrite").text(path)
+    blocks.select(F.col("block").cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", file_blocks).text(path)
 
 
-def blocks_of(content: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray, np.ndarray]]:
-    """(part, doc ids, ids of each document, all ids) of the blocks of a file."""
+def blocks_of(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.ndarray, np.ndarray]]:
+    """(part, start, doc ids, number of ids of each document, all ids) of the blocks of a file."""
     at = 0
     while at < len(content):
         head = np.frombuffer(content, HEAD, 1, at)[0]
@@ -253,32 +256,30 @@ def blocks_of(content: bytes) -> Iterator[tuple[int, list[int | None], np.ndarra
         ids = unpack(words)
         if len(ids) != int(head["n_ids"]):
             raise ValueError(f"a block has {len(ids)} ids and should have {head['n_ids']}")
-        yield int(head["part"]), [None if z else int(x) for x, z in zip(names, nulls, strict=True)], lengths.astype(np.int64), ids
+        yield int(head["part"]), int(head["start"]), [None if z else int(x) for x, z in zip(names, nulls, strict=True)], lengths.astype(np.int64), ids
 
 
 def read(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files under path.
 
-    start counts the ids of all documents before it; totals of files, one row each, are summed in file order.
+    start counts the ids of all documents before it; totals of parts, one row each, are summed in their order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                at, order = 0, 0
-                for part, names, lengths, ids in blocks_of(content.as_py()):
+                for part, at, names, lengths, ids in blocks_of(content.as_py()):
                     data = ids.astype("<u4").tobytes()
                     ends = np.cumsum(lengths)
                     crc = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                     k = len(names)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names, pa.int64()), pa.array([part] * k, pa.int64()), pa.array(range(order, order + k), pa.int64()), pa.array(at + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
-                        ["doc_id", "part", "row", "start", "n_tokens", "ids_crc32"],
+                        [pa.array(names, pa.int64()), pa.array([part] * k, pa.int64()), pa.array(at + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
+                        ["doc_id", "part", "start", "n_tokens", "ids_crc32"],
                     )
-                    at, order = at + int(ends[-1]), order + k
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "doc_id long, part long, row long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(run, "doc_id long, part long, start long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
