@@ -9,12 +9,16 @@ the permuted blocks and order their documents locally by hash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Output shards, if no other number is asked for.
+SHARDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,14 +73,16 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = 16, blocks: int = 4096, docs_per_block: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = SHARDS, blocks: int = 4096, docs_per_block: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken, places) for each row of docs.
 
-    size is the word count (null or empty: 0). copies says how often the mix takes the document, taken = copies * size,
-    places lists (shard, position) of each copy. A source has at most `blocks` blocks of docs_per_block documents or
-    more. A source's taken words miss its target by about half a document at most. Null is a source of its own. Rows of
-    one id and size are taken alike where they are cut; a source of size 0 has target 0 and is not taken. Sums are kept
-    per block before they meet, so a source with most rows does not gather in one task. Extra columns are ignored.
+    size is the word count (null or empty: 0). places lists (shard, position) of each copy of the document that the
+    shards draw; copies is their number, taken = copies * size. A source has at most `blocks` blocks of docs_per_block
+    documents or more. The last block that a source's shards draw is cut between documents: in hashed order those that
+    fit, then those that fit what is left, so the taken words miss the target by less than half of the smallest document
+    left. Null is a source of its own. Equal rows are taken alike except where they are cut; a source of size 0 has
+    target 0 and is not taken. Sums are kept per block before they meet, so a source with most rows does not gather in
+    one task. No rows give no rows. Extra columns are ignored.
     """
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = staged(sized, "sizes")
@@ -92,23 +98,39 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     table = placed.groupBy("no", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     order = Window.partitionBy("no").orderBy(F.xxhash64(F.lit(seed + 1), F.col("no"), F.col("block")), "block")
     table = table.withColumn("rank", F.row_number().over(order) - 1).withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    table = table.withColumn("n_ranks", F.count(F.lit(1)).over(Window.partitionBy("no")))  # blocks without documents have no rank
     before = F.col("upto") - F.col("words")
     table = table.withColumn("state", F.when(F.col("upto") <= F.col("rest"), F.lit(1)).when(before >= F.col("rest"), F.lit(0)).otherwise(F.lit(2))).withColumn("room", F.col("rest") - before)
-    table = staged(table.select("no", "block", "passes", "rank", "state", "room"), "mix-blocks")
+    table = staged(table.select("no", "block", "passes", "rank", "n_ranks", "state", "room"), "mix-blocks")
     shard_of = _shards(table, shards, seed)
     few = table.count() <= 500_000
-    chosen = placed.join(F.broadcast(table.select("no", "block", "rank", "state", "room")) if few else table.select("no", "block", "rank", "state", "room"), ["no", "block"])
-    whole = chosen.where("state <> 2").withColumn("more", F.col("state"))
-    # the block across the target: its documents in hashed order, cut where the sum comes nearest
-    within = Window.partitionBy("no", "block").orderBy("chance", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = chosen.where("state = 2").withColumn("sum", F.sum("size").over(within)).withColumn("more", (F.col("sum") - F.col("size") / 2 <= F.col("room")).cast("int")).drop("sum")
-    taken = whole.unionByName(cut).withColumn("copies", (F.col("passes") + F.col("more")).cast("int"))
-    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(most))), lambda i: F.when(i < F.col("copies"), F.struct(i.alias("copy"), F.xxhash64(F.lit(seed + 2), F.col("doc_id"), i).alias("position")))), lambda x: x.isNotNull())
-    taken = taken.join(F.broadcast(shard_of) if shard_of.count() <= 100_000 else shard_of, "no")
-    at = lambda copy: F.col("rank") + copy.cast("long") * F.col("n_blocks")
+    chosen = placed.join(F.broadcast(table.drop("passes")) if few else table.drop("passes"), ["no", "block"])
+    whole = chosen.where("state <> 2").withColumn("more", F.col("state") == 1)
+    cut = _fitted(chosen.where("state = 2"))
+    drawn = whole.unionByName(cut)
+    drawn = drawn.join(F.broadcast(shard_of) if shard_of.count() <= 100_000 else shard_of, "no")
+    # copy i of a block stands i whole passes behind its rank; the shards' ranges say whether it is drawn and by which
+    at = lambda copy: F.col("rank") + copy.cast("long") * F.col("n_ranks")
     shard = lambda copy: F.size(F.filter("ends", lambda e: e <= at(copy)))
-    places = F.transform(draws, lambda x: F.struct(F.least(shard(x["copy"]), F.lit(shards - 1)).alias("shard"), x["position"].alias("position")))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), places.alias("places"))
+    is_drawn = lambda copy: (at(copy) < F.element_at("ends", -1)) & (F.col("more") | (copy < F.col("passes")))
+    copies = F.filter(F.sequence(F.lit(0), F.lit(math.ceil(most))), is_drawn)
+    places = F.transform(copies, lambda i: F.struct(shard(i).alias("shard"), F.xxhash64(F.lit(seed + 2), F.col("doc_id"), i).alias("position")))
+    drawn = drawn.withColumn("places", places).withColumn("copies", F.size("places"))
+    return drawn.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "places")
+
+
+def _fitted(cut: DataFrame) -> DataFrame:
+    """The documents of the blocks that are cut, one block a source, with `more`: whether this pass takes them."""
+    of_source = Window.partitionBy("no")
+    left = F.col("room") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))).over(of_source), F.lit(0))
+    cut = cut.withColumn("more", F.lit(False))
+    for _ in range(3):
+        cut = cut.withColumn("left", left).withColumn("fits", ~F.col("more") & (F.col("size") <= F.col("left")))
+        order = of_source.orderBy(F.desc("fits"), "chance", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cut = cut.withColumn("more", F.col("more") | (F.col("fits") & (F.sum("size").over(order) - F.coalesce(F.sum(F.when(~F.col("fits"), F.col("size"))).over(order), F.lit(0)) <= F.col("left"))))
+    least = F.row_number().over(of_source.orderBy("more", "size", "chance", "doc_id")) == 1
+    cut = cut.withColumn("left", left).withColumn("least", least)
+    return cut.withColumn("more", F.col("more") | (F.col("least") & (F.col("size") < 2 * F.col("left")))).drop("left", "fits", "least")
 
 
 def _shards(table: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -123,12 +145,15 @@ def _shards(table: DataFrame, shards: int, seed: int) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(no, ends)")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs as often as mix() takes them, with shard and position last; ordering by both gives each shard.
+def mixed(docs: DataFrame, id_col: str = "doc_id", shard_col: str = "shard", position_col: str = "position", **options) -> DataFrame:
+    """The rows of docs as often as mix() takes them, each shard in one partition, ordered by its drawn positions.
 
-    Shuffles docs once, by id. Repeated ids with different texts are all taken as often as the id's largest count.
+    shard_col and position_col come last; a column of docs of that name is left out. Rows of one id are all taken as
+    often as the one of them that is taken most, so ids should differ. Shuffles docs by id, and what is taken by shard.
     """
     plan = mix(docs, id_col=id_col, **options)
     plan = plan.where("copies > 0").groupBy("doc_id").agg(F.max_by("places", F.size("places")).alias("places"))
     met = docs.alias("d").join(plan.alias("p"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("p.doc_id")))
-    return met.select("d.*", F.inline("p.places").alias("shard", "position"))
+    kept = [F.col(f"d.`{c}`") for c in docs.columns if c not in (shard_col, position_col)]
+    rows = met.select(*kept, F.inline("p.places").alias(shard_col, position_col))
+    return rows.repartitionById(options.get("shards", SHARDS), F.col(shard_col)).sortWithinPartitions(position_col)

@@ -49,7 +49,7 @@ FROM m GROUP BY doc_id
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
-    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies", "places")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
