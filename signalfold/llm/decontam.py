@@ -18,6 +18,8 @@ from .common import ascii_lower, small_enough, staged
 #: What stands between words: ASCII that is neither a digit nor a lower-case letter (the text is lower-cased first).
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 
 def words_of(text: Column) -> Column:
     """Words of a text; none for null."""
@@ -42,15 +44,15 @@ def fingerprints(hashes: Column, size: Column, length: int, gram: int) -> tuple[
     return grams, minima
 
 
-def windows_at(texts: DataFrame, id_col: str, length: int, gram: int) -> DataFrame:
-    """texts (id, words, hashes) with `minima`: the fingerprint of the window of `length` words at each position.
+def windows_at(texts: DataFrame, id_cols: list[str], length: int, gram: int) -> DataFrame:
+    """texts (ids, words, hashes) with `minima`: the fingerprint of the window of `length` words at each position.
 
     Explode minima with an _outer generator: for the others Spark infers a filter on the array's size, and pushed below
     the projections that filter would compute each array again for every element.
     """
     n = F.size("words")
     grams, minima = fingerprints(F.col("hashes"), n, length, gram)
-    return texts.withColumn("grams", grams).withColumn("minima", minima(F.col("grams"))).select(id_col, "words", "minima")
+    return texts.withColumn("grams", grams).withColumn("minima", minima(F.col("grams"))).select(*id_cols, "words", "minima")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, span: int = 10, gram: int = 5, max_broadcast: int = 500_000, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -58,8 +60,8 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = 10, gram: int =
 
     n_hit counts the words inside any occurrence of any item window. Texts that are null or have no words are never
     hit and never hit others; items without words are ignored. A null item id counts as an item of its own, written
-    as an empty string. Repeated doc_ids are one document each row if their texts differ in nothing: rows of one
-    doc_id share the union of hits, so ids should be unique. Extra columns are ignored.
+    as an empty string. Each row is answered by its own text, also rows of one doc_id or of none. Extra columns are
+    ignored.
 
     Item windows are broadcast only when a count proves them few; beyond that, distinct fingerprints of each document
     are joined by shuffle first and only documents with a common fingerprint are extended.
@@ -67,34 +69,44 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = 10, gram: int =
     item = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     item = item.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("length", F.least(F.size("words"), F.lit(span)))
     lengths = sorted(r[0] for r in item.select("length").distinct().collect())  # no more than span values
-    doc = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_of(F.col(doc_text)).alias("words"))
+    # a text's hash stands for the row: rows of one id are told apart, and equal rows have equal answers
+    doc = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_text).alias("print"), F.col(doc_text).alias("text"))
+    counts = doc.select("doc_id", "print", F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    doc = doc.select("doc_id", "print", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     hits = [_hits(doc, item.where(F.col("length") == n), n, gram, max_broadcast) for n in lengths]
-    counts = doc.select("doc_id", F.size("words").cast("long").alias("n_words"))
     if not hits:
         return counts.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     hit = staged(reduce(DataFrame.unionAll, hits), "window-hits")
-    covered = hit.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("word")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = hit.select("doc_id", F.explode("items").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found = covered.alias("c").join(named.alias("n"), F.col("c.doc_id").eqNullSafe(F.col("n.doc_id"))).select("c.doc_id", "n_hit", "items")
+    row = ["doc_id", "print"]
+    covered = hit.select(*row, F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("word")).distinct().groupBy(row).agg(F.count(F.lit(1)).alias("n_hit"))
+    named = hit.select(*row, F.explode("items").alias("item")).distinct().groupBy(row).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = covered.alias("c").join(named.alias("n"), _same("c", "n")).select("c.doc_id", "c.print", "n_hit", "items")
     return (
-        counts.alias("c").join(found.alias("f"), F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
+        counts.alias("c").join(found.alias("f"), _same("c", "f"), "left")
         .select("c.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     )
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.print") == F.col(f"{b}.print"))
+
+
 def _hits(doc: DataFrame, item: DataFrame, length: int, gram: int, max_broadcast: int) -> DataFrame:
-    """(doc_id, at, length, items): where windows of `length` words of the items occur."""
+    """(doc_id, print, at, length, items): where windows of `length` words of the items occur."""
     text = lambda: F.concat_ws(" ", F.slice("words", F.col("at") + 1, length))
-    windows = windows_at(item, "item", length, gram).select("item", "words", F.posexplode_outer("minima").alias("at", "fp")).where("fp IS NOT NULL").select("item", "fp", text().alias("window"))
+    windows = windows_at(item, ["item"], length, gram).select("item", "words", F.posexplode_outer("minima").alias("at", "fp")).where("fp IS NOT NULL").select("item", "fp", text().alias("window"))
     windows = staged(windows.groupBy("window", "fp").agg(F.collect_set("item").alias("items")), "item-windows")
     prints = windows.select("fp").distinct()
-    spread = windows_at(doc.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), "doc_id", length, gram)
+    spread = windows_at(doc.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), ["doc_id", "print"], length, gram)
     if small_enough(windows, max_broadcast):
         windows = F.broadcast(windows.drop("fp"))
-        prints = F.broadcast(prints)
+        at = spread.select("doc_id", "print", "words", F.posexplode_outer("minima").alias("at", "fp")).join(F.broadcast(prints), "fp", "left_semi")
     else:
+        # only ids and distinct fingerprints are shuffled; the few rows with a common one meet their words again
         windows = windows.drop("fp")
-        some = spread.select("doc_id", F.explode_outer(F.array_distinct("minima")).alias("fp")).join(prints, "fp", "left_semi").select(F.col("doc_id").alias("some_id")).distinct()
-        spread = spread.join(some, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi")
-    at = spread.select("doc_id", "words", F.posexplode_outer("minima").alias("at", "fp")).join(prints, "fp", "left_semi")
-    return at.select("doc_id", "at", text().alias("window")).join(windows, "window").select("doc_id", "at", F.lit(length).alias("length"), "items")
+        some = spread.select("doc_id", "print", F.explode_outer(F.array_distinct("minima")).alias("fp")).join(prints, "fp", "left_semi")
+        some = some.groupBy("doc_id", "print").agg(F.collect_set("fp").alias("fps"))
+        met = spread.alias("s").join(some.alias("m"), _same("s", "m")).select("s.*", "fps")
+        spots = F.filter(F.transform("minima", lambda fp, i: F.struct(i.alias("at"), fp.alias("fp"))), lambda x: F.array_contains(F.col("fps"), x["fp"]))
+        at = met.select("doc_id", "print", "words", F.inline_outer(spots).alias("at", "fp"))
+    return at.select("doc_id", "print", "at", text().alias("window")).join(windows, "window").select("doc_id", "print", "at", F.lit(length).alias("length"), "items")

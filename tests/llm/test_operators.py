@@ -111,6 +111,10 @@ def test_decontamination(spark, docs, rows, empty):
                         hit |= set(range(k, k + n))
                         names.add(str(item))
             assert got[i] == (len(w), len(hit), sorted(names)), i
+    same = spark.createDataFrame([(1, items[0][1], 0), (1, "clean words only here", 1), (None, items[0][1], 2), (None, None, 3), (None, "one two", 4)], "doc_id long, text string, words int")
+    for most in (500_000, 0):
+        got = sorted((r["n_words"], r["n_hit"]) for r in decontam.contaminated(same, bench, max_broadcast=most).collect())
+        assert got == [(0, 0), (2, 2), (4, 0), (20, 20), (20, 20)]
     assert decontam.contaminated(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.contaminated(empty, bench.limit(1)).count() == 0
 
@@ -139,9 +143,16 @@ def test_mixing(spark, empty):
     for s in size:
         mine = [x for x in got if x["source"] == s]
         assert abs(mine[0]["target"] - want[s]) < 1e-6 * want[s]
-        assert abs(sum(x["taken"] for x in mine) - want[s]) <= 60
+        assert abs(sum(x["taken"] for x in mine) - want[s]) <= 30  # half of the longest text
         assert all(x["taken"] <= 2 * x["size"] and len(x["places"]) == x["copies"] for x in mine)
     assert mixing.mix(empty).count() == 0
+    clash = df.withColumn("shard", F.lit(1)).withColumn("size", F.lit("x")).withColumn("taken", F.lit(2))
+    out = mixing.mixed(clash, docs_per_block=4)
+    assert out.columns == ["doc_id", "text", "source", "size", "taken", "shard", "position"]
+    drawn = sorted((x["doc_id"], p["shard"], p["position"]) for x in got for p in x["places"])
+    assert sorted((x["doc_id"], x["shard"], x["position"]) for x in out.collect()) == drawn
+    blocks = sum(1 for x in got for p in x["places"] if p["shard"] == 3)
+    assert 0.5 * len(drawn) / 16 < blocks < 1.5 * len(drawn) / 16
     tree = mixing.splitting_tree([10, 0, 7], 4, 1)
     assert tree.sum(0).tolist() == [10, 0, 7] and max(tree.sum(1)) - min(tree.sum(1)) <= 1
 
