@@ -37,8 +37,17 @@ def date_order(first: Column, second: Column) -> Column:
 
 
 def age_phrase(age: Column) -> Column:
-    return F.when(age.isNull(), "recently").when(age <= 0, "today").when(age == 1, "yesterday").when(age < 7, "this week").when(age < 14, "last week").when(age < 31, "this month").otherwise("earlier")
+    early = F.when(age.isNull(), "recently").when(age <= 0, "today").when(age == 1, "yesterday").when(age <= 6, "this week")
+    return early.when(age <= 30, "recently").when(age <= 60, "a few weeks ago").otherwise("a while back")
 
 
-def posted_phrase(age: Column) -> Column:
-    return F.when(age.isNull(), "date unknown").when(age == 0, "posted today").when(age == 1, "posted yesterday").otherwise(F.concat(F.lit("posted "), age.cast("string"), F.lit(" days ago")))
+def days_ago(n: Column) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, " day ago").otherwise(" days ago"))
+
+
+def posted_phrase(posted: Column, seen: Column, as_of: Column) -> Column:
+    """When it was posted, else that the date is unknown and when it was first seen."""
+    age, known = F.greatest(F.lit(0), F.datediff(as_of, posted)), F.greatest(F.lit(0), F.datediff(as_of, seen))
+    first = F.concat(F.lit("date unknown (first seen "), F.when(known == 0, "today").otherwise(days_ago(known)), F.lit(")"))
+    dated = F.when(age == 0, "posted today").otherwise(F.concat(F.lit("posted "), days_ago(age)))
+    return F.when(posted.isNotNull(), dated).when(seen.isNotNull(), first).otherwise("date unknown")

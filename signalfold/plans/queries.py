@@ -42,66 +42,87 @@ def order_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as signals: kind from the priority, posted at the order date; urgent and high ones are primary."""
     o = t(spark, sf_dir, "orders")
     s = o.select(F.col("o_custkey").alias("company_key"), F.col("o_orderkey").alias("ident"), F.col("o_orderpriority").alias("kind"), F.to_date("o_orderdate").alias("posted_at"), F.lit(None).cast("date").alias("first_seen"), "o_totalprice")
-    s = s.withColumn("is_primary", F.col("kind").isin("1-URGENT", "2-HIGH")).withColumn("urgent", F.col("kind") == "1-URGENT")
+    s = s.withColumn("is_primary", F.col("kind").isin("1-URGENT", "2-HIGH")).withColumn("urgent", signals.is_urgent(F.col("kind"), F.lit(None).cast("string"), ["urgent"]))
+    s = s.withColumn("external_id", F.col("ident").cast("string")).withColumn("fingerprint", F.col("kind")).withColumn("reposted", F.lit(False))
     return signals.with_age(s, as_of())
 
 
+#: Orders up to this day are the history, those after it the batch that is observed.
+SPLIT = "2000-06-30"
+
+
+def observed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders after SPLIT observed against those before; every third has no id."""
+    s = order_signals(spark, sf_dir).withColumn("external_id", F.when(F.col("ident") % 3 > 0, (F.col("ident") % 40).cast("string")))
+    old, new = s.where(F.col("posted_at") <= SPLIT), s.where(F.col("posted_at") > SPLIT)
+    history = signals.history_after(old.withColumn("first_seen", F.col("posted_at")), spark.createDataFrame([], "company_key long, fingerprint string, external_id string, first_seen date, last_seen date"), F.lit(SPLIT).cast("date"))
+    return signals.observe(new, history, as_of())
+
+
 SIGNALS = f"""s AS (SELECT o_custkey AS company_key, o_orderkey AS ident, o_orderpriority AS kind, CAST(o_orderdate AS DATE) AS posted_at, o_totalprice,
   o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_primary, o_orderpriority = '1-URGENT' AS urgent,
   greatest(0, date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}')) AS age FROM orders)"""
-STATS = """r AS (SELECT *, coalesce(date_diff('day', lag(posted_at) OVER (PARTITION BY company_key, kind ORDER BY posted_at, ident), posted_at) >= 7, false) AS repeat FROM s),
-st AS (SELECT company_key, min(age) FILTER (WHERE is_primary) AS freshest, count(*) FILTER (WHERE is_primary) AS volume,
-  coalesce(bool_or(repeat AND is_primary), false) AS persistent, coalesce(bool_or(urgent AND is_primary), false) AS urgent,
-  count(DISTINCT kind) FILTER (WHERE NOT is_primary) AS n_secondary FROM r GROUP BY company_key)"""
-FRESH = "CASE WHEN freshest IS NULL THEN 0.25 WHEN freshest <= 365 THEN 1.0 WHEN freshest <= 730 THEN 0.75 WHEN freshest <= 1095 THEN 0.5 WHEN freshest <= 1460 THEN 0.25 ELSE 0.0 END"
+#: Of the history, the batch and what observing it gives.
+OBSERVED = f"""h AS (SELECT company_key, kind, CASE WHEN ident % 3 > 0 THEN CAST(ident % 40 AS VARCHAR) ELSE '' END AS ext, min(posted_at) AS first_day FROM s WHERE posted_at <= DATE '{SPLIT}' GROUP BY ALL),
+b AS (SELECT *, CASE WHEN ident % 3 > 0 THEN CAST(ident % 40 AS VARCHAR) ELSE '' END AS ext FROM s WHERE posted_at > DATE '{SPLIT}'),
+e AS (SELECT company_key, kind, min(first_day) AS earliest FROM h GROUP BY ALL),
+g AS (SELECT DISTINCT company_key, kind FROM h WHERE ext <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.company_key = h.company_key AND b.kind = h.kind AND b.ext = h.ext)),
+ob AS (SELECT b.*, coalesce(e.earliest, b.posted_at) AS first_seen, (b.ext <> '' AND g.kind IS NOT NULL)
+  OR coalesce(date_diff('day', CASE WHEN b.ext = '' THEN coalesce(e.earliest, b.posted_at) ELSE h.first_day END, b.posted_at) >= 7, false) AS reposted
+  FROM b LEFT JOIN e USING (company_key, kind) LEFT JOIN g USING (company_key, kind) LEFT JOIN h ON h.company_key = b.company_key AND h.kind = b.kind AND h.ext = b.ext AND b.ext <> '')"""
+STATS = """st AS (SELECT company_key, min(age) FILTER (WHERE is_primary) AS freshest, count(*) FILTER (WHERE is_primary) AS volume,
+  coalesce(bool_or((reposted OR age >= 300) AND is_primary), false) AS persistent, coalesce(bool_or(urgent AND is_primary), false) AS urgent,
+  count(DISTINCT kind) FILTER (WHERE NOT is_primary) AS n_secondary FROM ob GROUP BY company_key)"""
+BANDS = (90, 180, 270, 360)
+FRESH = "CASE WHEN freshest IS NULL THEN 0.25 WHEN freshest <= 90 THEN 1.0 WHEN freshest <= 180 THEN 0.75 WHEN freshest <= 270 THEN 0.5 WHEN freshest <= 360 THEN 0.25 ELSE 0.0 END"
 SCORED = f"""sc AS (SELECT c.c_custkey, c.c_name, c.c_mktsegment, st.*, CAST(round_even(greatest(0, least(100,
-   40 * ({FRESH} + least(1.0, greatest(0.0, (volume - 1) / 4.0)) + CAST(persistent AS INT) + CAST(urgent AS INT)) / 4
+   CASE WHEN volume > 0 THEN (15 * ({FRESH}) + 10 * least(1.0, greatest(0.0, (volume - 1) / 2.0)) + 10 * CAST(persistent AS INT) + 5 * CAST(urgent AS INT)) / 40.0 * 40 ELSE 0 END
    + 30 * (coalesce(CAST(CAST(c_acctbal >= 0 AS INT) AS DOUBLE), 0.5) + CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS INT)) / 2
-   + least(10.0, n_secondary * 3.0) + 20)), 0) AS INT) AS score FROM customer c JOIN st ON c.c_custkey = st.company_key)"""
+   + least(10.0, n_secondary * 5.0) + 20)), 0) AS INT) AS score FROM customer c JOIN st ON c.c_custkey = st.company_key)"""
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signals.repeats(order_signals(spark, sf_dir), ["company_key", "kind"], "posted_at", "ident")
-    return signals.signal_stats(s)
+    return signals.signal_stats(observed_orders(spark, sf_dir), stale_after=300)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t(spark, sf_dir, "customer")
     both = c.join(stats(spark, sf_dir), c["c_custkey"] == F.col("company_key"))
-    intent = (scoring.freshness_credit(F.col("freshest"), (365, 730, 1095, 1460)) + scoring.volume_credit(F.col("volume")) + F.col("persistent").cast("int") + F.col("urgent").cast("int")) / 4
+    intent = scoring.intent_points(F.col("freshest"), F.col("volume"), F.col("persistent"), F.col("urgent"), BANDS)
     fits = scoring.fit_credit(fit.size_fit(F.col("c_acctbal"), 0, None), fit.member_fit(F.col("c_mktsegment"), ["building", "machinery"]))
-    return both.withColumn("score", scoring.total(40 * intent, 30 * fits, scoring.extra_credit(F.col("n_secondary")), F.lit(20.0)))
+    return both.withColumn("score", scoring.total(intent, 30 * fits, scoring.extra_credit(F.col("n_secondary")), F.lit(20.0)))
 
 
-@query(f"WITH {SIGNALS}, {STATS}, {SCORED} SELECT c_custkey, c_name, score, CASE WHEN score >= 80 THEN 'hot' WHEN score >= 60 THEN 'normal' ELSE 'skip' END AS tier FROM sc ORDER BY score DESC, c_custkey LIMIT 100")
+@query(f"WITH {SIGNALS}, {OBSERVED}, {STATS}, {SCORED} SELECT c_custkey, c_name, score, CASE WHEN score >= 80 THEN 'hot' WHEN score >= 60 THEN 'normal' ELSE 'skip' END AS tier FROM sc ORDER BY score DESC, c_custkey LIMIT 100")
 def lead_score_topk(spark, sf_dir):
     s = scored(spark, sf_dir)
     return s.select("c_custkey", "c_name", "score", scoring.tier(F.col("score")).alias("tier")).orderBy(F.desc("score"), "c_custkey").limit(100)
 
 
-@query(f"WITH {SIGNALS}, {STATS}, {SCORED} SELECT CASE WHEN score >= 80 THEN 'hot' WHEN score >= 60 THEN 'normal' ELSE 'skip' END AS tier, count(*) AS n, min(score) AS low, max(score) AS high FROM sc GROUP BY 1")
+@query(f"WITH {SIGNALS}, {OBSERVED}, {STATS}, {SCORED} SELECT CASE WHEN score >= 80 THEN 'hot' WHEN score >= 60 THEN 'normal' ELSE 'skip' END AS tier, count(*) AS n, min(score) AS low, max(score) AS high FROM sc GROUP BY 1")
 def tier_counts(spark, sf_dir):
     return scored(spark, sf_dir).groupBy(scoring.tier(F.col("score")).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
-@query(f"WITH {SIGNALS}, {STATS}, {SCORED} SELECT c_mktsegment, c_custkey, score FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY score DESC, c_custkey) AS k FROM sc) WHERE k = 1")
+@query(f"WITH {SIGNALS}, {OBSERVED}, {STATS}, {SCORED} SELECT c_mktsegment, c_custkey, score FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY score DESC, c_custkey) AS k FROM sc) WHERE k = 1")
 def best_lead_per_company(spark, sf_dir):
     return ranking.top_by(scored(spark, sf_dir), ["c_mktsegment"], [F.desc("score"), "c_custkey"], 1).select("c_mktsegment", "c_custkey", "score")
 
 
-@query(f"WITH {SIGNALS} SELECT CASE WHEN age <= 365 THEN 1.0 WHEN age <= 730 THEN 0.75 WHEN age <= 1095 THEN 0.5 WHEN age <= 1460 THEN 0.25 ELSE 0.0 END::DOUBLE AS credit, count(*) AS n FROM s GROUP BY 1")
+@query(f"WITH {SIGNALS}, a AS (SELECT CASE WHEN ident % 11 > 0 THEN age % 40 END AS age FROM s) SELECT CASE WHEN age IS NULL THEN 0.25 WHEN age <= 3 THEN 1.0 WHEN age <= 7 THEN 0.75 WHEN age <= 14 THEN 0.5 WHEN age <= 30 THEN 0.25 ELSE 0.0 END::DOUBLE AS credit, age, count(*) AS n FROM a GROUP BY 1, 2")
 def freshness_bands(spark, sf_dir):
-    return order_signals(spark, sf_dir).groupBy(scoring.freshness_credit(F.col("age"), (365, 730, 1095, 1460)).alias("credit")).agg(F.count(F.lit(1)).alias("n"))
+    age = F.when(F.col("ident") % 11 > 0, F.col("age") % 40)
+    return order_signals(spark, sf_dir).groupBy(scoring.freshness_credit(age).alias("credit"), age.alias("age")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_custkey, CAST(least(1.0, greatest(0.0, (count(*) - 1) / 4.0)) AS DOUBLE) AS credit FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, CAST(least(1.0, greatest(0.0, (count(*) - 1) / 2.0)) AS DOUBLE) AS credit FROM orders GROUP BY o_custkey")
 def volume_credit(spark, sf_dir):
     return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).select("o_custkey", scoring.volume_credit(F.col("n")).alias("credit"))
 
 
-@query(f"WITH {SIGNALS}, {STATS} SELECT company_key, freshest, volume, persistent, urgent, n_secondary FROM st")
+@query(f"WITH {SIGNALS}, {OBSERVED}, {STATS} SELECT company_key, freshest, volume, persistent, urgent, n_secondary FROM st")
 def signal_stats(spark, sf_dir):
-    return stats(spark, sf_dir)
+    return stats(spark, sf_dir).drop("reposted", "open_days")
 
 
 @query(f"WITH {SIGNALS} SELECT company_key, count(DISTINCT kind) AS n_kinds FROM s WHERE NOT is_primary GROUP BY 1")
@@ -121,10 +142,9 @@ def signal_dedupe(spark, sf_dir):
     return signals.drop_repeats(o, ["o_custkey", "o_orderpriority"], ["o_orderkey"])
 
 
-@query("SELECT l_partkey, l_suppkey, count(*) AS n, CAST(sum(CASE WHEN date_diff('day', before, day) >= 7 THEN 1 ELSE 0 END) AS BIGINT) AS n_repeats FROM (SELECT l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS day, lag(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY CAST(l_shipdate AS DATE), l_orderkey * 10 + l_linenumber) AS before FROM lineitem) GROUP BY 1, 2")
+@query(f"WITH {SIGNALS}, {OBSERVED} SELECT ident, first_seen, reposted FROM ob")
 def repost_detection(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("day"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ident"))
-    return signals.repeats(rows, ["l_partkey", "l_suppkey"], "day", "ident").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count_if("repeat").alias("n_repeats"))
+    return observed_orders(spark, sf_dir).select("ident", "first_seen", "reposted")
 
 
 @query("SELECT l_partkey, l_suppkey, min(CAST(l_shipdate AS DATE)) AS first_seen, max(CAST(l_shipdate AS DATE)) AS last_seen, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -187,9 +207,15 @@ def pages_by_host(spark, sf_dir):
     return t(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("html")).cast("long").alias("longest"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS body FROM pages")
+BLOCKS = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|thead|tbody|section|article|header|footer|blockquote|pre|nav|aside|main|figure|figcaption|address"
+
+
+# the test pages hold four kinds of entities
+@query(rf"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?i)</?({BLOCKS})\b[^<>]*>', ' ', 'g'), '</?[a-zA-Z][^<>]*>|<![^<>]*>', '', 'g'), '&amp;?', '&', 'g'),
+  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '\s+', ' ', 'g')) AS body FROM pages""")
 def strip_html(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html"), entities=False).alias("body"))
+    return t(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("body"))
 
 
 @query()
@@ -197,23 +223,20 @@ def job_url_normalize(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", text.normalize_job_url(F.col("url")).alias("job_url"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')) AS normal FROM documents WHERE lang IN ('en', 'fr', 'es')")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')) AS normal FROM documents")
 def normalize_text(spark, sf_dir):
-    return t(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr", "es")).select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
-
-
-@query()
-def normalize_text_all(spark, sf_dir):
-    """The whole table; normalize_text and its SQL hold documents in three languages only."""
     return t(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
 
 
-@query("SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 4 THEN '' WHEN 5 THEN 'theos' ELSE trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) END AS name FROM customer")
 def company_name_normalize(spark, sf_dir):
-    return t(spark, sf_dir, "customer").select("c_custkey", text.normalize_company_name(F.concat(F.lit("The "), "c_name", F.lit(", Inc."))).alias("name"))
+    k = F.col("c_custkey") % 6
+    name = F.when(k == 0, F.concat(F.lit("The "), "c_name", F.lit(", Inc."))).when(k == 1, F.concat(F.lit("  the the "), "c_name", F.lit(" Holdings, Pte. LTD"))).when(k == 2, F.concat("c_name", F.lit(" Group & Co. LLP")))
+    name = name.when(k == 3, F.col("c_name")).when(k == 4, "The Company").otherwise("The Théos AG")
+    return t(spark, sf_dir, "customer").select("c_custkey", text.normalize_company_name(name).alias("name"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9'']+')) AS n_words FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_][\p{L}\p{N}_''’-]*')) AS n_words FROM documents")
 def word_counts(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"))
 
@@ -229,19 +252,32 @@ def guard_cell(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", text.guard_cell(F.floor("c_acctbal").cast("string")).alias("cell"))
 
 
-@query("SELECT c_custkey, substr(lower(c_mktsegment), 1, 1) || '***@e***.com' AS masked FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 7 = 1 THEN '*@example.com' WHEN c_custkey % 7 = 2 THEN 'x*@example.com' ELSE substr(lower(c_mktsegment), 1, 1) || repeat('*', length(c_mktsegment) - 1) || '@example.com' END AS masked FROM customer")
 def mask_email(spark, sf_dir):
-    return t(spark, sf_dir, "customer").select("c_custkey", text.mask_email(F.concat(F.lower("c_mktsegment"), F.lit("@example.com"))).alias("masked"))
+    k = F.col("c_custkey") % 7
+    email = F.when(k == 1, "@example.com").when(k == 2, " x@example.com ").when(k > 2, F.concat(F.lower("c_mktsegment"), F.lit("@example.com")))
+    return t(spark, sf_dir, "customer").select("c_custkey", text.mask_email(email).alias("masked"))
+
 
+MONEY = "regexp_replace(printf('%.1f', x / {0}), '\\.0$', '') || '{1}'"
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN '$' || CAST(x // 10 AS VARCHAR) || CASE WHEN x % 10 > 0 THEN '.' || CAST(x % 10 AS VARCHAR) ELSE '' END || 'K' ELSE '$' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS money FROM (SELECT o_orderkey, o_totalprice, CAST(floor(o_totalprice * 10 / 1000.0 + 0.5) AS BIGINT) AS x FROM orders)")
+
+@query(f"""SELECT o_orderkey, cur || CASE WHEN x >= 1e9 THEN {MONEY.format('1e9', 'B')} WHEN x >= 1e6 THEN {MONEY.format('1e6', 'M')} WHEN x >= 1e3 THEN {MONEY.format('1e3', 'K')} WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE printf('%.2f', x) END
+  || CASE WHEN cur = '' THEN ' EUR' ELSE '' END AS money
+  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '$' END AS cur, CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN o_totalprice * 100 WHEN 2 THEN o_totalprice * 50000 ELSE floor(o_totalprice / 1000) END AS x FROM orders)""")
 def format_money(spark, sf_dir):
-    return t(spark, sf_dir, "orders").select("o_orderkey", text.format_money(F.col("o_totalprice")).alias("money"))
+    k, price = F.col("o_orderkey") % 4, F.col("o_totalprice")
+    amount = F.when(k == 0, price).when(k == 1, price * 100).when(k == 2, price * 50000).otherwise(F.floor(price / 1000).cast("double"))
+    currency = F.when(F.col("o_orderkey") % 5 == 0, "eur").otherwise("$")
+    return t(spark, sf_dir, "orders").select("o_orderkey", text.format_money(amount, currency).alias("money"))
 
 
-@query("SELECT p_partkey, p_size * 1000000.0::DOUBLE AS amount FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 5 THEN NULL ELSE p_size * [1e6, 1e3, 1.5e9 / 1.5, 1.0, 1e6][p_partkey % 6 + 1] END::DOUBLE AS amount, CASE p_partkey % 6 WHEN 0 THEN '$' WHEN 1 THEN 'EUR' WHEN 2 THEN '€' ELSE '' END AS currency FROM part")
 def parse_amount(spark, sf_dir):
-    return t(spark, sf_dir, "part").select("p_partkey", text.parse_amount(F.concat(F.lit("$"), "p_size", F.lit("M"))).alias("amount"))
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    cell = F.when(k == 0, F.concat(F.lit("$"), size, F.lit("M"))).when(k == 1, F.concat(F.lit("EUR "), size, F.lit(" thousand"))).when(k == 2, F.concat(F.lit("€"), size, F.lit(" bn raised")))
+    cell = cell.when(k == 3, F.concat(size, F.lit(".00"))).when(k == 4, F.concat(size, F.lit(",000,000"))).otherwise("undisclosed")
+    return t(spark, sf_dir, "part").select("p_partkey", text.parse_amount(cell).alias("amount"), text.amount_currency(cell).alias("currency"))
 
 
 @query("SELECT CASE WHEN count(*) FILTER (WHERE day(o_orderdate) > 12) > 0 THEN 'mdy' END AS date_order FROM orders")
@@ -294,10 +330,11 @@ def verification_cache_hit(spark, sf_dir):
     return state.fresh_verdicts(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("email")), cache, as_of(), 30).select(F.col("email").alias("doc_id"), "status")
 
 
-@query("SELECT CASE WHEN toxic = 1 THEN 'guessed-unverified' WHEN quality = 1 THEN 'verified' ELSE 'risky' END AS label, count(*) AS n FROM labels GROUP BY 1")
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR doc_id % 4 = 2 THEN 'not found' WHEN toxic = 1 THEN 'guessed-unverified' WHEN doc_id % 4 = 0 THEN 'verified' ELSE 'risky' END AS label FROM labels")
 def email_label(spark, sf_dir):
-    status = F.when(F.col("quality") == 1, "valid").otherwise("risky")
-    return t(spark, sf_dir, "labels").groupBy(text.email_label(status, F.col("toxic") == 1).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("doc_id") % 4
+    email, status = F.when(F.col("doc_id") % 9 > 0, "a@firm.example"), F.when(k == 0, "valid").when(k == 1, "unknown").when(k == 2, "invalid").otherwise("risky")
+    return t(spark, sf_dir, "labels").select("doc_id", text.email_label(email, status, F.col("toxic") == 1).alias("label"))
 
 
 @query("SELECT s_suppkey, unnest(['supplier.' || k || '@x.com', 's' || k || '@x.com', 'supplier@x.com']) AS email FROM (SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS k FROM supplier)")
@@ -338,9 +375,17 @@ def counts_by_status_with_zeros(spark, sf_dir):
     return reports.counts_with_zeros(t(spark, sf_dir, "events"), "event_type", ["view", "click", "purchase", "bounce"])
 
 
-@query("SELECT p_partkey, 'dropped job in' AS reason FROM part")
+REASONS = [
+    ("too large ({} people, most 90)", "too large"), ("nothing with [nurse, {}] in last 14 days (2 found: [a] 1)", "nothing with [...] in last 14 days"), ("sent before (2024-01-05)", "sent before"),
+    ("domain x{}.example is on the suppression list", "domain is on the suppression list"), ("excluded domain shop{}.example (whole group)", "excluded domain"), ("  held  back: {} of 70 leads, 3.5 each.", "held back: of leads, each"),
+    ("(only (nested ({})) notes)", "other"), ("v2.{} rows kept for 3 weeks - ", "v2.{} rows kept for 3 weeks"), ("", "other"),
+]
+
+
+@query("SELECT p_partkey, replace([" + ", ".join(f"'{want}'" for _, want in REASONS) + f"][p_partkey % {len(REASONS)} + 1], '{{}}', CAST(p_size AS VARCHAR)) AS reason FROM part")
 def group_reason(spark, sf_dir):
-    return t(spark, sf_dir, "part").select("p_partkey", text.group_reason(F.concat(F.lit("dropped "), "p_size", F.lit(" job (old) in 2024-01-05 ["), "p_brand", F.lit("]"))).alias("reason"))
+    cell = F.replace(F.get(F.array(*[F.lit(given) for given, _ in REASONS]), (F.col("p_partkey") % len(REASONS)).cast("int")), F.lit("{}"), F.col("p_size").cast("string"))
+    return t(spark, sf_dir, "part").select("p_partkey", text.group_reason(cell).alias("reason"))
 
 
 @query("SELECT p_type AS reason, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, reason LIMIT 5")
@@ -391,9 +436,12 @@ def usage_by_adapter(spark, sf_dir):
     return t(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("cost"))
 
 
-@query("SELECT o_orderkey, CASE WHEN age = 0 THEN 'posted today' WHEN age = 1 THEN 'posted yesterday' ELSE 'posted ' || CAST(age AS VARCHAR) || ' days ago' END AS phrase FROM (SELECT o_orderkey, greatest(0, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01')) AS age FROM orders)")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'date unknown' WHEN o_orderkey % 10 = 1 AND n = 0 THEN 'date unknown (first seen today)' WHEN o_orderkey % 10 = 1 THEN 'date unknown (first seen ' || n || CASE WHEN n = 1 THEN ' day' ELSE ' days' END || ' ago)'
+  WHEN n = 0 THEN 'posted today' ELSE 'posted ' || n || CASE WHEN n = 1 THEN ' day' ELSE ' days' END || ' ago' END AS phrase FROM (SELECT o_orderkey, o_orderkey // 10 % 4 AS n FROM orders)""")
 def posted_phrases(spark, sf_dir):
-    return order_signals(spark, sf_dir).select(F.col("ident").alias("o_orderkey"), dates.posted_phrase(F.col("age")).alias("phrase"))
+    k = F.col("o_orderkey") % 10
+    day = F.date_sub(as_of(), F.floor(F.col("o_orderkey") / 10).cast("int") % 4)
+    return t(spark, sf_dir, "orders").select("o_orderkey", dates.posted_phrase(F.when(k > 1, day), F.when(k == 1, day), as_of()).alias("phrase"))
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_matches(' ' || lower(p_name) || ' ', ' bolts? ') THEN 'bolts' WHEN regexp_matches(' ' || lower(p_name) || ' ', ' widgets? ') THEN 'Widget' WHEN regexp_matches(' ' || lower(p_name) || ' ', ' blue rods? ') THEN 'blue rod' END AS keyword FROM part")

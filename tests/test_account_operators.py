@@ -56,10 +56,35 @@ def test_total_rounds_half_to_even(spark):
     assert spark.range(1).select(scoring.total(F.lit(62.5))).first()[0] == 62
 
 
-def test_repeats_after_a_week(spark):
-    d = dt.date(2024, 1, 1)
-    rows = spark.createDataFrame([("a", d, 1), ("a", d + dt.timedelta(6), 2), ("a", d + dt.timedelta(13), 3)], "k string, day date, ident int")
-    assert [r["repeat"] for r in signals.repeats(rows, ["k"], "day", "ident").orderBy("ident").collect()] == [False, False, True]
+def test_observed_signals(spark):
+    d = lambda n: dt.date(2024, 3, 1) + dt.timedelta(n)
+    schema = "company_key string, fingerprint string, external_id string, posted_at date, first_seen date, reposted boolean, pos int"
+    empty = spark.createDataFrame([], "company_key string, fingerprint string, external_id string, first_seen date, last_seen date")
+    day = lambda n: F.lit(d(n)).cast("date")
+    first = signals.observe(spark.createDataFrame([("a", "x", "1", d(0), None, False, 1), ("a", "x", "2", d(1), None, False, 2), ("a", "y", "", None, None, None, 3), ("b", "x", "1", d(9), None, False, 4)], schema), empty, day(2))
+    got = {r["pos"]: (r["first_seen"], r["reposted"]) for r in first.collect()}
+    assert got == {1: (d(0), False), 2: (d(1), False), 3: (d(2), False), 4: (d(2), False)}
+    history = signals.history_after(first, empty, day(2))
+    second = spark.createDataFrame([("a", "x", "1", d(6), None, False, 1), ("a", "x", "3", d(8), None, False, 2), ("a", "y", None, d(9), None, False, 3), ("b", "x", "1", d(9), None, False, 4), ("c", "x", "1", None, None, True, 5)], schema)
+    got = {r["pos"]: (r["first_seen"], r["reposted"]) for r in signals.observe(second, history, day(10)).collect()}
+    assert got == {1: (d(0), True), 2: (d(0), True), 3: (d(2), True), 4: (d(2), True), 5: (d(10), True)}
+    later = {(r["company_key"], r["fingerprint"], r["external_id"]): (r["first_seen"], r["last_seen"]) for r in signals.history_after(signals.observe(second, history, day(10)), history, day(10)).collect()}
+    assert later["a", "x", "1"] == (d(0), d(10)) and later["a", "x", "2"] == (d(1), d(2)) and later["a", "x", "3"] == (d(0), d(10))
+
+
+def test_processed_signals_and_rejections(spark):
+    d = lambda n: dt.date(2024, 3, 1) - dt.timedelta(n)
+    columns = "company_key string, pos int, kind string, title string, description string, external_id string, url string, location string, posted_at date, first_seen date, reposted boolean"
+    row = lambda c, i, kind, title, posted, desc=None, ext="": (c, i, kind, title, desc, ext, "u", "l", posted, None, False)
+    rows = [row("a", 1, "Job ", "Night nurse", d(9)), row("a", 2, "job", "night NURSE", d(9)), row("a", 3, "job", "Cook", d(1), "with nurses"), row("a", 4, "news", "Opens", d(2)), row("b", 1, "job", "Cook", d(1)), row("b", 2, "job", "Nurse intern", d(1)), row("b", 3, "blog", "x", None), row("c", 1, "job", "Nurse", d(40)), row("c", 2, "job", "Nurse", None, ext="7")]
+    history = spark.createDataFrame([], "company_key string, fingerprint string, external_id string, first_seen date, last_seen date")
+    got = signals.process(spark.createDataFrame(rows, columns), history, F.lit(d(0)).cast("date"), ["job"], ["job", "news"], ["nurse"], ["intern"], max_age=30, keep_undated=False)
+    assert {(r["company_key"], r["pos"]): (r["drop"], r["place"]) for r in got.collect()} == {("a", 1): (None, 2), ("a", 3): (None, 1), ("a", 4): (None, 3), ("b", 1): ("no match", None), ("b", 2): ("excluded", None), ("b", 3): ("type", None), ("c", 1): ("old", None), ("c", 2): ("undated", None)}
+    why = signals.rejections(got, spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "company_key string"), ["job", "news"], ["nurse"], 30)
+    assert {r["company_key"]: r["reason"] for r in why.collect()} == {
+        "b": "no signal matching [nurse] in last 30 days (3 signals found: 1 of another type (blog); 1 excluded by keyword (intern); 1 not matching)",
+        "c": "no signal matching [nurse] in last 30 days (2 signals found: 1 older than 30 days; 1 without a posting date)", "z": "no buying signal found",
+    }
 
 
 def test_upsert_and_stages(spark, tmp_path):

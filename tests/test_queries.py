@@ -33,6 +33,6 @@ def test_normalize_text_of_the_whole_table(spark):
         return re.sub("[^a-z0-9]+", " ", folded.lower()).strip(" ")
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    got = {r["doc_id"]: r["normal"] for r in base.QUERIES["normalize_text_all"](spark, SF).collect()}
+    got = {r["doc_id"]: r["normal"] for r in base.QUERIES["normalize_text"](spark, SF).collect()}
     assert got == {d["doc_id"]: plain(d["text"]) for d in docs}
     assert "de" in {d["lang"] for d in docs}
