@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     # copy i of a block stands i whole passes behind its rank; the shards' ranges say whether it is drawn and by which
     at = lambda copy: F.col("rank") + copy.cast("long") * F.col("n_ranks")
     shard = lambda copy: F.size(F.filter("ends", lambda e: e <= at(copy)))
-    is_drawn = lambda copy: (at(copy) < F.element_at("ends", -1)) & (F.col("more") | (copy < F.col("passes")))
+    is_drawn = lambda copy: (at(copy) < F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0))) & (F.col("more") | (copy < F.col("passes")))
     copies = F.filter(F.sequence(F.lit(0), F.lit(math.ceil(most))), is_drawn)
     places = F.transform(copies, lambda i: F.struct(shard(i).alias("shard"), F.xxhash64(F.lit(seed + 2), F.col("doc_id"), i).alias("position")))
     drawn = drawn.withColumn("places", places).withColumn("copies", F.size("places"))
