@@ -6,32 +6,16 @@ contacts, events the stage changes, labels the verdict cache, pages the job page
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, matching, text
 from ..operators import fit, ranking, reports, resolve, scoring, signals, state
 from ..sources import files
+from . import people  # noqa: F401 (registers its queries)
+from .common import ORACLE, QUERIES, query, t  # noqa: F401
 
 AS_OF = "2001-08-01"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def as_of():
