@@ -92,7 +92,22 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+WORDS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {WORDS_SQL} AS ws FROM benchmark),
+i AS (SELECT item, ws, least(len(ws), 10) AS n FROM b WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item, n, array_to_string(ws[k:k + n - 1], ' ') AS win FROM (SELECT item, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS k FROM i)),
+p AS (SELECT r, n, k, array_to_string(ws[k:k + n - 1], ' ') AS win FROM (SELECT r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(ws) >= n)),
+h AS (SELECT r, k, p.n, item FROM p JOIN w ON p.win = w.win AND p.n = w.n),
+c AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + n - 1)) AS spot FROM h) GROUP BY r),
+t AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_nearest_vectors, op4_toxicity, op5_simhash, op6_token_ids, op7_decontamination, op8_chat_formatting, op9_lm_scoring, op10_line_dedup)
 }
-ORACLE: dict[str, str] = {"op10_line_dedup": OP10_SQL}
+ORACLE: dict[str, str] = {"op7_decontamination": OP7_SQL, "op10_line_dedup": OP10_SQL}
