@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one under /tmp only where it is unset (local tests)."""
+    """The folder of spark.checkpoint.dir. Where it is unset, one under /tmp in local mode, and an error on a cluster, whose
+    machines share no such folder."""
     sc = spark.sparkContext
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path.rstrip("/")
     if (set_already := sc._jsc.sc().getCheckpointDir()).isDefined():
         return set_already.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir("/tmp/checkpoints")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,22 +23,28 @@ def first_by(rows: DataFrame, key: str, order: list) -> DataFrame:
 def select_greedy(rows: DataFrame, client: str, order: list[str], company: str, persons: list[str], limit: int, schema) -> DataFrame:
     """Best rows of each client, one a company and one a person, `limit` at most; a rejected row blocks none.
 
-    No row past the first limit * (1 + clashes) matters, but clashes are unbounded, so each client's candidates are
-    read in order in one task and only the accepted keys are held.
+    A client's rows pass through one task in order as a stream, and only the keys of accepted rows are held: `limit` of
+    them at most. Rows of no client are a client of their own.
     """
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        seen_company, seen_person, keep = set(), set(), []
-        for i, row in enumerate(pdf[[company, *persons]].itertuples(index=False)):
-            who = {(p, v) for p, v in zip(persons, row[1:], strict=True) if not pd.isna(v)}
-            if row[0] in seen_company or who & seen_person:
-                continue
-            keep.append(i)
-            seen_company.add(row[0])
-            seen_person |= who
-            if len(keep) >= limit:
-                break
-        return pdf.iloc[keep]
-
-    return rows.groupBy(client).applyInPandas(pick, schema)
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n, companies, people = object(), 0, set(), set()
+        for pdf in batches:
+            keep = []
+            for i, (who, firm, *ids) in enumerate(pdf[[client, company, *persons]].itertuples(index=False, name=None)):
+                who = None if pd.isna(who) else who
+                if who != at:
+                    at, n, companies, people = who, 0, set(), set()
+                if n >= limit or firm in companies:
+                    continue
+                keys = {(p, v) for p, v in zip(persons, ids, strict=True) if not pd.isna(v)}
+                if keys & people:
+                    continue
+                keep.append(i)
+                n += 1
+                companies.add(firm)
+                people |= keys
+            if keep:
+                yield pdf.iloc[keep]
+
+    return rows.repartition(client).sortWithinPartitions(client, *order).mapInPandas(pick, schema)

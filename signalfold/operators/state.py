@@ -30,8 +30,8 @@ def forward_only(events: DataFrame, key: str, stage: str, at: str) -> DataFrame:
 
 
 def fresh_verdicts(emails: DataFrame, cache: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """emails (email) with the cached status of at most `days` days."""
-    fresh = cache.where(F.datediff(as_of, F.col("checked_at")) <= days).select("email", "status")
+    """emails (email) with the cached status of at most `days` days; of several verdicts of an address the latest."""
+    fresh = cache.where(F.datediff(as_of, F.col("checked_at")) <= days).groupBy("email").agg(F.max_by("status", F.struct("checked_at", "status")).alias("status"))
     return emails.join(fresh, "email", "left")
 
 
