@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contacts, leads
+from ..operators import contacts, leads, sequences, usage
 from .common import ORACLE, QUERIES, query, t  # noqa: F401
 
 AS_OF, THEN = "2001-08-01", "2001-01-01"
@@ -150,3 +150,44 @@ def contact_selection(spark, sf_dir):
         F.lit("").alias("linkedin_url"), F.when(k % 3 > 0, (k % 6).cast("int")).alias("title_rank"), (k % 11 == 0).alias("excluded"), ((k % 5 > 0) & (k % 4 == 1)).alias("generic"),
     )
     return contacts.select_contacts(rows, 3).select("company_key", "pos", "place")
+
+
+REQUESTS = """q AS (SELECT 'r' || (user_id % 40) AS run_id, event_id AS pos, event_type AS type, event_type IN ('purchase', 'signup', 'error') AS paid, CASE WHEN event_type = 'error' THEN event_id % 1000 ELSE 0 END AS tokens, event_id % 3 AS m FROM events),
+  z AS (SELECT *, paid AND sum(CAST(paid AS INT)) OVER (PARTITION BY run_id ORDER BY pos) > 10 AS blocked FROM q)"""
+
+
+def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    tokens = F.when(kind == "error", F.col("event_id") % 1000).otherwise(0)
+    model = F.get(F.array(F.lit("small"), F.lit("small-2"), F.lit("other")), (F.col("event_id") % 3).cast("int"))
+    rows = t(spark, sf_dir, "events").select(F.concat(F.lit("r"), F.col("user_id") % 40).alias("run_id"), F.col("event_id").alias("pos"), F.lit("finder").alias("kind"), kind.alias("type"), kind.isin("purchase", "signup", "error").alias("paid"), model.alias("model"), tokens.alias("input_tokens"), (tokens * 2).alias("output_tokens"))
+    return usage.usage_rows(usage.metered(rows, 10), {"purchase": 0.03, "view": 1.0}, {"small": (1.0, 4.0)}, (3.0, 15.0))
+
+
+@query(f"""WITH {REQUESTS} SELECT run_id, type, paid, count(*) FILTER (WHERE NOT blocked) AS calls, count(*) FILTER (WHERE blocked) AS blocked_by_budget, CAST(coalesce(sum(tokens) FILTER (WHERE NOT blocked), 0) AS BIGINT) AS input_tokens,
+  CASE WHEN coalesce(sum(tokens) FILTER (WHERE NOT blocked), 0) > 0 THEN round(sum(tokens * CASE WHEN m = 2 THEN 33.0 ELSE 9.0 END / 1e6) FILTER (WHERE NOT blocked), 4) WHEN type = 'purchase' THEN round(count(*) FILTER (WHERE NOT blocked) * 0.03::DOUBLE, 4) END AS cost FROM z GROUP BY 1, 2, 3""")
+def usage_meter(spark, sf_dir):
+    return request_rows(spark, sf_dir).select("run_id", "type", "paid", "calls", "blocked_by_budget", "input_tokens", F.col("estimated_cost_usd").alias("cost"))
+
+
+@query(f"WITH {REQUESTS} SELECT run_id, CAST(count(*) FILTER (WHERE paid AND NOT blocked) AS BIGINT) AS paid_lookups FROM z GROUP BY 1")
+def paid_lookups(spark, sf_dir):
+    return usage.run_costs(request_rows(spark, sf_dir)).select("run_id", "paid_lookups")
+
+
+@query("""WITH o AS (SELECT l_orderkey AS lead_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(CASE WHEN l_linenumber % 4 > 0 THEN 8 - l_linenumber END, l_linenumber * 1000000 + l_partkey), l_linenumber * 1000000 + l_partkey, l_partkey) AS k, CASE WHEN l_linenumber % 3 = 0 THEN 'again' ELSE '' END AS subject, 'b' || l_partkey AS body FROM lineitem)
+  SELECT lead_id, coalesce(max(CASE WHEN k = 1 THEN subject END), '') AS subject_1, coalesce(max(CASE WHEN k = 1 THEN body END), '') AS email_1, coalesce(max(CASE WHEN k = 2 THEN body END), '') AS email_2, coalesce(max(CASE WHEN k = 3 THEN subject END), '') AS subject_3, coalesce(max(CASE WHEN k = 3 THEN body END), '') AS email_3 FROM o GROUP BY 1""")
+def sequence_fields(spark, sf_dir):
+    n = F.col("l_linenumber")
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lead_id"), (n * 1000000 + F.col("l_partkey")).alias("pos"), F.when(n % 4 > 0, 8 - n).alias("step"), F.when(n % 3 == 0, " again ").otherwise("").alias("subject"), F.concat(F.lit("b"), "l_partkey").alias("body"))
+    return sequences.sequence_fields(sequences.ordered_messages(rows), 3, [3])
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'http://x.example/a' WHEN 1 THEN 'https://y.example' WHEN 2 THEN 'https://z.example' ELSE '' END AS site,
+  CASE WHEN c_custkey % 3 = 0 THEN n_name || ' Town' WHEN c_custkey % 3 = 1 THEN n_name ELSE 'Old Town, ' || n_name END AS place FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def company_fields(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = t(spark, sf_dir, "customer").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows by definition
+    site, host = F.when(k % 4 == 0, " http://x.example/a").when(k % 4 == 1, "//y.example"), F.when(k % 4 == 2, "z.example").when(k % 4 < 2, "w.example")
+    place = F.when(k % 3 == 0, F.concat("n_name", F.lit(" Town"))).when(k % 3 == 2, "Old Town")
+    return c.select("c_custkey", sequences.website_url(site, host).alias("site"), sequences.company_location(place, F.col("n_name")).alias("place"))
