@@ -212,6 +212,12 @@ def normalize_text(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
 
 
+@query(ORACLE["normalize_text"])
+def normalize_text_all(spark, sf_dir):
+    """normalize_text under the name it had while that read three languages only."""
+    return normalize_text(spark, sf_dir)
+
+
 @query("SELECT c_custkey, CASE c_custkey % 6 WHEN 4 THEN '' WHEN 5 THEN 'theos' ELSE trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) END AS name FROM customer")
 def company_name_normalize(spark, sf_dir):
     k = F.col("c_custkey") % 6
