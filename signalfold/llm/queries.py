@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, lmscore, mixing, simhash, substring, tokens, toxicity
+from . import ann, centroids, chat, compression, decontam, lmscore, mixing, quality, simhash, substring, tokens, toxicity
 from .common import staged
 from .lines import drop_frequent_lines
 
@@ -107,7 +107,62 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(le
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
 
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compression.compressed(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"), k=16, dims=64, rounds=3, scale=64, seed=1)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least_words=50, most_repeats=50)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+WHOLE_VECTORS_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def rounds_sql(rounds: int) -> str:
+    """CTEs a1, b1, a2, ... of k-means over p (key, part, x) from b0 (part, entry, x): a has each row's least distance and
+    entry as one number, b the entries after it."""
+    out = []
+    for r in range(1, rounds + 2):
+        out.append(f"a{r} AS MATERIALIZED (SELECT key, p.part, any_value(p.x) AS x, min(CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 16 + entry) AS m FROM p JOIN b{r - 1} b ON p.part = b.part GROUP BY key, p.part)")
+        if r <= rounds:
+            out.append(f"""s{r} AS (SELECT part, m % 16 AS entry, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM a{r}),
+n{r} AS (SELECT part, entry, list(c ORDER BY i) AS x FROM (SELECT part, entry, i, CAST(floor(CAST(sum(c) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM s{r} GROUP BY ALL) GROUP BY part, entry),
+b{r} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM b{r - 1} b LEFT JOIN n{r} n ON b.part = n.part AND b.entry = n.entry)""")
+    return ",\n".join(out)
+
+
+OP11_SQL = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS key, vec_id, label,
+  list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {WHOLE_VECTORS_SQL}),
+p AS MATERIALIZED (SELECT key, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] AS x FROM k, range(8) t(part)),
+b0 AS (SELECT part, key - 1 AS entry, x FROM p WHERE key <= 16),
+{rounds_sql(6)},
+c AS (SELECT key, string_agg(printf('%02x', m % 16), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a7 GROUP BY key),
+f AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM b6))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN c USING (key), f
+"""
+
+OP12_SQL = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) AS key, vec_id,
+  list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {WHOLE_VECTORS_SQL} AND len(embedding) = 64),
+p AS MATERIALIZED (SELECT key, 0 AS part, v AS x FROM k),
+b0 AS (SELECT part, key - 1 AS entry, x FROM p WHERE key <= 16),
+{rounds_sql(3)},
+d AS (SELECT key, CAST(m % 16 AS INTEGER) AS cluster, CAST(m // 16 AS BIGINT) AS distance FROM a4)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(b3.x, ',')) AS centroid_sha256
+FROM k JOIN d USING (key) JOIN b3 ON b3.entry = d.cluster
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_nearest_vectors, op4_toxicity, op5_simhash, op6_token_ids, op7_decontamination, op8_chat_formatting, op9_lm_scoring, op10_line_dedup)
+    f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_nearest_vectors, op4_toxicity, op5_simhash, op6_token_ids, op7_decontamination, op8_chat_formatting, op9_lm_scoring, op10_line_dedup, op11_vector_codes, op12_centroid_clusters, op13_quality_rules)
 }
-ORACLE: dict[str, str] = {"op7_decontamination": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE: dict[str, str] = {"op7_decontamination": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_centroid_clusters": OP12_SQL}
