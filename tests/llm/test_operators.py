@@ -451,3 +451,53 @@ def test_shared_run_inside_texts_that_differ():
     y[apart] = other[apart]
     found = substring.alike(x, y, 46, 0.8)
     assert any(i <= 100 and j >= 159 and i == k and j == m and same >= 0.8 for i, j, k, m, same in found)
+
+
+def edited(words, r):
+    at, words = r.randrange(len(words)), list(words)
+    kind = r.randrange(3)
+    words[at : at + (kind != 1)] = [f"new{r.randrange(10**6)}"] * (kind != 2)
+    return words
+
+
+def ends_shared(x, y):
+    """x and y from the first to the last token that both have."""
+    one, two = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
+    return x[one[0] : one[-1] + 1], y[two[0] : two[-1] + 1]
+
+
+def test_alike_finds_edits_at_every_place():
+    r, seen = random.Random(12), 0
+    for n in [*range(50, 70), 90, 130, 204]:
+        for at in range(n):
+            words = [f"b{r.randrange(10**7)}" for _ in range(n)]
+            for other in ([*words[:at], "new", *words[at + 1 :]], [*words[:at], "new", *words[at:]], [*words[:at], *words[at + 1 :]], edited(edited(words, r), r)):
+                x, y = ends_shared(*(substring.shingles(" ".join(w)) for w in (words, other)))
+                if min(len(x), len(y)) >= 46 and substring.jaccard(x, y) >= 0.8:
+                    around = [np.random.default_rng(at).integers(0, 1 << 60, 40).astype(np.uint64) for _ in range(4)]
+                    seen += 1
+                    assert substring.alike(np.concatenate([around[0], x, around[1]]), np.concatenate([around[2] + np.uint64(7), y, around[3] + np.uint64(7)]), 46, 0.8), (n, at)
+    assert seen > 4000
+
+
+def test_alike_of_repeats_and_other_orders():
+    t = np.arange(1, 200, dtype=np.uint64)
+    assert substring.alike(np.tile(t[:9], 12), np.tile(t[:9], 10), 46, 0.8)
+    assert substring.alike(np.concatenate([t[:60], t[60:120]]), np.concatenate([t[60:120], t[:60]]), 46, 0.8)
+    assert substring.alike(t[:100], t[100:], 46, 0.8) == substring.alike(t[:45], t[:45], 46, 0.8) == substring.alike(t[:0], t, 46, 0.8) == []
+
+
+def test_edited_passages_are_found_end_to_end(spark):
+    r, rows, pairs = random.Random(13), [], []
+    while len(pairs) < 300:
+        words = [f"b{r.randrange(10**7)}" for _ in range(r.choice([51, 54, 60, 80, 120, 204]))]
+        other = edited(words, r) if len(words) < 90 else edited(edited(words, r), r)
+        x, y = ends_shared(*(substring.shingles(" ".join(w)) for w in (words, other)))
+        if min(len(x), len(y)) < 46 or substring.jaccard(x, y) < 0.8:
+            continue
+        ids = len(rows), len(rows) + 1
+        rows += [(i, " ".join([*(f"p{i}x{k}" for k in range(r.randrange(60))), *w, *(f"q{i}x{k}" for k in range(r.randrange(60)))])) for i, w in zip(ids, (words, other), strict=True)]
+        pairs.append(ids)
+    got = {x["doc_id"]: x["class_id"] for x in classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(c in (d, d - 1) for d, c in got.items())
