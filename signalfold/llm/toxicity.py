@@ -210,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int
     """Train on at most max_rows labelled documents of each class (lowest hashed ids), none held out.
 
     Texts over max_chars and null texts don't teach; so the driver holds 2 * max_rows * max_chars characters at most.
-    Null labels don't teach; a document with several labels counts as toxic if one says so.
+    Null labels don't teach; a document with several labels counts as toxic if one says so, and of several texts of an id
+    the least teaches.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -219,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int
     few = [known.where(F.col("toxic") == t).orderBy(*order).limit(max_rows) for t in (0, 1)]
     few = F.broadcast(few[0].unionAll(few[1]))  # 2 * max_rows rows at most
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") <= max_chars)
-    rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in texts.join(few, "doc_id").toLocalIterator())
+    taught = texts.join(few, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text an id
+    rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in taught.toLocalIterator())
     prior = counts.get(1, 0) / max(sum(counts.values()), 1)
     return train([t for _, _, t in rows], [y for _, y, _ in rows], prior=min(max(prior, 0.05), 0.95), **options)
 

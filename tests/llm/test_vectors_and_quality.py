@@ -8,8 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from signalfold.llm import centroids, compression, quality
+from signalfold.llm import centroids, compression, quality, queries, toxicity
 
 NAN, INF = float("nan"), float("inf")
 
@@ -216,3 +217,24 @@ def test_verdicts_follow_the_labels_of_the_tables(spark, sf):
     got = quality.judged(docs, train).where("NOT base_failed").join(marks.where("crc32(cast(doc_id AS string)) % 4 = 2"), "doc_id")
     share = {r["quality"]: r["share"] for r in got.groupBy("quality").agg({"doc_id": "count"}).join(got.where("kept").groupBy("quality").count(), "quality", "left").selectExpr("quality", "coalesce(count, 0) / `count(doc_id)` AS share").collect()}
     assert share[1] >= 0.97 and share[0] <= 0.1
+
+
+def test_toxicity_on_held_out_rows_of_a_table(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op4_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("toxic", "score", "predicted").toPandas()
+    bad, good = got[got.toxic == 1], got[got.toxic == 0]
+    above = (bad.score.to_numpy()[:, None] > good.score.to_numpy()[None]).mean()
+    assert len(bad) > 80 and above >= 0.9, (len(bad), above, bad.predicted.mean(), good.predicted.mean())
+
+
+def test_toxicity_teaches_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c"), (3, "d"), (4, None)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, 0), (4, 0), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    whole, toxicity.train = toxicity.train, lambda texts, truth, **_: seen.append(sorted(zip(texts, truth, strict=True)))
+    try:
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = whole
+    held = {r["doc_id"] for r in spark.createDataFrame([(1,), (3,)], "doc_id long").where(toxicity.held_out(F.col("doc_id"))).collect()}
+    assert seen == [[x for x, i in ((("a", 1), 1), (("d", 0), 3)) if i not in held]]
