@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "MMM d, yyyy", "d MMM yyyy")
+FORMATS = ("yyyy-M-d", "yyyy/M/d", "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d.M.yyyy")
+#: What may stand before a day.
+SAID = r"(?i)^(?:posted|active|updated|published|reposted|listed|added)\s*:?\s*(?:on\s+)?"
+#: Days of a unit, whose first letters may stand for it; hours count by whole days and less than that not at all.
+UNITS = (("years?|yrs?|y", 365), ("months?|mos?", 30), ("weeks?|wks?|w", 7), ("days?|d", 1), ("hours?|hrs?|h", 1 / 24), ("minutes?|mins?|m|seconds?|secs?|s", 0))
 
 
 def age_days(posted: Column, seen: Column, as_of: Column) -> Column:
@@ -15,18 +19,28 @@ def age_days(posted: Column, seen: Column, as_of: Column) -> Column:
 
 
 def parse_when(c: Column, as_of: Column, order: str = "dmy") -> Column:
-    """ISO dates, seconds or milliseconds since 1970, "3 days ago", "yesterday" and d/m/y or m/d/y by order."""
-    t = F.lower(F.trim(c))
-    count, unit = F.regexp_extract(t, r"^([0-9]+)\+? (day|week|month|hour)s? ago$", 1).try_cast("int"), F.regexp_extract(t, r"^[0-9]+\+? (day|week|month|hour)s? ago$", 1)
-    back = F.when(unit == "day", F.date_sub(as_of, count)).when(unit == "week", F.date_sub(as_of, count * 7)).when(unit == "month", F.date_sub(as_of, count * 30)).when(unit == "hour", F.date_sub(as_of, F.floor(count / 24).cast("int")))
-    near = F.when(t.isin("today", "just now"), as_of).when(t == "yesterday", F.date_sub(as_of, 1))
-    number = F.when(t.rlike("^[0-9]{9,13}$"), t.try_cast("double"))
+    """A day: ISO and written dates, seconds or milliseconds since 1970, "today", "3 days ago", "30+ d ago", "Posted 2w
+    ago", and a/b/y as d/m/y or m/d/y by order, the other way if only that is a date; null for anything else."""
+    text = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+    said = F.regexp_replace(text, SAID, "")
+    text = F.when(said == "", text).otherwise(said)
+    t = F.lower(text)
+    near = F.when(t.isin("today", "just now", "just posted", "now", "new", "few seconds ago", "moments ago"), as_of).when(t == "yesterday", F.date_sub(as_of, 1))
+    ago = r"^([0-9]{1,6}|an?|one) ?\+? ?(%s)\.? ?\+? ago$"
+    for unit, days in UNITS:
+        number = F.regexp_extract(t, ago % unit, 1)
+        back = F.floor(F.coalesce(number.try_cast("int"), F.lit(1)) * F.lit(days)).cast("int")
+        near = near.when(number != "", F.date_sub(as_of, back))
+    number = F.when(t.rlike("^[0-9]{9,15}$"), t.try_cast("double"))
     epoch = F.to_date(F.timestamp_seconds(F.when(number > 1e12, number / 1000).otherwise(number)))
-    formats = [f for f in FORMATS if f != "dd/MM/yyyy" and f != "MM/dd/yyyy"]
-    slashed = ["dd/MM/yyyy", "MM/dd/yyyy"] if order == "dmy" else ["MM/dd/yyyy", "dd/MM/yyyy"]
-    dates = [F.try_to_timestamp(F.trim(c), F.lit(f)).cast("date") for f in [*formats, *slashed]]
-    iso = F.try_to_timestamp(F.regexp_extract(t, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[t ]", 1), F.lit("yyyy-MM-dd")).cast("date")
-    return F.coalesce(near, back, epoch, iso, *dates)
+    as_day = lambda value, form: F.try_to_timestamp(value, F.lit(form)).cast("date")
+    slash = r"(?i)^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?:[ t,]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?(?: ?[ap]\.?m\.?)?)?$"
+    a, b, y = (F.regexp_extract(t, slash, k) for k in (1, 2, 3))
+    turned = {"dmy": as_day(F.when(y != "", F.concat_ws("-", y, b, a)), "y-M-d"), "mdy": as_day(F.when(y != "", F.concat_ws("-", y, a, b)), "y-M-d")}
+    slashed = [turned[order], turned["mdy" if order == "dmy" else "dmy"]]
+    iso = as_day(F.nullif(F.regexp_extract(t, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")), "yyyy-MM-dd")
+    written = F.initcap(F.regexp_replace(F.regexp_replace(t, "^[a-z]{3}, ", ""), r" [0-9]{2}:[0-9]{2}:[0-9]{2}.*$", ""))
+    return F.coalesce(near, epoch, iso, *slashed, *(as_day(written, f) for f in FORMATS))
 
 
 def date_order(first: Column, second: Column) -> Column:

@@ -7,15 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clean import CREDENTIALS, HONORIFICS
 from ..functions.text import is_valid_email, normalize_text, strip_accents
 
-# fixed values: patterns in the order they are tried, names of their parts, letters that NFKD does not fold,
-# titles before and letters after a name
+# fixed values: patterns in the order they are tried, names of their parts, letters that NFKD does not fold
 PATTERNS = ("{first}.{last}", "{first}", "{f}{last}", "{first}{last}", "{f}.{last}", "{first}_{last}", "{first}{l}", "{last}")
 PARTS = {"first": ("first", "first_name", "firstname", "fn"), "last": ("last", "last_name", "lastname", "ln"), "f": ("f", "fi", "first_initial"), "l": ("l", "li", "last_initial")}
 LETTERS = {"ß": "ss", "æ": "ae", "Æ": "ae", "ø": "o", "Ø": "o", "œ": "oe", "Œ": "oe", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d", "ð": "d", "Ð": "d", "þ": "th", "Þ": "th", "ı": "i", "ĸ": "k", "ŋ": "n"}
-HONORIFICS = ("dr", "mr", "mrs", "ms", "miss", "mx", "prof", "sir")
-CREDENTIALS = ("jr", "sr", "ii", "iii", "iv", "phd", "md", "mba", "cpa", "cfa", "esq", "pmp")
 #: Order of address statuses; others count as unknown.
 STATUSES = ("valid", "risky", "unknown", "invalid")
 
