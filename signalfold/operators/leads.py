@@ -79,9 +79,12 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def lost_by_bounce(events: DataFrame) -> DataFrame:
-    """lead_id of those whose last loss was for an address that bounced."""
-    last = events.where(F.col("stage") == LOST).groupBy("lead_id").agg(F.max_by("note", "at").alias("note"))
-    return last.where(F.lower("note").contains("bounce")).select("lead_id")
+    """lead_id of those whose last loss was for an address that bounced. Of losses at one time the last counts, by the
+    events' number `id` where they have one, else a bounce."""
+    bounced = F.lower(F.coalesce("note", F.lit(""))).contains("bounce")
+    number = F.col("id") if "id" in events.columns else F.lit(0)
+    last = events.where(F.col("stage") == LOST).groupBy("lead_id").agg(F.max(F.struct("at", number.alias("number"), bounced.alias("bounced"))).alias("last"))
+    return last.where("last.bounced").select("lead_id")
 
 
 def company_engagement(leads: DataFrame, events: DataFrame, exclude_run: str = "") -> DataFrame:
@@ -94,9 +97,12 @@ def company_engagement(leads: DataFrame, events: DataFrame, exclude_run: str = "
 
 
 def recently_contacted(rows: DataFrame, leads: DataFrame, days: int, as_of: Column) -> DataFrame:
-    """(id) of rows (id, email) whose address another lead was handed over with in the last `days` days."""
-    sent = leads.where(F.col("exported_at") >= F.date_sub(as_of, days)).select(F.lower("email").alias("_email"), F.col("id").alias("_other"))
-    met = rows.select("id", F.lower("email").alias("_email")).join(sent, "_email").where("id <> _other")
+    """(id) of rows (id, email) whose address another lead was handed over with in the last `days` days. Blank addresses
+    meet none. Of each address only the least and the greatest id count: one of them is another's if there is another."""
+    email = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    sent = leads.where(F.col("exported_at") >= F.date_sub(as_of, days)).select(email("email").alias("_email"), "id").where("_email IS NOT NULL")
+    ends = sent.groupBy("_email").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    met = rows.select("id", email("email").alias("_email")).join(ends, "_email").where("id <> _low OR id <> _high")
     return met.select("id").distinct() if days > 0 else met.limit(0).select("id")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.clean import as_text, clean_domain, clean_email, clean_text, clean_url, domain_matches_name, email_status, first_of, is_free_email, is_platform_url, let, name_parts, no, once, safe_host
 from ..functions.dates import parse_when
-from ..functions.text import amount_currency, format_money, is_blank, is_blocked_domain, normalize_text, parse_amount, pretty_stage, to_int
+from ..functions.text import amount_currency, format_money, is_blank, is_blocked_domain, normalize_text, parse_amount, stage_words, to_int
 from . import headers
 from .headers import PERSON, normal_mapping, paths
 
@@ -99,7 +99,7 @@ class Record:
         out = []
         for v in filter(None, map(self.find, names)):
             text = v.text()
-            cut = F.transform(F.split(clean_text(F.regexp_replace(text, r"[\r\n]", ",")), "[,;|]"), F.btrim)
+            cut = F.transform(F.split(clean_text(F.regexp_replace(text, r"[\r\n]", ",")), "[,;|]"), lambda x: F.btrim(x))
             lists = v.parts()
             items = cut if lists is None else F.coalesce(F.transform(lists, lambda x: clean_text(x)), cut)
             out.append(F.when(text != "", items))
@@ -267,14 +267,14 @@ class Mapper:
         kind = F.btrim(F.regexp_replace(F.lower(val("signal_type")), "[^a-z0-9]+", "_"), F.lit("_"))
         raw |= {"_needed": F.col("_needs"), "_title": clean_text(val("signal_title"), 300), "_type": F.when(kind == "", "custom").otherwise(kind), "_when": when(val("signal_date")), "_url": clean_url(val("signal_url"))}
         raw |= {"_spot": clean_text(val("signal_location"), 200), "_text": clean_text(val("signal_description"), 1500), "_id": val("signal_id"), "_more": text_map(own_extras("signal_data."))}
-        raw |= {"_stage": pretty_stage(val("funding_stage")), "_raised": parse_amount(val("funding_amount")), "_currency": first_of(val("funding_currency"), F.lit("$")), "_raised_text": val("funding_amount"), "_day": when(val("funding_date")), "_total": parse_amount(val("funding_total")), "_total_text": val("funding_total"), "_news": clean_url(val("funding_url"))}
+        raw |= {"_stage": stage_words(F.col("_round")), "_raised": parse_amount(val("funding_amount")), "_currency": first_of(val("funding_currency"), F.lit("$")), "_raised_text": val("funding_amount"), "_day": when(val("funding_date")), "_total": parse_amount(val("funding_total")), "_total_text": val("funding_total"), "_news": clean_url(val("funding_url"))}
         kept = [F.col(f"`{c}`") for c in keep]
         # what templates and the default signal read from the record
         canon = {k: F.col(f"_{k}") for k in ("name", "city", "state", "country", "location")}
         used = {n: record.text([n]) for t in (self.title, *(str((self.default_signal or {}).get(k, "")) for k in ("title", "description"))) for _, n, _, _ in string.Formatter().parse(t) if n}
         seen = {n: f"_field{i}" for i, n in enumerate(used)}
         first = {texts[n]: self.value(record, n) for n in texts} | {seen[n]: c for n, c in used.items()}
-        first |= {"_parts": record.parts(self.fields.get("keywords", ())), "_team": self.people_of(record), "_needs": needed}
+        first |= {"_parts": record.parts(self.fields.get("keywords", ())), "_team": self.people_of(record), "_needs": needed, "_round": clean_text(self.value(record, "funding_stage"))}
         rows = df.select(*kept, *(c.alias(n) for n, c in first.items()))
         rows = rows.select(*kept, *seen.values(), *(c.alias(n) for n, c in raw.items()))
         fields = Record({n: Value(F.col(c), T.StringType()) for n, c in seen.items()})
