@@ -94,22 +94,19 @@ def as_text(c: Column, kind: T.DataType) -> Column:
     return no(c.cast("string"))
 
 
-def variant_text(c: Column, depth: int = 2) -> Column:
-    """as_text of a VARIANT; objects and lists within lists or objects are read `depth` levels down."""
-
-    def read(v: Column, kind: Column) -> Column:
-        out = F.when(kind.isNull() | kind.isin("BOOLEAN", "VOID"), "")
-        if depth:
-            items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: variant_text(x, depth - 1))
-            named = [variant_text(F.try_variant_get(v, f"$.{k}", "variant"), 0) for k in NAME_KEYS]
-            out = out.when(kind.startswith("ARRAY"), F.array_join(once(items), ", ")).when(kind.startswith("OBJECT"), first_of(*named))
-        else:
-            out = out.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), "")
+def variant_text(c: Column) -> Column:
+    """as_text of a VARIANT: of lists in lists and objects in objects nothing is read."""
+
+    def read(v: Column, kind: Column, listed: Column | None) -> Column:
+        inner = F.filter(F.array(*(F.try_variant_get(v, f"$.{k}", "string") for k in NAME_KEYS)), lambda x: ~is_blank(x) & ~x.rlike(r"^[\[{]|^(?:true|false)$"))
+        out = F.when(kind.isNull() | kind.isin("BOOLEAN", "VOID"), "").when(kind.startswith("OBJECT"), F.btrim(F.get(inner, F.lit(0)))).when(kind.startswith("ARRAY"), "" if listed is None else listed)
         out = out.when(kind == "DOUBLE", as_text(F.try_variant_get(v, "$", "double"), T.DoubleType()))
         out = out.when(kind.startswith("DECIMAL"), as_text(F.try_variant_get(v, "$", "decimal(38,9)"), T.DecimalType(38, 9)))
         return no(out.otherwise(as_text(F.try_variant_get(v, "$", "string"), T.StringType())))
 
-    return let(F.struct(c.alias("v"), F.schema_of_variant(c).alias("kind")), lambda s: read(s["v"], s["kind"]))
+    known = lambda x: F.struct(x.alias("v"), F.schema_of_variant(x).alias("kind"))
+    each = lambda x: let(known(x), lambda s: read(s["v"], s["kind"], None))
+    return let(known(c), lambda s: read(s["v"], s["kind"], F.array_join(once(F.transform(F.try_variant_get(s["v"], "$", "array<variant>"), each)), ", ")))
 
 
 def unescape(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, matching, text
 from ..operators import fit, ranking, reports, resolve, scoring, signals, state
 from ..sources import files
-from . import people  # noqa: F401 (registers its queries)
+from . import people, records  # noqa: F401 (register their queries)
 from .common import ORACLE, QUERIES, query, t  # noqa: F401
 
 AS_OF = "2001-08-01"
