@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.replies import clean_reply
 from ..operators import fit, resolve
 from ..operators.places import Gazetteer
 from ..sources.mapping import Mapper, mapped
@@ -120,3 +121,11 @@ def rejection_reasons(spark, sf_dir):
     listed = spark.range(20).select(F.lit("domain").alias("kind"), F.concat(F.lit("d"), "id", F.lit(".com")).alias("value")).unionByName(names)
     wanted = fit.Profile(locations=["Europe"], exclude_locations=["DACH"], most_employees=9000, industries=["building", "automobile", "furniture"], keywords=["building", "automobile", "rich"], exclude_keywords=["machinery"], exclude_domains=["big.org"], exclude_name_patterns=["77$"], require_domain=True, unknown_passes=False)
     return fit.rejections(rows, wanted, listed).select(F.col("company_key").alias("c_custkey"), "reason")
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS written FROM conversations")
+def replies_cleaned(spark, sf_dir):
+    quoted = F.concat(F.col("text"), F.lit("\n\nOn Mon, 3 May 2021 at 10:00, Ann <ann@x.com>\nwrote:\n> "), F.col("text"), F.lit("\n-- \nAnn"))
+    signed = F.concat(F.lit("<div>"), F.col("text"), F.lit("</div><div class='gmail_quote'>old "), F.col("text"), F.lit("</div>"))
+    mail = F.when(F.col("turn") % 3 == 0, quoted).when(F.col("turn") % 3 == 1, signed).otherwise(F.concat(F.col("text"), F.lit("\r\n\r\nKind regards,\r\nAnn Lee\r\nSent from my phone")))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", clean_reply(F.coalesce(mail, F.lit(""))).alias("written"))

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(base.ORACLE))
 def test_query_agrees_with_its_sql(spark, name):
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents pages labels".split():
+    for t in "region nation customer supplier part orders lineitem events documents pages labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(base.ORACLE[name])
     names = [d[0] for d in want.description]
