@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.replies import clean_reply
-from ..operators import fit, resolve
+from ..operators import fit, ledger, resolve
 from ..operators.places import Gazetteer
 from ..sources.mapping import Mapper, mapped
 from .common import query, t
@@ -129,3 +129,40 @@ def replies_cleaned(spark, sf_dir):
     signed = F.concat(F.lit("<div>"), F.col("text"), F.lit("</div><div class='gmail_quote'>old "), F.col("text"), F.lit("</div>"))
     mail = F.when(F.col("turn") % 3 == 0, quoted).when(F.col("turn") % 3 == 1, signed).otherwise(F.concat(F.col("text"), F.lit("\r\n\r\nKind regards,\r\nAnn Lee\r\nSent from my phone")))
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", clean_reply(F.coalesce(mail, F.lit(""))).alias("written"))
+
+
+def delivered_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as leads of three clients: half of them with a domain, each with a job and a contact."""
+    c, k = t(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    job = F.struct(F.lit("job_posting").alias("type"), F.col("c_mktsegment").alias("title"), F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("https://www.jobs.com/j/"), k, F.lit("/?utm_source=a&id="), k)).alias("url"), F.when(F.col("c_custkey") % 3 == 0, k).alias("external_id"))
+    contact = F.struct(F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit("P"), k, F.lit("@mail.com"))).alias("email"), F.lit(None).cast("string").alias("linkedin_url"), F.concat(F.lit("Ann Lée "), k).alias("full_name"))
+    none = F.lit(None).cast("string")
+    return c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("c"), F.col("c_nationkey") % 3).alias("client"), F.concat("c_name", F.lit(" GmbH")).alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("http://www.d"), k, F.lit(".com/x"))).alias("domain"), none.alias("linkedin_url"), none.alias("email_domain"), F.array(job).alias("signals"), contact.alias("contact"))
+
+
+ITEMS_SQL = """l AS (SELECT c_custkey AS id, 'c' || c_nationkey % 3 AS client, 'name:' || lower(replace(c_name, '#', ' ')) AS named, CASE WHEN c_custkey % 2 = 0 THEN 'd' || c_custkey || '.com' END AS host, lower(c_mktsegment) AS title FROM customer),
+w AS (SELECT *, coalesce(host, named) AS own, 'ann lee ' || id AS person, CASE id % 3 WHEN 0 THEN '|' || id WHEN 2 THEN '|job_posting:' || title END AS rest FROM l),
+i AS (SELECT client, id, 'company' AS kind, own AS key FROM w UNION ALL SELECT client, id, 'company_by_name', named FROM w WHERE host IS NOT NULL
+  UNION ALL SELECT client, id, 'job', coalesce(own || rest, 'jobs.com/j/' || id || '?id=' || id) FROM w UNION ALL SELECT client, id, 'job_by_name', named || rest FROM w WHERE host IS NOT NULL AND rest IS NOT NULL
+  UNION ALL SELECT client, id, 'contact', 'p' || id || '@mail.com' FROM w WHERE id % 4 > 0 UNION ALL SELECT client, id, 'contact', person || '|' || own FROM w UNION ALL SELECT client, id, 'contact_by_name', person || '|' || named FROM w WHERE host IS NOT NULL)"""
+
+
+@query(f"WITH {ITEMS_SQL} SELECT client, id, kind, key FROM i")
+def ledger_items(spark, sf_dir):
+    return ledger.lead_items(delivered_leads(spark, sf_dir))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 70 < 5 AND c_custkey % 2 = 0 THEN 'on this client''s do-not-list (domain)' WHEN c_custkey % 5 = 0 THEN 'already delivered to this client (2001-07-20)' END AS reason,
+  CASE WHEN c_custkey % 5 = 0 THEN 'contact already delivered to this client' END AS contact_reason FROM customer""")
+def ledger_left_out(spark, sf_dir):
+    """A second run finds companies of the first without their domains, and people without their addresses."""
+    leads, void = delivered_leads(spark, sf_dir), spark.createDataFrame([], "client string, run_id string, delivered_at date, items long")
+    first = ledger.lead_items(leads.where("id % 5 = 0"))
+    before = spark.createDataFrame([], "client string, kind string, key string, run_id string, delivered_at date")
+    deliveries, _ = ledger.record(before, void, first, "r1", F.lit("2001-07-20").cast("date"))
+    k = F.col("id").cast("string")
+    again = leads.withColumns({"domain": F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("domain")), "contact": F.struct(F.when(F.col("id") % 2 == 0, F.col("contact.email")).alias("email"), F.col("contact.linkedin_url").alias("linkedin_url"), F.col("contact.full_name").alias("full_name")), "email_domain": F.when((F.col("id") % 70 < 5) & (F.col("id") % 2 == 0), F.concat(F.lit("x.d"), k, F.lit(".com")))})
+    banned = leads.where("id % 70 < 5 AND id % 2 = 0").select("client", F.lit("domain").alias("kind"), F.concat(F.lit("d"), k, F.lit(".com")).alias("value"))
+    companies = ledger.filter_companies(again, deliveries, banned, day(), 30).select("id", "reason")
+    people = ledger.filter_contacts(again, deliveries, banned, day(), 30).select("id", F.col("reason").alias("contact_reason"))
+    return companies.join(people, "id")
