@@ -501,3 +501,15 @@ def test_edited_passages_are_found_end_to_end(spark):
     got = {x["doc_id"]: x["class_id"] for x in classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))}
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
     assert all(c in (d, d - 1) for d, c in got.items())
+
+
+def test_windows_around_a_shared_line_make_no_pairs():
+    rng = np.random.default_rng(3)
+    wide = rng.integers(1, 2**32, (3000, 107)).astype(np.uint32)
+    wide[:, 40:70] = np.arange(30)  # a line that all share
+    wide[5] = wide[900]
+    task = np.repeat([1, 2, 3], 1000)
+    task[2995:] = 4
+    keep = substring._may_meet(task, wide, 46, 37)
+    assert set(np.flatnonzero(keep)) == {5, 900, *range(2995, 3000)}
+    assert substring._may_meet(task[:0], wide[:0], 46, 37).shape == (0,)
