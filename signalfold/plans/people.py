@@ -191,3 +191,43 @@ def company_fields(spark, sf_dir):
     site, host = F.when(k % 4 == 0, " http://x.example/a").when(k % 4 == 1, "//y.example"), F.when(k % 4 == 2, "z.example").when(k % 4 < 2, "w.example")
     place = F.when(k % 3 == 0, F.concat("n_name", F.lit(" Town"))).when(k % 3 == 2, "Old Town")
     return c.select("c_custkey", sequences.website_url(site, host).alias("site"), sequences.company_location(place, F.col("n_name")).alias("place"))
+
+
+@query(f"""WITH {LEADS}, n AS (SELECT 'email' AS kind, email AS value, 'asked' AS reason, DATE '{AS_OF}' AS added_at FROM l WHERE id % 17 = 0 AND email <> '' UNION SELECT 'domain', 'd' || id % 50 || '.example', 'rule', DATE '{AS_OF}' FROM l WHERE id % 90 = 0
+    UNION SELECT 'company', 'firm ' || id, 'rule', DATE '{AS_OF}' FROM l WHERE id % 400 = 1)
+  SELECT kind, value, reason, added_at FROM n UNION ALL SELECT 'email', 'u1@d1.example', 'old', DATE '{THEN}' WHERE NOT EXISTS (SELECT 1 FROM n WHERE kind = 'email' AND value = 'u1@d1.example')""")
+def suppression_added(spark, sf_dir):
+    """Entries as people write them; an old entry that comes again is replaced."""
+    rows, old = lead_table(spark, sf_dir), spark.sql(f"SELECT 'email' AS kind, 'u1@d1.example' AS value, 'old' AS reason, DATE '{THEN}' AS added_at")
+    mail = rows.where("id % 17 = 0").select(F.lit("email").alias("kind"), F.concat(F.lit(" "), F.upper("email")).alias("value"), F.lit("asked").alias("reason"))
+    host = rows.where("id % 90 = 0").select(F.lit("domain").alias("kind"), F.concat(F.lit("https://www.d"), F.col("id") % 50, F.lit(".example/x")).alias("value"), F.lit("rule").alias("reason"))
+    firm = rows.where("id % 400 = 1").select(F.lit("company").alias("kind"), F.concat(F.lit("The FIRM, "), "id", F.lit(" Ltd.")).alias("value"), F.lit("rule").alias("reason"))
+    return leads.suppress(old, mail.unionByName(host).unionByName(firm), day(AS_OF))
+
+
+@query(f"WITH {LEADS}, s AS (SELECT DISTINCT email AS value FROM l WHERE email <> '') SELECT value FROM s WHERE value NOT IN (SELECT email FROM l WHERE id % 4 = 1)")
+def suppression_removed(spark, sf_dir):
+    rows = lead_table(spark, sf_dir)
+    known = rows.where("email <> ''").select(F.lit("email").alias("kind"), F.col("email").alias("value")).distinct()
+    gone = rows.where("id % 4 = 1").select(F.concat(F.upper("email"), F.lit(" ")).alias("value"), F.lit(None).cast("string").alias("kind"))
+    return leads.unsuppress(known, gone).select("value")
+
+
+@query("SELECT event_id AS id, event_id % 2 = 0 OR event_id % 3 = 0 AS done FROM events")
+def followups_completed(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 2 == 0).alias("done"))
+    ids = rows.where("id % 3 = 0").select("id")
+    return leads.complete_followups(rows, ids.unionAll(ids))
+
+
+@query(f"WITH {LEADS} SELECT id, score FROM l WHERE run_id = 'r2' AND id % 7 > 0")
+def leads_of_a_run(spark, sf_dir):
+    rows = lead_table(spark, sf_dir)
+    runs = rows.where("id % 7 > 0").select(F.col("id").alias("lead_id"), "run_id")
+    return leads.leads_of_run(rows, runs.unionAll(runs), "r2").select("id", "score")
+
+
+@query("SELECT 'p' || o_custkey % 40 AS playbook, max_by(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS run_id FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def latest_runs(spark, sf_dir):
+    runs = t(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.col("o_custkey") % 40).alias("playbook"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("finished_at"))
+    return leads.latest_run(runs)
