@@ -33,6 +33,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for work that takes long for each row: a small file is a single task otherwise. A table of more
+    tasks stays as it is."""
+    spark = df.sparkSession
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a staged table that no later read needs."""
     jvm = df.sparkSession._jvm

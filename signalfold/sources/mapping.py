@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.clean import as_text, clean_domain, clean_email, clean_text, clean_url, domain_matches_name, email_status, first_of, is_free_email, is_platform_url, let, name_parts, no, once, safe_host
 from ..functions.dates import parse_when
 from ..functions.text import amount_currency, format_money, is_blank, is_blocked_domain, normalize_text, parse_amount, stage_words, to_int
+from ..operators.components import spread
 from . import headers
 from .headers import PERSON, normal_mapping, paths
 
@@ -250,6 +251,7 @@ class Mapper:
         table gives no rows. Names of df that clash with these are read by the mapping only.
         """
         record, order = Record.of(df, root), self.date_order or self.order_of(df, root)
+        df = spread(df)
         when = lambda c: parse_when(c, self.as_of, order)
         # each step is a select of its own, so that no value is computed twice: first the texts of the fields
         names = headers.COMPANY + PERSON + headers.SIGNAL + headers.FUNDING
