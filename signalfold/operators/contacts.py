@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import CREDENTIALS, HONORIFICS
+from ..functions.clean import CREDENTIALS, HONORIFICS, let
 from ..functions.text import is_valid_email, normalize_text, strip_accents
 
 # fixed values: patterns in the order they are tried, names of their parts, letters that NFKD does not fold
@@ -57,11 +57,14 @@ def render_pattern(pattern: str, first: Column, last: Column) -> Column:
 def candidates(first: Column, last: Column, domain: Column, known: Column | None = None, patterns: tuple[str, ...] = PATTERNS, most: int = 0) -> Column:
     """Guessed addresses in order, each once: those of the patterns, after `known` (addresses); none without a first name."""
     made = list(dict.fromkeys(p for p in map(normalize_pattern, patterns) if p))
-    f, n = name_token(first, True), name_token(last)
-    guesses = F.array(*[F.concat(render_pattern(p, f, n), F.lit("@"), domain) for p in made])
-    every = F.concat(F.transform(known, lambda e: F.lower(F.trim(e))), guesses) if known is not None else guesses
-    good = F.array_distinct(F.filter(every, lambda e: e.isNotNull() & is_valid_email(e)))
-    good = F.when(F.coalesce(domain != "", F.lit(False)) & (f != ""), good).otherwise(F.array().cast("array<string>"))
+
+    def of_tokens(token: Column) -> Column:
+        guesses = F.array(*[F.concat(render_pattern(p, token["f"], token["n"]), F.lit("@"), domain) for p in made])
+        every = F.concat(F.transform(known, lambda e: F.lower(F.trim(e))), guesses) if known is not None else guesses
+        good = F.array_distinct(F.filter(every, lambda e: e.isNotNull() & is_valid_email(e)))
+        return F.when(F.coalesce(domain != "", F.lit(False)) & (token["f"] != ""), good).otherwise(F.array().cast("array<string>"))
+
+    good = let(F.struct(name_token(first, True).alias("f"), name_token(last).alias("n")), of_tokens)
     return F.slice(good, 1, most) if most else good
 
 

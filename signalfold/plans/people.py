@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contacts, leads, sequences, usage
+from ..operators.components import spread
 from .common import ORACLE, QUERIES, query, t  # noqa: F401
 
 AS_OF, THEN = "2001-08-01", "2001-01-01"
@@ -134,7 +135,7 @@ def contact_candidates(spark, sf_dir):
     first = F.get(F.array(F.lit("Anna (she)"), F.lit("Dr. Jörg"), F.lit(None).cast("string"), F.lit("Ian"), F.lit("Mary Ann")), k.cast("int"))
     last = F.get(F.array(F.lit("Doe, CPA"), F.lit("Groß-Meyer PhD"), F.lit("Solo"), F.lit(""), F.lit("de la Cruz")), k.cast("int"))
     made = contacts.candidates(first, last, F.concat(F.lit("d"), F.col("c_custkey") % 50, F.lit(".example")))
-    return t(spark, sf_dir, "customer").select("c_custkey", F.array_join(made, " ").alias("emails"))
+    return spread(t(spark, sf_dir, "customer")).select("c_custkey", F.array_join(made, " ").alias("emails"))
 
 
 @query("""WITH c AS (SELECT s_nationkey AS company_key, s_suppkey AS pos, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE s_name END AS full_name, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 4 = 1 THEN '' ELSE 's' || s_suppkey || '@x.example' END AS email, s_suppkey % 5 > 0 AND s_suppkey % 4 = 1 AS generic,
