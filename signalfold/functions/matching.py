@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .clean import let
 from .text import normalize_text, strip_accents
 
 # fixed values: shortest word with plurals, shortest compound, stems that take -es, words that are no plurals,
@@ -163,18 +164,24 @@ def _title_test(canonical: Column, wanted: str) -> Column:
 
 def title_matches(c: Column, wanted: str) -> Column:
     """Is the title an instance of the wanted one, in any order of words, and not "former", "deputy" or "'s assistant"?"""
-    return F.coalesce(_title_test(canonical_title(c), wanted), F.lit(False))
+    return let(canonical_title(c), lambda t: F.coalesce(_title_test(t, wanted), F.lit(False)))
 
 
-def is_excluded_title(c: Column, excluded: list[str]) -> Column:
-    padded = F.concat(F.lit(" "), canonical_title(c), F.lit(" "))
+def _excluded(canonical: Column, excluded: list[str]) -> Column:
+    padded = F.concat(F.lit(" "), canonical, F.lit(" "))
     tests = [mentions(padded, w) for e in excluded if (w := canonical_words(e))]
     return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False)) if tests else F.lit(False)
 
 
+def is_excluded_title(c: Column, excluded: list[str]) -> Column:
+    return let(canonical_title(c), lambda t: _excluded(t, excluded))
+
+
 def title_rank(c: Column, wanted: list[str], excluded: list[str] = ()) -> Column:
     """Place of the first wanted title that matches, from 0; null if blank, excluded or none; 0 if none is wanted."""
-    canonical = canonical_title(c)
-    ranks = [F.when(_title_test(canonical, w), F.lit(i)) for i, w in enumerate(wanted)]
-    rank = F.coalesce(*ranks) if ranks else F.lit(0)
-    return F.when((F.trim(c) != "") & ~is_excluded_title(c, list(excluded)), rank)
+
+    def rank(canonical: Column) -> Column:
+        ranks = [F.when(_title_test(canonical, w), F.lit(i)) for i, w in enumerate(wanted)]
+        return F.when(~_excluded(canonical, list(excluded)), F.coalesce(*ranks) if ranks else F.lit(0))
+
+    return F.when(F.trim(c) != "", let(canonical_title(c), rank))
