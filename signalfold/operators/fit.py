@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import keyword_match
 from ..functions.text import domain_and_parents, normalize_company_name, normalize_domain
+from .components import spread
 from .places import Gazetteer, location_fit, shown
 
 
@@ -150,6 +151,7 @@ def rejections(rows: DataFrame, profile: Profile, suppression: DataFrame | None
     unknown_passes is off. Texts that are null count as empty.
     """
     c = {n: F.coalesce(F.col(n), F.lit("")) for n in ("name", "domain", "industry", "description")}
+    rows = spread(rows)
     met = fit_reports(rows, profile)
     reasons: list[Column] = []
     if suppression is not None:
