@@ -316,12 +316,18 @@ def first_pairs(chunks: DataFrame, bands: int, least: int, slack: int) -> DataFr
     return chunks.mapInArrow(lambda batches: _collected(found(batches)), PAIR)
 
 
-#: Windows of keys whose texts are of different classes.
-OPEN = "key long, doc long, l long, c long, r long, root long"
+#: Windows of keys whose texts are of different classes. Where a text repeats itself, its windows of one key whose centres
+#: follow within `least` tokens, from c to last, are one.
+OPEN = "key long, doc long, l long, c long, last long, r long, root long"
+OPEN_NAMES = [c.split()[0] for c in OPEN.split(", ")]
 
 
-def _open_record(x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(6)], [c.split()[0] for c in OPEN.split(", ")])
+def _open_record(x: np.ndarray, least: int) -> pa.RecordBatch:
+    x = x[np.lexsort((x[:, CENTRE], x[:, DOC], x[:, KEY]))]
+    at = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(axis=1) | (np.diff(x[:, CENTRE]) > least)]))
+    last = x[np.append(at[1:], len(x)) - 1, CENTRE]
+    columns = x[at, KEY], x[at, DOC], np.minimum.reduceat(x[:, LEFT], at), x[at, CENTRE], last, np.maximum.reduceat(x[:, RIGHT], at), x[at, ROOT]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in columns], OPEN_NAMES)
 
 
 def _class_of(docs: np.ndarray, nodes: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -329,7 +335,7 @@ def _class_of(docs: np.ndarray, nodes: np.ndarray, root: np.ndarray) -> np.ndarr
     return np.where(nodes[at] == docs, root[at], docs)
 
 
-def open_windows(chunks: DataFrame, roots) -> DataFrame:
+def open_windows(chunks: DataFrame, roots, least: int) -> DataFrame:
     """The windows of all keys whose texts are of different classes; roots is a broadcast (texts, classes), both sorted
     by text, or None where the chunks have the classes."""
 
@@ -345,7 +351,7 @@ def open_windows(chunks: DataFrame, roots) -> DataFrame:
             start, stop = _bounds(x[:, KEY])
             differ = np.minimum.reduceat(x[:, ROOT], start) != np.maximum.reduceat(x[:, ROOT], start)
             if differ.any():
-                yield _open_record(x[np.repeat(differ, stop - start)])
+                yield _open_record(x[np.repeat(differ, stop - start)], least)
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -354,7 +360,7 @@ def open_windows(chunks: DataFrame, roots) -> DataFrame:
 
     def of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            yield _open_record(classed(row))
+            yield _open_record(classed(row), least)
 
     found = chunks.where("part < 0").mapInArrow(of_keys, OPEN)
     wide = chunks.where("part >= 0")
@@ -411,14 +417,129 @@ def _holds_run(hit: np.ndarray, least: int, needed: int) -> np.ndarray:
     return found
 
 
+def _run_hashes(tokens: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of all runs of `least` tokens."""
+    h, power = tokens.astype(np.uint64), 0x9E3779B97F4A7C15
+    have, out, done = 1, None, 0
+    while True:
+        if least & have:
+            out = h if out is None else out[: len(h) - done] * np.uint64(power) + h[done:]
+            done += have
+        if done == least:
+            return mixed(out)
+        h = h[:-have] * np.uint64(power) + h[have:]
+        power, have = power * power % 2**64, 2 * have
+
+
+def _of_repeats(x: np.ndarray, cuts: np.ndarray, least: int, slack: int, similarity: float) -> np.ndarray:
+    """PAIR of the windows of one task of which one at least is a text's repetition of itself; columns: task, same, own,
+    then OPEN.
+
+    Windows with an equal run of `least` tokens meet by its hash, which makes classes of the task. Windows of different
+    ones are compared exactly if each has a run whose distinct tokens lack few enough in the other: every part of alike
+    runs lacks (1 - similarity) / similarity of what both share at most. Once two classes are linked, no more of their
+    windows are compared.
+    """
+    rows = []
+    for cut in cuts:
+        tokens = np.frombuffer(cut, np.uint32)
+        inside = np.flatnonzero(tokens)  # the ends of a text are padded
+        rows.append((tokens[inside[0] : inside[-1] + 1], int(inside[0])))
+    reach = least - 1 + slack
+    begin = x[:, 6] - reach + np.array([at for _, at in rows])
+    sizes = np.array([len(t) for t, _ in rows])
+    root, many = np.unique(x[:, 9], return_inverse=True)[1].tolist(), x[:, 6] < x[:, 7]
+    above = list(range(max(root) + 1))
+
+    def top(r: int) -> int:
+        while above[r] != r:
+            above[r] = above[above[r]]
+            r = above[r]
+        return r
+
+    def pair(i: int, j: int, spans: tuple[int, int, int, int]) -> list[int]:
+        row = [int(x[i, 4]), int(x[j, 4]), *spans]
+        return row if row[0] < row[1] else [row[1], row[0], *spans[2:], *spans[:2]]
+
+    out, runs = [], []
+    for k, (tokens, _) in enumerate(rows):
+        if len(tokens) >= least:
+            h, at = np.unique(_run_hashes(tokens, least), return_index=True)
+            runs.append(np.column_stack([h.view(np.int64), np.full(len(h), k), at]))
+    if not runs:
+        return np.empty((0, 6), np.int64)
+    posts = np.concatenate(runs)
+    posts = posts[np.lexsort((posts[:, 1], posts[:, 0]))]
+    start, stop = _bounds(posts[:, 0])
+    heads = posts[np.repeat(start, stop - start)]
+    classes = np.array(root)
+    apart = classes[heads[:, 1]] != classes[posts[:, 1]]
+    heads, posts = heads[apart], posts[apart]
+    first = np.unique(np.column_stack([classes[heads[:, 1]], classes[posts[:, 1]]]), axis=0, return_index=True)[1]
+    for (_, i, p), (_, j, q) in zip(heads[first].tolist(), posts[first].tolist(), strict=True):
+        r, s = top(root[i]), top(root[j])
+        if r != s and x[i, 4] != x[j, 4]:
+            above[max(r, s)] = min(r, s)
+            p, q = int(begin[i]) + p, int(begin[j]) + q
+            out.append(pair(i, j, (p, p + least - 1, q, q + least - 1)))
+    classes = np.array([top(r) for r in root])
+    if (classes != classes[0]).any():
+        sets = [np.unique(t) for t, _ in rows]
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        most = (1 - similarity) / similarity
+        beyond = np.column_stack([x[:, 5] < x[:, 6] - reach, x[:, 8] > x[:, 7] + reach])  # windows that are longer than their stretch
+        open_to = lambda i: (classes != classes[i]) & (x[:, 3] == x[i, 3]) & (x[:, 4] != x[i, 4]) & ((x[:, 1] == 1) | (x[:, 2] != x[i, 2])) & (sizes >= least)
+
+        def hopeful(i: int, others: np.ndarray) -> np.ndarray:
+            """Which of others have enough of the tokens of a run in row i."""
+            own, (t, _) = sets[i], rows[i]
+            lo, hi = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+            n = hi - lo
+            has = np.zeros((len(own), len(rows)), np.float32)
+            has[np.repeat(np.arange(len(own)), n), owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]] = 1
+            has = has[:, others]
+            at = np.unique(_run_hashes(t, least), return_index=True)[1]
+            holds = np.zeros((len(at), len(own)), np.float32)
+            holds[np.repeat(np.arange(len(at)), least), np.searchsorted(own, t[at[:, None] + np.arange(least)]).ravel()] = 1
+            enough = has.sum(axis=0)
+            enough = most * enough + np.where(enough >= similarity * least, SHINGLE, 0) + 1e-6  # what is alike may go on beyond the stretch
+            lacks = np.full(len(others), np.inf)
+            for k in range(0, len(at), 1024):
+                part = holds[k : k + 1024]
+                lacks = np.minimum(lacks, (part.sum(axis=1)[:, None] - part @ has).min(axis=0))
+            return lacks <= enough
+
+        found: dict[int, list[int]] = {}
+        for i in np.flatnonzero(many & (sizes >= least)).tolist():
+            others = np.flatnonzero(open_to(i) & (~many | (np.arange(len(x)) > i)))
+            if len(others):
+                for j in others[hopeful(i, others)].tolist():
+                    found.setdefault(j, []).append(i)
+        for j, near in found.items():
+            near = np.array(near)
+            for i in near[hopeful(j, near)].tolist():
+                r, s = top(root[i]), top(root[j])
+                if r == s:
+                    continue
+                linked = bool(alike(rows[i][0], rows[j][0], least, similarity))
+                if linked:
+                    above[max(r, s)] = min(r, s)
+                if linked or beyond[[i, j]].all(axis=0).any():
+                    spans = [(min(x[k, 5] - slack, begin[k]), max(x[k, 8] + slack, begin[k] + sizes[k] - 1)) for k in (i, j)]
+                    out.append(pair(i, j, tuple(int(v) for span in spans for v in span)))
+    return np.array(out, np.int64).reshape(-1, 6)
+
+
 def later_pairs(chunks: DataFrame, roots, texts: DataFrame, first_rows: DataFrame, least: int, slack: int, similarity: float, block: int, max_broadcast: int = 1_000_000) -> DataFrame:
     """Pairs of windows of one key whose texts are of different classes, and whose stretches around the key share as many
     tokens as alike runs must. Each window brings its stretch once; a key of more than `block` windows is dealt to many
     tasks as pairs of parts. So no pair travels but those that are compared exactly."""
-    opened = staged(open_windows(chunks, roots), "open-windows")
+    opened = staged(open_windows(chunks, roots, least), "open-windows")
     parts = opened.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / F.lit(1000)).alias("parts"))
     spots = opened.join(parts, "doc").withColumn("part", F.pmod(F.xxhash64("key", "c"), F.col("parts")))
-    spots = spots.groupBy("doc", "part").agg(F.collect_list(F.struct("key", "l", "c", "r", "root")).alias("spots"))
+    spots = spots.groupBy("doc", "part").agg(F.collect_list(F.struct("key", "l", "c", "last", "r", "root")).alias("spots"))
     spots = staged(spots.join(first_rows, "doc"), "open-spots")
     reach = least - 1 + slack
 
@@ -427,9 +548,9 @@ def later_pairs(chunks: DataFrame, roots, texts: DataFrame, first_rows: DataFram
             for doc, text, spots in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 tokens = np.pad((shingles(text.as_py()) >> np.uint64(32)).astype(np.uint32), reach)
                 found = spots.as_py()
-                cut = [tokens[x["c"] : x["c"] + 2 * reach + 1].tobytes() for x in found]
-                cols = [pa.array([x[k] for x in found], pa.int64()) for k in ("key", "l", "c", "r", "root")]
-                yield pa.RecordBatch.from_arrays([cols[0], pa.array([doc] * len(found), pa.int64()), *cols[1:], pa.array(cut, pa.binary())], ["key", "doc", "l", "c", "r", "root", "tokens"])
+                cut = [tokens[x["c"] : x["last"] + 2 * reach + 1].tobytes() for x in found]
+                cols = [pa.array([x[k] for x in found], pa.int64()) for k in ("key", "l", "c", "last", "r", "root")]
+                yield pa.RecordBatch.from_arrays([cols[0], pa.array([doc] * len(found), pa.int64()), *cols[1:], pa.array(cut, pa.binary())], [*OPEN_NAMES, "tokens"])
 
     few = small_enough(opened, max_broadcast)
     met = texts.join(F.broadcast(spots) if few else spots, ["doc", "id"]).select("doc", "text", "spots").mapInArrow(stretches, OPEN + ", tokens binary")
@@ -437,7 +558,7 @@ def later_pairs(chunks: DataFrame, roots, texts: DataFrame, first_rows: DataFram
     k = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("int")
     dealt = join_checked(met, staged(large, "large-keys"), "key", "left").withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("doc"), k).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") == F.col("other")).alias("same"), "own", "key", "doc", "l", "c", "r", "root", "tokens")
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") == F.col("other")).alias("same"), "own", *OPEN_NAMES, "tokens")
     # tokens that alike runs of `least` share at least, if both or one of them has no token twice
     needed, fewest = math.ceil(similarity / (1 + similarity) * 2 * least - 1e-9), math.ceil(similarity * least - 1e-9)
 
@@ -447,25 +568,35 @@ def later_pairs(chunks: DataFrame, roots, texts: DataFrame, first_rows: DataFram
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(9)])
-            wide = np.frombuffer(b"".join(b.column(9).to_pylist()), np.uint32).reshape(len(x), -1)
-            held.append((x, wide))
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(10)])
+            held.append((x, np.array(b.column(10).to_pylist(), object)))
             n += len(x)
             if n >= 1 << 14:
-                x, wide = (np.concatenate(v) for v in zip(*held, strict=True))
+                x, cuts = (np.concatenate(v) for v in zip(*held, strict=True))
                 last = int(np.flatnonzero(x[:, 0] == x[-1, 0])[0])
                 if last:
-                    yield from of_tasks(x[:last], wide[:last])
-                held, n = [(x[last:], wide[last:])], 0
+                    yield from of_tasks(x[:last], cuts[:last])
+                held, n = [(x[last:], cuts[last:])], 0
         if held:
             yield from of_tasks(*(np.concatenate(v) for v in zip(*held, strict=True)))
 
-    def of_tasks(x: np.ndarray, wide: np.ndarray) -> Iterator[np.ndarray]:
+    def of_tasks(x: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
         """Of each task the pairs of one part, or of two parts those across; columns: task, same, own, then OPEN."""
-        order = np.lexsort((x[:, 6], x[:, 4], x[:, 3], x[:, 0]))
-        x, wide = x[order], wide[order]
-        new = np.concatenate([[True], (x[1:, [0, 3, 4, 6]] != x[:-1, [0, 3, 4, 6]]).any(axis=1)])  # equal rows of one text
-        x, wide = x[new], wide[new]
+        order = np.lexsort((x[:, 7], x[:, 6], x[:, 4], x[:, 3], x[:, 0]))
+        x, cuts = x[order], cuts[order]
+        same = [0, 3, 4, 6, 7]
+        new = np.concatenate([[True], (x[1:, same] != x[:-1, same]).any(axis=1)])  # equal rows of one text
+        x, cuts = x[new], cuts[new]
+        for i, j in zip(*_bounds(x[:, 0]), strict=True):
+            if (x[i:j, 6] < x[i:j, 7]).any():
+                yield _of_repeats(x[i:j], cuts[i:j], least, slack, similarity)
+        one = x[:, 6] == x[:, 7]
+        if one.any():
+            x = x[one]
+            wide = np.frombuffer(b"".join(cuts[one]), np.uint32).reshape(len(x), -1)
+            yield from of_singles(x[:, [0, 1, 2, 3, 4, 5, 6, 8, 9]], wide)
+
+    def of_singles(x: np.ndarray, wide: np.ndarray) -> Iterator[np.ndarray]:
         keep = _may_meet(x[:, 0], wide, least, fewest)
         x, wide = x[keep], wide[keep]
         # alike runs have a row of equal tokens around the key, as one edit leaves half of what they share; so the key's
@@ -478,22 +609,21 @@ def later_pairs(chunks: DataFrame, roots, texts: DataFrame, first_rows: DataFram
 
     def of_side(x: np.ndarray, wide: np.ndarray, side: np.ndarray, met: np.ndarray | None) -> Iterator[np.ndarray]:
         """The pairs of a task whose sides are equal, but not what they met by before."""
-        order = np.lexsort((side, x[:, 0]))
+        order = np.lexsort((x[:, 8], side, x[:, 0]))
         x, wide, side = x[order], wide[order], side[order]
         met = None if met is None else met[order]
-        new = np.flatnonzero(np.concatenate([[True], (x[1:, 0] != x[:-1, 0]) | (side[1:] != side[:-1])]))
-        stop = np.append(new[1:], len(x))
-        end = np.repeat(stop, np.diff(np.append(0, stop)))
-        n = end - np.arange(len(x)) - 1
+        new = np.concatenate([[True], (x[1:, 0] != x[:-1, 0]) | (side[1:] != side[:-1])])
+        ends = [np.repeat(stop, np.diff(np.append(0, stop))) for stop in (np.append(np.flatnonzero(v)[1:], len(x)) for v in (new, new | np.append(True, x[1:, 8] != x[:-1, 8])))]
+        n = ends[0] - ends[1]  # the windows of a class meet those of the classes behind it
         total = np.cumsum(n)
         at = 0
         while at < len(x):
             to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")), at + 1)
             m = n[at:to]
             i = np.repeat(np.arange(at, to), m)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+            j = ends[1][i] + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
             at = to
-            ok = (x[i, 8] != x[j, 8]) & (x[i, 3] == x[j, 3]) & ((x[i, 1] == 1) | (x[i, 2] != x[j, 2]))
+            ok = (x[i, 3] == x[j, 3]) & ((x[i, 1] == 1) | (x[i, 2] != x[j, 2]))
             if met is not None:
                 ok &= met[i] != met[j]
             i, j = i[ok], j[ok]
@@ -579,7 +709,21 @@ def alike(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> list[t
                 out.append((i, j, k, m, same))
         if out:
             return out
-    return densely_alike(x, y, least, similarity)
+    return densely_alike(x, y, least, similarity) or equally_alike(x, y, least)
+
+
+def equally_alike(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int, int, int, float]]:
+    """The first equal run of `least` tokens, as long as it goes on, of texts whose repeats hide it from a search by density."""
+    if min(len(x), len(y)) < least:
+        return []
+    _, i, k = np.intersect1d(_run_hashes(x, least), _run_hashes(y, least), return_indices=True)
+    if not len(i):
+        return []
+    i, k = int(i[np.argmin(i)]), int(k[np.argmin(i)])
+    n = min(len(x) - i, len(y) - k)
+    apart = np.flatnonzero(x[i : i + n] != y[k : k + n])
+    n = int(apart[0]) if len(apart) else n
+    return [(i, i + n - 1, k, k + n - 1, 1.0)] if n >= least else []
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -723,13 +867,15 @@ def _joined_roots(chunks: DataFrame, roots: DataFrame) -> DataFrame:
     return chunks.join(known, "chunk", "left").select(*CHUNK_NAMES, "known").mapInArrow(placed, CHUNK)
 
 
-def passage_classes(docs: DataFrame, passages: DataFrame, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_copies, n_links, n_words) of each row of docs.
+def passage_classes(docs: DataFrame, passages: DataFrame, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_texts) of each row of docs, and if counted n_links and n_words.
 
     class_id is the smallest doc_id reachable over shared passages or equal texts of least_words words or more (its own
     where it shares none; null ids take part and are the smallest only of a class that has no other). n_copies counts
-    the rows of the same text, itself included; n_links the other texts that it was compared with and shares a passage
-    with; n_words how many of its words lie in a repeated passage (all, if the text occurs again and is long enough).
+    the rows of the same text, itself included; n_texts the different texts of the class. n_links and n_words count what
+    stands in passages alone: the other texts that a text is linked with there, and how many of its words lie in its
+    passages (all, if the text occurs again and is long enough). Of repeated_passages these are the links that make the
+    classes, not all pairs of a class.
     """
     rows = texts_of(docs, id_col, text_col)
     size = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
@@ -737,13 +883,16 @@ def passage_classes(docs: DataFrame, passages: DataFrame, least_words: int = 50,
     both = passages.select(F.col("a").alias("doc"), F.col("b").alias("other"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi"))
     both = both.unionAll(passages.select(F.col("b").alias("doc"), F.col("a").alias("other"), F.col("b_from").alias("lo"), F.col("b_to").alias("hi")))
     roots = components(passages.select("a", "b"))
+    found = points.join(roots, points["doc"] == roots["node"], "left").drop("node")
+    found = found.withColumn("root", F.coalesce("root", F.when((F.col("n_copies") > 1) & (F.col("size") >= least_words), F.col("doc"))))
+    named = found.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
+    found = found.join(named, "root", "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(1).cast("long")))
+    own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    if not counted:
+        return rows.select("doc_id", "doc").join(found.select("doc", "root", "class_id", "n_copies", "n_texts"), "doc").select("doc_id", own, "n_copies", "n_texts")
     links = both.select("doc", "other").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     words = both.distinct().select("doc", F.explode(F.sequence("lo", "hi")).alias("word")).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_words"))
-    found = points.join(roots, points["doc"] == roots["node"], "left").drop("node").join(links, "doc", "left").join(words, "doc", "left")
-    found = found.withColumn("root", F.coalesce("root", F.when((F.col("n_copies") > 1) & (F.col("size") >= least_words), F.col("doc"))))
-    named = found.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("class_id"))
-    found = found.join(named, "root", "left")
+    found = found.join(links, "doc", "left").join(words, "doc", "left")
     covered = F.when((F.col("n_copies") > 1) & (F.col("size") >= least_words), F.col("size")).otherwise(F.coalesce("n_words", F.lit(0).cast("long")))
-    found = found.select("doc", "root", "class_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), covered.alias("n_words"))
-    own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return rows.select("doc_id", "doc").join(found, "doc").select("doc_id", own.alias("class_id"), "n_copies", "n_links", "n_words")
+    found = found.select("doc", "root", "class_id", "n_copies", "n_texts", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), covered.alias("n_words"))
+    return rows.select("doc_id", "doc").join(found, "doc").select("doc_id", own, "n_copies", "n_texts", "n_links", "n_words")

@@ -513,3 +513,41 @@ def test_windows_around_a_shared_line_make_no_pairs():
     keep = substring._may_meet(task, wide, 46, 37)
     assert set(np.flatnonzero(keep)) == {5, 900, *range(2995, 3000)}
     assert substring._may_meet(task[:0], wide[:0], 46, 37).shape == (0,)
+
+
+def test_a_text_that_repeats_itself_is_one_window_of_a_key(spark):
+    r = random.Random(14)
+    phrase = [[f"p{k}w{i}" for i in range(k + 1)] for k in range(3)]
+    spans = [(k % 3, 40 if k < 6 else 70 + k) for k in range(30)]  # the first six are too short to be alike
+    rows = []
+    for i, (k, n) in enumerate(spans):
+        around = [[f"{side}{i}x{r.randrange(10**6)}" for _ in range(60)] for side in "ab"]
+        rows.append((i, " ".join([*around[0], *(phrase[k] * n)[:n], *around[1]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks = substring.shared(substring.windows(substring.texts_of(docs).select("doc", "text"), 4, 46, 8), 8, 4096)
+    opened = [tuple(x) for x in substring.open_windows(chunks, None, 46).select("key", "doc").collect()]
+    assert opened and len(opened) == len(set(opened))
+    got = {x["doc_id"]: x["class_id"] for x in classes_of(docs)}
+    assert got == {i: i if n == 40 else 6 + k for i, (k, n) in enumerate(spans)}
+
+
+def test_repeated_windows_meet_across_classes_only():
+    g = np.random.default_rng(7)
+    lengths = [200, 150, 90, 60, 120]
+    tokens = [np.concatenate([g.integers(100, 2**32, 53), np.full(n, 7), g.integers(100, 2**32, 53)]).astype(np.uint32) for n in lengths]
+    tokens[3][53:113:2] = g.integers(100, 2**32, 30)  # no run of it is like the others
+    x = np.array([[1, 1, 0, 5, doc, 0, 53, 52 + n, n + 105, root] for doc, (n, root) in enumerate(zip(lengths, [1, 1, 3, 4, 5], strict=True))], np.int64)
+    x[3, 6:8] = 54, 112
+    cuts = np.empty(5, object)
+    cuts[:] = [t[max(c - 53, 0) : last + 54].tobytes() for t, c, last in zip(tokens, x[:, 6], x[:, 7], strict=True)]
+    found = substring._of_repeats(x, cuts, 46, 8, 0.8)
+    assert len(found) == 2 and {2, 4} <= set(found[:, :2].ravel().tolist()) and 3 not in found[:, :2]
+    for a, b, a_from, a_to, b_from, b_to in found.tolist():
+        assert substring.alike(tokens[a][a_from : a_to + 1], tokens[b][b_from : b_to + 1], 46, 0.8)
+    assert len(substring._of_repeats(x[:2], cuts[:2], 46, 8, 0.8)) == 0
+
+
+def test_equal_run_between_repeats_is_found():
+    p, q = np.full(50, 3, np.uint64), np.full(60, 4, np.uint64)
+    rest = np.arange(10, 14, dtype=np.uint64)
+    assert any(j - i >= 45 and same == 1.0 for i, j, _, _, same in substring.alike(np.concatenate([p, rest, q]), np.concatenate([q, rest + 50, p]), 46, 0.8))
