@@ -55,7 +55,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = substring.repeated_passages(docs, least_words=50, similarity=0.8)
-    return substring.passage_classes(docs, staged(found, "repeated-passages"), least_words=50)
+    return substring.passage_classes(docs, staged(found, "repeated-passages"), least_words=50, counted=False)
 
 
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

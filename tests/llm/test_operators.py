@@ -551,3 +551,14 @@ def test_equal_run_between_repeats_is_found():
     p, q = np.full(50, 3, np.uint64), np.full(60, 4, np.uint64)
     rest = np.arange(10, 14, dtype=np.uint64)
     assert any(j - i >= 45 and same == 1.0 for i, j, _, _, same in substring.alike(np.concatenate([p, rest, q]), np.concatenate([q, rest + 50, p]), 46, 0.8))
+
+
+def test_substring_query_counts_whole_classes(spark, tmp_path):
+    from signalfold.llm import queries
+
+    a, b, c = ([f"{s}{i}" for i in range(60)] for s in "abc")
+    rows = [(3, " ".join(a + b)), (4, " ".join(b + c)), (5, " ".join(c + a)), (6, " ".join(c + a)), (7, "few words"), (8, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_substring_dedup(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "class_id", "n_copies", "n_texts"]  # no count of compared pairs alone
+    assert sorted(map(tuple, got.collect())) == [(3, 3, 1, 3), (4, 3, 1, 3), (5, 3, 2, 3), (6, 3, 2, 3), (7, 7, 1, 1), (8, 8, 1, 1)]
