@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalfold.operators.components import discard, new_path, shared_dir, staged  # noqa: F401
@@ -26,6 +29,18 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside pass batches of `rows` rows at most to Python, so that rows of whole texts take little memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, max_rows: int = 200_000) -> DataFrame:
     """Broadcast right only if a count proves that it has max_rows rows at most; a shuffled join otherwise."""
     return left.join(F.broadcast(right) if small_enough(right, max_rows) else right, on, how)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -562,3 +563,19 @@ def test_substring_query_counts_whole_classes(spark, tmp_path):
     got = queries.op2_substring_dedup(spark, str(tmp_path))
     assert got.columns == ["doc_id", "class_id", "n_copies", "n_texts"]  # no count of compared pairs alone
     assert sorted(map(tuple, got.collect())) == [(3, 3, 1, 3), (4, 3, 1, 3), (5, 3, 2, 3), (6, 3, 2, 3), (7, 7, 1, 1), (8, 8, 1, 1)]
+
+
+def test_texts_to_compare_reach_python_in_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before, write = spark.conf.get(name), nearcopies.staged
+    monkeypatch.setattr(nearcopies, "staged", lambda df, label: seen.setdefault(label, int(spark.conf.get(name))) and write(df, label))
+    words = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "else")], "doc_id long, text string")
+    assert {tuple(r) for r in nearcopies.near_copies(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert seen["sketches"] <= 256 and seen["links"] <= 64 and spark.conf.get(name) == before
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+
+    with common.small_batches(spark, 64):
+        assert max(r["n"] for r in spark.range(1000).mapInArrow(sizes, "n long").collect()) <= 64
