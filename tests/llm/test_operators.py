@@ -579,3 +579,33 @@ def test_texts_to_compare_reach_python_in_small_batches(spark, monkeypatch):
 
     with common.small_batches(spark, 64):
         assert max(r["n"] for r in spark.range(1000).mapInArrow(sizes, "n long").collect()) <= 64
+
+
+def test_near_copies_of_a_large_family_make_no_table_of_pairs(spark, monkeypatch):
+    r, made, write = random.Random(15), {}, nearcopies.staged
+    base = [f"v{i}" for i in range(200)]
+    texts = [" ".join(f"new{r.randrange(10**7)}" if i in at else w for i, w in enumerate(base)) for at in (set(r.sample(range(200), r.choice([1, 2, 3, 4, 8, 8, 8, 8]))) for _ in range(200))]
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] = max(out.count(), made.get(label, 0))
+        return out
+
+    monkeypatch.setattr(nearcopies, "staged", counted)
+    got = dict(nearcopies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=32).collect())
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = roots_of(range(200), [(a, b) for a, b in itertools.combinations(range(200), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert got == want and len(set(want.values())) > 50
+    assert made and max(n for label, n in made.items() if label.endswith(("pairs", "links"))) <= 10 * len(texts)
+
+
+def test_texts_of_a_band_meet_like_brute_force():
+    g = np.random.default_rng(16)
+    sets = [np.unique(np.concatenate([np.arange(100)[g.random(100) < 0.93], g.integers(1000, 2**60, 5)])).astype(np.uint64) for _ in range(80)]
+    root, own = np.array([i % 70 for i in range(80)]), np.arange(80) % 2
+    for same in (True, False):
+        want = [(i, j) for i, j in itertools.combinations(range(80), 2) if (same or own[i] != own[j]) and substring.jaccard(sets[i], sets[j]) >= 0.8]
+        got = nearcopies.joining_links(own, same, root, sets, 0.8)
+        chains = [(i, i + 70) for i in range(10)]
+        assert {tuple(sorted(p)) for p in got} <= set(want) and len(got) < 80
+        assert roots_of(range(80), want + chains) == roots_of(range(80), got + chains)
