@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, from_planes, join_checked, planes, small_enough, staged
-from .links import components
+from .links import components, thinned
 
 SHINGLE = 5
 
@@ -830,7 +830,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
     ranges = max(64, size // 6 * bands // 10 >> 20)  # about a million windows each
     chunks = staged(shared(windows(texts.select("doc", "text"), bands, least, ranges), ranges, block), "shared-windows")
     first = staged(compared(texts, first_rows, first_pairs(chunks, bands, least, slack), least, similarity), "first-passages")
-    roots = staged(components(first.select("a", "b")), "passage-classes")
+    roots = staged(components(thinned(first.select("a", "b"))), "passage-classes")
     sent = None
     if small_enough(roots, known_classes):
         table = roots.toArrow()
@@ -882,7 +882,7 @@ def passage_classes(docs: DataFrame, passages: DataFrame, least_words: int = 50,
     points = staged(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("least"), F.max(size).cast("long").alias("size")), "texts")
     both = passages.select(F.col("a").alias("doc"), F.col("b").alias("other"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi"))
     both = both.unionAll(passages.select(F.col("b").alias("doc"), F.col("a").alias("other"), F.col("b_from").alias("lo"), F.col("b_to").alias("hi")))
-    roots = components(passages.select("a", "b"))
+    roots = components(thinned(passages.select("a", "b")))
     found = points.join(roots, points["doc"] == roots["node"], "left").drop("node")
     found = found.withColumn("root", F.coalesce("root", F.when((F.col("n_copies") > 1) & (F.col("size") >= least_words), F.col("doc"))))
     named = found.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))

@@ -609,3 +609,14 @@ def test_texts_of_a_band_meet_like_brute_force():
         chains = [(i, i + 70) for i in range(10)]
         assert {tuple(sorted(p)) for p in got} <= set(want) and len(got) < 80
         assert roots_of(range(80), want + chains) == roots_of(range(80), got + chains)
+
+
+def test_needless_links_of_a_family_go_before_its_components(spark):
+    r = random.Random(17)
+    pairs = [tuple(r.sample(range(100 * f, 100 * f + 100), 2)) for f in range(3) for _ in range(4000)] + [(7, 7), (400, 401)]
+    table = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    kept = [tuple(x) for x in links.thinned(table).collect()]
+    assert set(kept) <= set(pairs) and len(kept) <= 4 * 302
+    nodes = {n for p in pairs for n in p}
+    assert roots_of(nodes, kept) == roots_of(nodes, [(100 * f, n) for f in range(3) for n in range(100 * f, 100 * f + 100)] + [(400, 401)])
+    assert links.thinned(table.limit(0)).count() == 0
