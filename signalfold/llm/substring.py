@@ -431,14 +431,79 @@ def _run_hashes(tokens: np.ndarray, least: int) -> np.ndarray:
         power, have = power * power % 2**64, 2 * have
 
 
-def _of_repeats(x: np.ndarray, cuts: np.ndarray, least: int, slack: int, similarity: float) -> np.ndarray:
+class _Linked:
+    """Classes, as the links that a task has given out join them."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, r: int) -> int:
+        above = self.above
+        while (up := above.get(r, r)) != r:
+            above[r] = above.get(up, up)
+            r = up
+        return r
+
+    def tops(self, roots: np.ndarray) -> np.ndarray:
+        if not self.above:
+            return roots
+        known, at = np.unique(roots, return_inverse=True)
+        return np.array([self.top(r) for r in known.tolist()], np.int64)[at]
+
+    def join(self, r: int, s: int) -> bool:
+        """Whether r and s were apart; they are one from now on."""
+        r, s = self.top(r), self.top(s)
+        if r != s:
+            self.above[max(r, s)] = min(r, s)
+        return r != s
+
+
+def _common_spans(x: np.ndarray, y: np.ndarray, reach: int, slack: int) -> np.ndarray:
+    """(x from, x to, y from, y to) of what is compared of windows x and y, row by row: what both hold around the key,
+    and their stretches."""
+    shift = y[:, CENTRE] - x[:, CENTRE]
+    lo = np.minimum(np.maximum(x[:, LEFT], y[:, LEFT] - shift) - slack, x[:, CENTRE] - reach)
+    hi = np.maximum(np.minimum(x[:, RIGHT], y[:, RIGHT] - shift) + slack, x[:, CENTRE] + reach)
+    return np.column_stack([lo, hi, lo + shift, hi + shift])
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """Which rows of x and y, tokens as numbers from 1 with 0 for none, alike() may link. It cannot link rows without repeats
+    whose common tokens stand in one order, if no run of those has the similarity by alike's g: what it takes beyond the
+    first and last of them counts as misses, so they span similarity * least tokens on both sides."""
+    k, width = x.shape
+    gap = math.ceil(similarity * least - 1e-9) - 1
+    row = np.arange(k, dtype=np.int64)[:, None] << 32
+    order = np.argsort(y, axis=1, kind="stable")
+    one, two = np.sort(x, axis=1), np.take_along_axis(y, order, 1)
+    unsure = ((one[:, 1:] == one[:, :-1]) & (one[:, 1:] != 0) | (two[:, 1:] == two[:, :-1]) & (two[:, 1:] != 0)).any(1)
+    wanted, there = (x + row).ravel(), (two + row).ravel()
+    at = np.minimum(np.searchsorted(there, wanted), len(there) - 1)
+    hit = (there[at] == wanted).reshape(k, width) & (x != 0)
+    q = order.ravel()[at].reshape(k, width)
+    unsure |= (hit[:, 1:] & (q[:, 1:] < np.maximum.accumulate(np.where(hit, q, -1), axis=1)[:, :-1])).any(1)
+    upto = np.cumsum(hit, axis=1)
+    g = (1 + similarity) * upto - similarity * (np.arange(width) + q)
+    r, c = np.nonzero(hit)
+    n, v, d = upto[r, c], g[r, c], q[r, c]
+    lowest, met = np.full((k, width + 1), np.inf), np.zeros((k, width), np.int64)
+    lowest[r, n], met[r, d] = v, 1
+    lowest, met = np.minimum.accumulate(lowest, axis=1), np.cumsum(met, axis=1)
+    before = np.minimum(np.where(c >= gap, upto[r, c - gap], 0), np.where(d >= gap, met[r, d - gap], 0))
+    good = v - lowest[r, before] >= similarity - 1 - 1e-6
+    unsure[r[good]] = True
+    return unsure
+
+
+def _of_repeats(x: np.ndarray, cuts: np.ndarray, least: int, slack: int, similarity: float, whole: list[np.ndarray] | None = None) -> np.ndarray:
     """PAIR of the windows of one task of which one at least is a text's repetition of itself; columns: task, same, own,
     then OPEN.
 
     Windows with an equal run of `least` tokens meet by its hash, which makes classes of the task. Windows of different
     ones are compared exactly if each has a run whose distinct tokens lack few enough in the other: every part of alike
     runs lacks (1 - similarity) / similarity of what both share at most. Once two classes are linked, no more of their
-    windows are compared.
+    windows are compared. Windows that are longer than their stretch are compared as a whole here, if their tokens are
+    given, and else given out to be compared.
     """
     rows = []
     for cut in cuts:
@@ -523,19 +588,23 @@ def _of_repeats(x: np.ndarray, cuts: np.ndarray, least: int, slack: int, similar
                 r, s = top(root[i]), top(root[j])
                 if r == s:
                     continue
-                linked = bool(alike(rows[i][0], rows[j][0], least, similarity))
+                linked, longer = bool(alike(rows[i][0], rows[j][0], least, similarity)), beyond[[i, j]].all(axis=0).any()
+                if whole is not None:
+                    linked = (linked or longer) and bool(alike(whole[i], whole[j], least, similarity))
                 if linked:
                     above[max(r, s)] = min(r, s)
-                if linked or beyond[[i, j]].all(axis=0).any():
+                if linked or (longer and whole is None):
                     spans = [(min(x[k, 5] - slack, begin[k]), max(x[k, 8] + slack, begin[k] + sizes[k] - 1)) for k in (i, j)]
                     out.append(pair(i, j, tuple(int(v) for span in spans for v in span)))
     return np.array(out, np.int64).reshape(-1, 6)
 
 
 def later_pairs(chunks: DataFrame, roots, texts: DataFrame, first_rows: DataFrame, least: int, slack: int, similarity: float, block: int, max_broadcast: int = 1_000_000) -> DataFrame:
-    """Pairs of windows of one key whose texts are of different classes, and whose stretches around the key share as many
-    tokens as alike runs must. Each window brings its stretch once; a key of more than `block` windows is dealt to many
-    tasks as pairs of parts. So no pair travels but those that are compared exactly."""
+    """Pairs of windows of one key whose texts are of different classes and alike around the key. Each window brings its
+    tokens once and is compared exactly in the task, with those whose stretches around the key share as many tokens as
+    alike runs must; a key of more than `block` windows (or very long ones) is dealt to many tasks as pairs of parts.
+    Classes that a task has linked are one from then on, so it gives out fewer pairs than it has windows, however many
+    of them are alike or nearly so."""
     opened = staged(open_windows(chunks, roots, least), "open-windows")
     parts = opened.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / F.lit(1000)).alias("parts"))
     spots = opened.join(parts, "doc").withColumn("part", F.pmod(F.xxhash64("key", "c"), F.col("parts")))
@@ -546,15 +615,16 @@ def later_pairs(chunks: DataFrame, roots, texts: DataFrame, first_rows: DataFram
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text, spots in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                tokens = np.pad((shingles(text.as_py()) >> np.uint64(32)).astype(np.uint32), reach)
+                tokens = np.pad(shingles(text.as_py()), reach)
                 found = spots.as_py()
-                cut = [tokens[x["c"] : x["last"] + 2 * reach + 1].tobytes() for x in found]
+                cut = [tokens[min(x["l"] - slack, x["c"] - reach) + reach : max(x["r"] + slack, x["last"] + reach) + reach + 1].tobytes() for x in found]
                 cols = [pa.array([x[k] for x in found], pa.int64()) for k in ("key", "l", "c", "last", "r", "root")]
                 yield pa.RecordBatch.from_arrays([cols[0], pa.array([doc] * len(found), pa.int64()), *cols[1:], pa.array(cut, pa.binary())], [*OPEN_NAMES, "tokens"])
 
     few = small_enough(opened, max_broadcast)
     met = texts.join(F.broadcast(spots) if few else spots, ["doc", "id"]).select("doc", "text", "spots").mapInArrow(stretches, OPEN + ", tokens binary")
-    large = opened.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    length = F.col("r") - F.col("l") + F.lit(2 * reach)
+    large = opened.groupBy("key").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum(length) / F.lit(512))).alias("n")).where(F.col("n") > block)
     k = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("int")
     dealt = join_checked(met, staged(large, "large-keys"), "key", "left").withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("doc"), k).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -564,51 +634,70 @@ def later_pairs(chunks: DataFrame, roots, texts: DataFrame, first_rows: DataFram
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
+        n, size, linked = 0, 0, _Linked()
         for b in batches:
             if not b.num_rows:
                 continue
             x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(10)])
             held.append((x, np.array(b.column(10).to_pylist(), object)))
-            n += len(x)
-            if n >= 1 << 14:
+            n, size = n + len(x), size + b.column(10).nbytes
+            if n >= 1 << 14 or size >= 1 << 26:
                 x, cuts = (np.concatenate(v) for v in zip(*held, strict=True))
                 last = int(np.flatnonzero(x[:, 0] == x[-1, 0])[0])
                 if last:
-                    yield from of_tasks(x[:last], cuts[:last])
-                held, n = [(x[last:], cuts[last:])], 0
+                    yield from of_tasks(x[:last], cuts[:last], linked)
+                held, n, size = [(x[last:], cuts[last:])], 0, 0
+                if len(linked.above) > 1 << 20:
+                    linked = _Linked()
         if held:
-            yield from of_tasks(*(np.concatenate(v) for v in zip(*held, strict=True)))
+            yield from of_tasks(*(np.concatenate(v) for v in zip(*held, strict=True)), linked)
 
-    def of_tasks(x: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
+    def of_tasks(x: np.ndarray, cuts: np.ndarray, linked: _Linked) -> Iterator[np.ndarray]:
         """Of each task the pairs of one part, or of two parts those across; columns: task, same, own, then OPEN."""
         order = np.lexsort((x[:, 7], x[:, 6], x[:, 4], x[:, 3], x[:, 0]))
         x, cuts = x[order], cuts[order]
         same = [0, 3, 4, 6, 7]
         new = np.concatenate([[True], (x[1:, same] != x[:-1, same]).any(axis=1)])  # equal rows of one text
         x, cuts = x[new], cuts[new]
+        starts = np.minimum(x[:, 5] - slack, x[:, 6] - reach)
+        tokens = [np.frombuffer(cut, np.uint64) for cut in cuts]
+        high = [(t[c - reach - at : last + reach + 1 - at] >> np.uint64(32)).astype(np.uint32) for t, at, c, last in zip(tokens, starts.tolist(), x[:, 6].tolist(), x[:, 7].tolist(), strict=True)]
         for i, j in zip(*_bounds(x[:, 0]), strict=True):
             if (x[i:j, 6] < x[i:j, 7]).any():
-                yield _of_repeats(x[i:j], cuts[i:j], least, slack, similarity)
-        one = x[:, 6] == x[:, 7]
-        if one.any():
-            x = x[one]
-            wide = np.frombuffer(b"".join(cuts[one]), np.uint32).reshape(len(x), -1)
-            yield from of_singles(x[:, [0, 1, 2, 3, 4, 5, 6, 8, 9]], wide)
-
-    def of_singles(x: np.ndarray, wide: np.ndarray) -> Iterator[np.ndarray]:
+                y = x[i:j].copy()
+                y[:, 9] = linked.tops(y[:, 9])
+                pairs = _of_repeats(y, [t.tobytes() for t in high[i:j]], least, slack, similarity, [t[t != 0] for t in tokens[i:j]])
+                root = dict(zip(y[:, 4].tolist(), y[:, 9].tolist(), strict=True))
+                new = [linked.join(root[a], root[b]) for a, b in pairs[:, :2].tolist()]
+                if any(new):
+                    yield pairs[new]
+        one = np.flatnonzero(x[:, 6] == x[:, 7])
+        if len(one):
+            x = np.column_stack([x[one][:, [0, 1, 2, 3, 4, 5, 6, 8, 9]], one, starts[one]])
+            yield from of_singles(x, np.stack([high[i] for i in one.tolist()]), tokens, linked)
+
+    def of_singles(x: np.ndarray, wide: np.ndarray, tokens: list[np.ndarray], linked: _Linked) -> Iterator[np.ndarray]:
+        """Columns: task, same, own, a window's, row in tokens, where in its text they start."""
         keep = _may_meet(x[:, 0], wide, least, fewest)
         x, wide = x[keep], wide[keep]
+        if not len(x):
+            return
+        tokens = [tokens[i] for i in x[:, 9].tolist()]
+        x[:, 9] = np.cumsum([0, *map(len, tokens)])[:-1]
+        tokens = np.append(np.concatenate(tokens), np.uint64(0))
+        numbers = np.unique(tokens, return_inverse=True)[1]  # 0, which pads the ends of texts, is 0
         # alike runs have a row of equal tokens around the key, as one edit leaves half of what they share; so the key's
         # tokens on one side of it are equal, and only such windows are compared, once
         half = (needed - 1) // 4
         power = np.cumprod(np.full(half + 1, 0x9E3779B97F4A7C15, np.uint64))
         left, right = ((side.astype(np.uint64) * power).sum(axis=1, dtype=np.uint64) for side in (wide[:, reach - half : reach + 1], wide[:, reach : reach + half + 1]))
-        yield from of_side(x, wide, left, None)
-        yield from of_side(x, wide, right, left)
+        yield from of_side(x, wide, left, None, tokens, numbers, linked)
+        yield from of_side(x, wide, right, left, tokens, numbers, linked)
 
-    def of_side(x: np.ndarray, wide: np.ndarray, side: np.ndarray, met: np.ndarray | None) -> Iterator[np.ndarray]:
-        """The pairs of a task whose sides are equal, but not what they met by before."""
+    def of_side(x: np.ndarray, wide: np.ndarray, side: np.ndarray, met: np.ndarray | None, tokens: np.ndarray, numbers: np.ndarray, linked: _Linked) -> Iterator[np.ndarray]:
+        """Links of windows of a task whose sides are equal, but not of those that met by `met`."""
+        x = x.copy()
+        x[:, 8] = linked.tops(x[:, 8])
         order = np.lexsort((x[:, 8], side, x[:, 0]))
         x, wide, side = x[order], wide[order], side[order]
         met = None if met is None else met[order]
@@ -616,14 +705,14 @@ def later_pairs(chunks: DataFrame, roots, texts: DataFrame, first_rows: DataFram
         ends = [np.repeat(stop, np.diff(np.append(0, stop))) for stop in (np.append(np.flatnonzero(v)[1:], len(x)) for v in (new, new | np.append(True, x[1:, 8] != x[:-1, 8])))]
         n = ends[0] - ends[1]  # the windows of a class meet those of the classes behind it
         total = np.cumsum(n)
-        at = 0
+        at, root, step = 0, x[:, 8], PAIRS // 32
         while at < len(x):
-            to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")), at + 1)
+            to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + step, "right")), at + 1)
             m = n[at:to]
             i = np.repeat(np.arange(at, to), m)
             j = ends[1][i] + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-            at = to
-            ok = (x[i, 3] == x[j, 3]) & ((x[i, 1] == 1) | (x[i, 2] != x[j, 2]))
+            at, step = to, min(2 * step, PAIRS)  # small steps first: what they link is compared no more
+            ok = (root[i] != root[j]) & (x[i, 3] == x[j, 3]) & ((x[i, 1] == 1) | (x[i, 2] != x[j, 2]))
             if met is not None:
                 ok &= met[i] != met[j]
             i, j = i[ok], j[ok]
@@ -631,12 +720,43 @@ def later_pairs(chunks: DataFrame, roots, texts: DataFrame, first_rows: DataFram
             clean = np.cumprod(same[:, reach::-1], axis=1).sum(1) + np.cumprod(same[:, reach:], axis=1).sum(1) - 1
             near = clean >= (needed - 1) // 2
             i, j, same = i[near], j[near], same[near]
-            keep = _holds_run(same, least, needed)
-            rest = np.flatnonzero(~keep)
-            rest = rest[_holds_run(_shifted_hits(wide[i[rest]], wide[j[rest]], slack), least, fewest)]
-            for k in rest.tolist():
-                keep[k] = _may_be_alike(wide[i[k]], wide[j[k]], least, needed, fewest)
-            yield _meet(x[i[keep], 3:9], x[j[keep], 3:9], least, slack)
+            # both windows hold a run of about `least` tokens
+            shift = x[j, 6] - x[i, 6]
+            held = (x[i, 4] != x[j, 4]) & (np.minimum(x[i, 7], x[j, 7] - shift) - np.maximum(x[i, 5], x[j, 5] - shift) + 1 >= least - slack)
+            i, j, same = i[held], j[held], same[held]
+            hope = _holds_run(same, least, needed)
+            rest = np.flatnonzero(~hope)
+            shifted = np.zeros(len(hope), bool)
+            shifted[rest[_holds_run(_shifted_hits(wide[i[rest]], wide[j[rest]], slack), least, fewest)]] = True
+            hope |= shifted
+            i, j, shifted = i[hope], j[hope], shifted[hope]
+            spans, out = _common_spans(x[i, 3:9], x[j, 3:9], reach, slack), []
+            one, two = (x[w, 9] + lo - x[w, 10] for w, lo in ((i, spans[:, 0]), (j, spans[:, 2])))
+            for k in may_link(one, two, spans[:, 1] - spans[:, 0] + 1, numbers).tolist():
+                p, q, size = int(i[k]), int(j[k]), int(spans[k, 1] - spans[k, 0]) + 1
+                r, t = int(x[p, 8]), int(x[q, 8])
+                if linked.top(r) == linked.top(t) or (shifted[k] and not _may_be_alike(wide[p], wide[q], least, needed, fewest)):
+                    continue
+                if alike(*(v[v != 0] for v in (tokens[w : w + size] for w in (int(one[k]), int(two[k])))), least, similarity):
+                    linked.join(r, t)
+                    a, b = int(x[p, 4]), int(x[q, 4])
+                    out.append((a, b, *spans[k]) if a < b else (b, a, *spans[k, 2:], *spans[k, :2]))
+            if out:
+                root = linked.tops(x[:, 8])
+                yield np.array(out, np.int64)
+
+    def may_link(one: np.ndarray, two: np.ndarray, size: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Which pairs of as many tokens, from one and from two on, alike() may link."""
+        out, order, at = [], np.argsort(size, kind="stable")[::-1], 0
+        while at < len(order):
+            width = int(size[order[at]])
+            k = order[at : at + max((1 << 19) // width, 1)]
+            step = np.arange(width)
+            inside = step < size[k][:, None]
+            x, y = (numbers[np.where(inside, v[k][:, None] + step, len(numbers) - 1)] for v in (one, two))
+            out.append(k[_may_link(x, y, least, similarity)])
+            at += len(k)
+        return np.sort(np.concatenate(out)) if out else order
 
     dealt = dealt.repartition("task").sortWithinPartitions("task")
     return dealt.mapInArrow(lambda batches: _collected(found(batches)), PAIR)
@@ -780,9 +900,9 @@ def compared(texts: DataFrame, first_rows: DataFrame, pairs: DataFrame, least: i
                 yield pa.RecordBatch.from_arrays([pa.array([s["pair"] for s in spots]), pa.array([s["side"] for s in spots], pa.int32()), pa.array(lists, pa.binary())], ["pair", "side", "tokens"])
 
     spots = staged(spots.join(first_rows, "doc"), "spots")
-    cuts = texts.join(F.broadcast(spots) if small_enough(sides, max_broadcast) else spots, ["doc", "id"]).select("text", "spots").mapInArrow(cut_out, "pair long, side int, tokens binary").groupBy("pair", "side").agg(F.first("tokens").alias("tokens"))
-    one, two = cuts.where("side = 0").select("pair", F.col("tokens").alias("one")), cuts.where("side = 1").select("pair", F.col("tokens").alias("two"))
-    both = some.join(one, "pair").join(two, "pair")
+    cuts = texts.join(F.broadcast(spots) if small_enough(sides, max_broadcast) else spots, ["doc", "id"]).select("text", "spots").mapInArrow(cut_out, "pair long, side int, tokens binary")
+    side = lambda k: F.first(F.when(F.col("side") == k, F.col("tokens")), ignorenulls=True)
+    both = some.join(cuts.groupBy("pair").agg(side(0).alias("one"), side(1).alias("two")), "pair")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

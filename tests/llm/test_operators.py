@@ -554,6 +554,45 @@ def test_equal_run_between_repeats_is_found():
     assert any(j - i >= 45 and same == 1.0 for i, j, _, _, same in substring.alike(np.concatenate([p, rest, q]), np.concatenate([q, rest + 50, p]), 46, 0.8))
 
 
+def test_a_family_of_near_misses_makes_no_table_of_pairs(spark, monkeypatch):
+    r, made, write = random.Random(18), [], substring.staged
+    base = [f"v{i}" for i in range(80)]
+    texts = []
+    for _ in range(120):
+        at = set(r.sample(range(5, 75), r.choice([1, 3, 4, 5, 5, 5, 5, 5])))
+        texts.append(" ".join(f"new{r.randrange(10**7)}" if i in at else w for i, w in enumerate(base)))
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "passages":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring, "staged", counted)
+    got = {x["doc_id"]: x["class_id"] for x in classes_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))}
+    tokens = [substring.shingles(t) for t in texts]
+    want = roots_of(range(120), [(a, b) for a, b in itertools.combinations(range(120), 2) if substring.alike(tokens[a], tokens[b], 46, 0.8)])
+    assert all(want[a] == want[b] for a, b in got.items()) and len(set(got.values())) <= len(set(want.values())) + 3
+    assert 10 < len(set(want.values())) < 110
+    assert len(made) == 2 and made[1] <= 120, made
+
+
+def test_pairs_that_may_link_hold_all_that_alike_links():
+    r, g, rows = random.Random(19), np.random.default_rng(19), []
+    for _ in range(1200):
+        n = r.randint(46, 110)
+        x = g.integers(1, r.choice([40, 10**6, 10**6]), n).tolist()
+        y = list(x)
+        for _ in range(r.randint(0, 8)):
+            at, m, kind = r.randrange(len(y)), r.randint(1, 6), r.randrange(4)
+            y[at : at + m * (kind != 1)] = y[at : at + m][::-1] if kind == 3 else g.integers(1, 10**6, m * (kind != 2)).tolist()
+        rows.append([np.pad(v[:n], (0, 120 - len(v[:n]))) for v in (x, y)])
+    x, y = (np.array(v, np.int64) for v in zip(*rows, strict=True))
+    may = substring._may_link(x, y, 46, 0.8)
+    alike = np.array([bool(substring.alike(*(v[v != 0].astype(np.uint64) for v in row), 46, 0.8)) for row in zip(x, y, strict=True)])
+    assert not (alike & ~may).any() and 30 < (~may).sum() and 100 < alike.sum()
+
+
 def test_substring_query_counts_whole_classes(spark, tmp_path):
     from signalfold.llm import queries
 
