@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import BLOCK_TAGS, TAG, is_blank, is_blocked_domain, is_personal_email, is_valid_email, normalize_domain, normalize_text
+from .dates import once_for as let
+from .text import BLANKS, BLOCK_TAGS, TAG, is_blank, is_blocked_domain, is_personal_email, is_valid_email, normalize_domain, normalize_text
 
 # fixed values: members of an object that stand for it, and hosts that only show other firms' pages
 NAME_KEYS = ("name", "display_name", "displayName", "label", "title", "text", "value")
@@ -45,16 +46,16 @@ CREDENTIALS = ("jr", "sr", "ii", "iii", "iv", "phd", "md", "mba", "cpa", "cfa",
 PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "da", "di", "du", "dos", "das", "le", "la", "ter", "ten", "zu", "st")
 
 
+#: The white space of Unicode, and the length of the longest word for an empty cell.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+LONGEST_BLANK = max(map(len, BLANKS))
+
+
 def no(c: Column) -> Column:
     """An empty string for null."""
     return F.coalesce(c, F.lit(""))
 
 
-def let(c: Column, f) -> Column:
-    """f(c) with c computed once."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def any_of(c: Column, names) -> Column:
     """Whether it is one of many names, as one pattern."""
     return c.rlike("^(?:" + "|".join(re.escape(n) for n in names) + ")$")
@@ -62,6 +63,8 @@ def any_of(c: Column, names) -> Column:
 
 def first_of(*cs: Column) -> Column:
     """The first that is not empty."""
+    if len(cs) == 1:
+        return no(cs[0])
     return no(F.get(F.filter(F.array(*cs), lambda x: x != ""), F.lit(0)))
 
 
@@ -73,7 +76,8 @@ def once(items: Column) -> Column:
 def as_text(c: Column, kind: T.DataType) -> Column:
     """Plain text of a value: lists joined, objects by their name; blank words and booleans are empty."""
     if isinstance(kind, T.StringType):
-        return no(F.get(F.filter(F.array(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), lambda x: ~is_blank(x)), F.lit(0)))
+        t = F.btrim(c, F.lit(SPACES))
+        return F.when((F.char_length(t) > LONGEST_BLANK) | ~is_blank(t), t).otherwise("")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         whole = (c == F.floor(c)) & (F.abs(c) < 1e18)
         return no(F.when(F.isnan(c), "").when(whole, c.cast("long").cast("string")).otherwise(c.cast("string")))
@@ -116,10 +120,15 @@ def unescape(c: Column) -> Column:
 
 def clean_text(c: Column, limit: int = 0) -> Column:
     """Text without tags and entities, white space collapsed, cut to limit characters with an ellipsis."""
-    t = let(c, lambda x: F.when(x.rlike(r"&lt;\s*/?\s*[a-zA-Z!]") & ~x.rlike(TAG), unescape(x)).otherwise(x))
-    for pattern, to in ((r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), (rf"(?i)</?(?:{BLOCK_TAGS})\b[^<>]*>", " "), (TAG, "")):
-        t = F.regexp_replace(t, pattern, to)
-    t = F.btrim(F.regexp_replace(F.translate(unescape(t), "\u00a0\u200b", " "), r"(?U)\s+", " "))
+
+    def bare(x: Column) -> Column:
+        t = F.when(x.rlike(r"&lt;\s*/?\s*[a-zA-Z!]") & ~x.rlike(TAG), unescape(x)).otherwise(x)
+        for pattern, to in ((r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), (rf"(?i)</?(?:{BLOCK_TAGS})\b[^<>]*>", " "), (TAG, "")):
+            t = F.regexp_replace(t, pattern, to)
+        return unescape(t)
+
+    t = let(c, lambda x: F.when(x.rlike("[<&]"), bare(x)).otherwise(x))  # most cells hold neither
+    t = F.btrim(F.regexp_replace(F.translate(t, "\u00a0\u200b", " "), r"(?U)\s+", " "))
     # a longer text keeps one character less for the ellipsis, and no blank before it
     return F.regexp_replace(t, rf"(?s)^(?=.{{{limit + 1}}})(.{{{limit - 2}}})(?: |(\S)).*$", "$1$2…") if limit else t
 
@@ -159,13 +168,23 @@ def is_platform_url(c: Column) -> Column:
 
 def clean_domain(c: Column) -> Column:
     """A company's own host, or empty."""
+    return website_parts(c)["domain"]
+
+
+def website_parts(c: Column) -> Column:
+    """struct(url, domain, foreign, linkedin, shows) of a cleaned address: the company's own host or empty; whether it is on
+    a host that is no company's own; on LinkedIn; a page on a platform that shows many firms. Each is computed once."""
     label = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 
-    def own(s: Column) -> Column:
-        good = s["host"].rlike(rf"^{label}(?:\.{label})+$") & ~F.coalesce(is_blocked_domain(s["host"]), F.lit(False)) & ~_shows_others(s["c"], s["host"])
-        return F.when(good, s["host"]).otherwise("")
+    def judged(s: Column) -> Column:
+        url, host = s["url"], s["host"]
+        return F.struct(url.alias("url"), host.alias("host"), F.coalesce(is_blocked_domain(host), F.lit(False)).alias("foreign"), _shows_others(url, host).alias("shows"))
+
+    def parts(s: Column) -> Column:
+        good = s["host"].rlike(rf"^{label}(?:\.{label})+$") & ~s["foreign"] & ~s["shows"]
+        return F.struct(s["url"].alias("url"), F.when(good, s["host"]).otherwise("").alias("domain"), s["foreign"].alias("foreign"), s["host"].contains("linkedin.com").alias("linkedin"), s["shows"].alias("shows"))
 
-    return let(F.struct(c.alias("c"), safe_host(c).alias("host")), own)
+    return let(c, lambda url: let(let(F.struct(url.alias("url"), safe_host(url).alias("host")), judged), parts))
 
 
 def clean_email(c: Column) -> Column:

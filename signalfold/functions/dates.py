@@ -22,9 +22,16 @@ def parse_when(c: Column, as_of: Column, order: str = "dmy") -> Column:
     """A day: ISO and written dates, seconds or milliseconds since 1970, "today", "3 days ago", "30+ d ago", "Posted 2w
     ago", and a/b/y as d/m/y or m/d/y by order, the other way if only that is a date; null for anything else."""
     text = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
-    said = F.regexp_replace(text, SAID, "")
-    text = F.when(said == "", text).otherwise(said)
-    t = F.lower(text)
+    said = once_for(text, lambda x: once_for(F.regexp_replace(x, SAID, ""), lambda y: F.when(y == "", x).otherwise(y)))
+    return once_for(F.lower(said), lambda t: _day_of(t, as_of, order))
+
+
+def once_for(c: Column, f) -> Column:
+    """f(c) with c computed once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _day_of(t: Column, as_of: Column, order: str) -> Column:
     near = F.when(t.isin("today", "just now", "just posted", "now", "new", "few seconds ago", "moments ago"), as_of).when(t == "yesterday", F.date_sub(as_of, 1))
     ago = r"^([0-9]{1,6}|an?|one) ?\+? ?(%s)\.? ?\+? ago$"
     for unit, days in UNITS:
@@ -40,7 +47,8 @@ def parse_when(c: Column, as_of: Column, order: str = "dmy") -> Column:
     slashed = [turned[order], turned["mdy" if order == "dmy" else "dmy"]]
     iso = as_day(F.nullif(F.regexp_extract(t, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")), "yyyy-MM-dd")
     written = F.initcap(F.regexp_replace(F.regexp_replace(t, "^[a-z]{3}, ", ""), r" [0-9]{2}:[0-9]{2}:[0-9]{2}.*$", ""))
-    return F.coalesce(near, epoch, iso, *slashed, *(as_day(written, f) for f in FORMATS))
+    # no text is of two of these kinds, and most are of the first
+    return F.coalesce(iso, *slashed, near, epoch, *(as_day(written, f) for f in FORMATS))
 
 
 def date_order(first: Column, second: Column) -> Column:

@@ -53,8 +53,18 @@ def merge_companies(rows: DataFrame) -> DataFrame:
     its own. Equal pairs of name and domain always join the first of them, so only distinct pairs are linked and folded;
     a task's memory is bounded by the names and domains of one chain.
     """
-    blank = lambda c: F.when(F.trim(c) != "", F.col(c))
-    rows = rows.select("seq", blank("name").alias("name"), blank("domain").alias("domain"))
+    rows = rows.select("seq", filled(F.col("name")).alias("name"), filled(F.col("domain")).alias("domain"))
+    return with_keys(rows, pair_keys(rows), "seq", "name", "domain").select("seq", "key")
+
+
+def filled(c: Column) -> Column:
+    """Null for a blank text."""
+    return F.when(F.trim(c) != "", c)
+
+
+def pair_keys(rows: DataFrame) -> DataFrame:
+    """(name, domain, key): of each pair that is not null in both the seq of the record that rows (seq, name, domain) of it
+    join, as merge_companies says."""
     known = rows.where("name IS NOT NULL OR domain IS NOT NULL")
     name, domain = F.when(F.col("name").isNotNull(), F.xxhash64(F.lit("name"), "name")), F.when(F.col("domain").isNotNull(), F.xxhash64(F.lit("domain"), "domain"))
     pairs = staged(known.groupBy("name", "domain").agg(F.min("seq").alias("seq")).select("*", name.alias("a"), domain.alias("b")), "companies")  # equal hashes only join clusters
@@ -84,9 +94,16 @@ def merge_companies(rows: DataFrame) -> DataFrame:
             yield {"first": seq, "key": at}
 
     kind = rows.schema["seq"].dataType.simpleString()
-    keys = staged(streamed(bound, "cluster", "seq", fold, f"first {kind}, key {kind}").join(pairs.select(F.col("seq").alias("first"), F.col("name").alias("_name"), F.col("domain").alias("_domain")), "first"), "company-keys")
-    same = F.col("name").eqNullSafe(F.col("_name")) & F.col("domain").eqNullSafe(F.col("_domain"))
-    return rows.join(keys, same, "left").select("seq", F.coalesce("key", "seq").cast(kind).alias("key"))
+    found = streamed(bound, "cluster", "seq", fold, f"first {kind}, key {kind}").join(pairs.select(F.col("seq").alias("first"), "name", "domain"), "first")
+    return staged(found.select("name", "domain", "key"), "company-keys")
+
+
+def with_keys(rows: DataFrame, keys: DataFrame, seq: str, name: str, domain: str) -> DataFrame:
+    """rows with `key` of their pair of columns, or their own seq if both are null."""
+    keys = keys.select(F.col("name").alias("_pair_name"), F.col("domain").alias("_pair_domain"), "key")
+    same = F.col(name).eqNullSafe(F.col("_pair_name")) & F.col(domain).eqNullSafe(F.col("_pair_domain"))
+    kind = rows.schema[seq].dataType
+    return rows.join(keys, same, "left").withColumn("key", F.coalesce("key", seq).cast(kind)).drop("_pair_name", "_pair_domain")
 
 
 #: Fields of a company of which the first that is not empty stays.
@@ -94,10 +111,11 @@ FILLED = ("name", "domain", "website", "linkedin_url", "location", "country", "i
 
 
 def company_keys(records: DataFrame, seq: str) -> DataFrame:
-    """records with `key`, the seq of the record that each joins."""
-    rows = staged(records, "records")
-    keys = merge_companies(rows.select(F.col(seq).alias("seq"), normalize_company_name(F.col("name")).alias("name"), normalize_domain(F.col("domain")).alias("domain")))
-    return rows.join(keys.withColumnRenamed("seq", seq), seq)
+    """records with `key`, the seq of the record that each joins. Not staged: a reader of few columns moves no others."""
+    own = {"_own_name": filled(normalize_company_name(F.col("name"))), "_own_domain": filled(normalize_domain(F.col("domain")))}
+    rows = staged(records.withColumns(own), "records")
+    keys = pair_keys(rows.select(F.col(seq).alias("seq"), F.col("_own_name").alias("name"), F.col("_own_domain").alias("domain")))
+    return with_keys(rows, keys, seq, *own).drop(*own)
 
 
 def merged_companies(records: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -108,7 +126,7 @@ def merged_companies(records: DataFrame, seq: str = "seq") -> tuple[DataFrame, D
     equal key (address, else profile, else name) the first. All are aggregates that combine before the shuffle, so a
     company with very many records is no single task; only its distinct keywords and data stand in one row.
     """
-    rows = staged(company_keys(records, seq), "keyed-records")
+    rows = company_keys(records, seq)
     order = F.col(seq)
     first = [F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.col(c) != "", order)).alias(c) for c in FILLED]
     firsts = rows.groupBy("key").agg(*first, F.min_by("employees", F.when(F.col("employees").isNotNull(), order)).alias("employees"))

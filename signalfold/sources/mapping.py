@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clean import as_text, clean_domain, clean_email, clean_text, clean_url, domain_matches_name, email_status, first_of, is_free_email, is_platform_url, let, name_parts, no, once, safe_host
+from ..functions.clean import as_text, clean_domain, clean_email, clean_text, clean_url, domain_matches_name, email_status, first_of, is_free_email, let, name_parts, no, once, website_parts
 from ..functions.dates import parse_when
-from ..functions.text import amount_currency, format_money, is_blank, is_blocked_domain, normalize_text, parse_amount, stage_words, to_int
+from ..functions.text import amount_currency, format_money, is_blank, normalize_text, parse_amount, stage_words, to_int
 from ..operators.components import spread
 from . import headers
 from .headers import PERSON, normal_mapping, paths
@@ -132,8 +132,7 @@ def template(pattern: str, record: Record, extra: Mapping[str, Column], need_val
 
 def ordered_once(items: Column, key) -> Column:
     """Items of a short list, of each key the first."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return let(items, lambda held: let(F.transform(held, key), lambda keys: F.filter(held, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def text_map(pairs: Sequence[tuple[str, Column]]) -> Column:
@@ -205,13 +204,23 @@ class Mapper:
     def extras(self, record: Record, prefix: str, fields: Mapping[str, list[str]] | None = None) -> list[tuple[str, Column]]:
         return [(f[len(prefix) :], record.text(p)) for f, p in (fields or self.fields).items() if f.startswith(prefix)]
 
-    def contact(self, val, data: list[tuple[str, Column]]) -> Column:
-        """A contact struct; null without a name, an address and a profile."""
-        f = lambda n, limit=0: clean_text(val(n), limit)
-        parts = F.array_join(once(F.array(*(f(f"person_{x}") for x in ("city", "state", "country")))), ", ")
+    def given(self, record: Record, fields: Mapping[str, Sequence[str]] | None = None) -> set[str]:
+        """Fields that a path of the record or a constant may fill. The others are empty in every row, which is known
+        before any is read: nothing is planned or computed for them."""
+        found = {f for f, names in (fields or self.fields).items() if any(record.find(n) is not None for n in names)}
+        return found if fields else found | set(self.constants)
+
+    def contact(self, val, data: list[tuple[str, Column]], given: set[str]) -> Column | None:
+        """A contact struct; null without a name, an address and a profile. None if none of these is given."""
+        if not given & {"first_name", "last_name", "full_name", "email", "person_linkedin_url"}:
+            return None
+        f = lambda n, limit=0: clean_text(val(n), limit) if n in given else F.lit("")
+        spots = [f(n) for n in ("person_city", "person_state", "person_country") if n in given]
+        place = first_of(f("person_location", 200), F.array_join(once(F.array(*spots)), ", ")) if spots else f("person_location", 200)
         known = F.struct(
-            f("first_name", 100).alias("first"), f("last_name", 100).alias("last"), f("full_name", 200).alias("full"), f("title", 300).alias("title"), clean_email(val("email")).alias("email"), clean_url(val("person_linkedin_url")).alias("page"), val("email_status").alias("status"),
-            val("phone").alias("phone"), f("seniority", 100).alias("seniority"), f("department", 200).alias("department"), first_of(f("person_location", 200), parts).alias("location"), text_map(data).alias("data"),
+            f("first_name", 100).alias("first"), f("last_name", 100).alias("last"), f("full_name", 200).alias("full"), f("title", 300).alias("title"), (clean_email(val("email")) if "email" in given else F.lit("")).alias("email"),
+            (clean_url(val("person_linkedin_url")) if "person_linkedin_url" in given else F.lit("")).alias("page"), val("email_status").alias("status"),
+            val("phone").alias("phone"), f("seniority", 100).alias("seniority"), f("department", 200).alias("department"), place.alias("location"), text_map(data).alias("data"),
         )
 
         def made(s: Column, name: Column) -> Column:
@@ -239,7 +248,8 @@ class Mapper:
 
         def made(x: Column) -> Column:
             person = Record({}, Value(x, items.kind.elementType))
-            return self.contact(lambda f: person.text(self.person_fields.get(f, ())), self.extras(person, "person_data.", self.person_fields))
+            found = self.contact(lambda f: person.text(self.person_fields.get(f, ())), self.extras(person, "person_data.", self.person_fields), self.given(person, self.person_fields))
+            return F.lit(None).cast(CONTACT_TYPE) if found is None else found
 
         return F.coalesce(F.filter(F.transform(items.column, made), lambda c: c.isNotNull()), none)
 
@@ -256,60 +266,75 @@ class Mapper:
         # each step is a select of its own, so that no value is computed twice: first the texts of the fields
         names = headers.COMPANY + PERSON + headers.SIGNAL + headers.FUNDING
         texts = {n: f"_text{i}" for i, n in enumerate([*names, *(f for f in self.fields if f not in names)])}
-        val = lambda f: F.col(texts[f])
-        own_extras = lambda prefix: [(f[len(prefix) :], val(f)) for f in self.fields if f.startswith(prefix)]
-        raw = {f"_{f}": clean_text(val(f), n) for f, n in (("name", 200), ("city", 100), ("state", 100), ("country", 100), ("location", 300), ("industry", 200))}
-        raw |= {"_page": clean_url(val("linkedin_url")), "_site": clean_url(val("website")), "_host": clean_domain(val("domain")), "_about": clean_text(val("description"), 1500), "_employees": to_int(val("employees")).cast("int")}
-        raw |= {"_keywords": F.slice(F.filter(once(F.col("_parts")), lambda x: ~is_blank(x)), 1, 100), "_data": text_map(own_extras("data."))}
-        main = self.contact(val, own_extras("person_data."))
-        raw |= {"_people": F.concat(F.filter(F.array(main), lambda c: c.isNotNull()), F.col("_team"))}
+        given = self.given(record)
+        has = lambda *fs: any(f in given for f in fs)
+        val = lambda f: F.col(texts[f]) if f in given else F.lit("")
+        made = lambda f, clean, kind="string": clean(val(f)) if f in given else F.lit("" if kind == "string" else None).cast(kind)
+        text = lambda f, limit=0: made(f, lambda c: clean_text(c, limit))
+        own_extras = lambda prefix: [(f[len(prefix) :], val(f)) for f in self.fields if f.startswith(prefix) and f in given]
+        raw = {f"_{f}": text(f, n) for f, n in (("name", 200), ("city", 100), ("state", 100), ("country", 100), ("location", 300), ("industry", 200))}
+        raw |= {"_page": made("linkedin_url", clean_url), "_web": website_parts(made("website", clean_url)) if has("website") else F.lit(None), "_host": made("domain", clean_domain), "_about": text("description", 1500), "_employees": made("employees", to_int, "int").cast("int")}
+        words = F.slice(F.filter(once(F.col("_parts")), lambda x: ~is_blank(x)), 1, 100)
+        raw |= {"_keywords": words if any(record.find(p) is not None for p in self.fields.get("keywords", ())) else F.col("_parts"), "_data": text_map(own_extras("data."))}
+        main = self.contact(val, own_extras("person_data."), given)
+        raw |= {"_people": F.col("_team") if main is None else F.concat(F.filter(F.array(main), lambda c: c.isNotNull()), F.col("_team"))}
+        peopled = main is not None or (self.person_paths is not None and record.find(self.person_paths) is not None)
         needed = F.lit(True)
         for path in self.requires:
             needed = needed & (record.text([path]) != "")
         kind = F.btrim(F.regexp_replace(F.lower(val("signal_type")), "[^a-z0-9]+", "_"), F.lit("_"))
-        raw |= {"_needed": F.col("_needs"), "_title": clean_text(val("signal_title"), 300), "_type": F.when(kind == "", "custom").otherwise(kind), "_when": when(val("signal_date")), "_url": clean_url(val("signal_url"))}
-        raw |= {"_spot": clean_text(val("signal_location"), 200), "_text": clean_text(val("signal_description"), 1500), "_id": val("signal_id"), "_more": text_map(own_extras("signal_data."))}
-        raw |= {"_stage": stage_words(F.col("_round")), "_raised": parse_amount(val("funding_amount")), "_currency": first_of(val("funding_currency"), F.lit("$")), "_raised_text": val("funding_amount"), "_day": when(val("funding_date")), "_total": parse_amount(val("funding_total")), "_total_text": val("funding_total"), "_news": clean_url(val("funding_url"))}
+        raw |= {"_needed": F.col("_needs"), "_title": text("signal_title", 300), "_type": F.when(kind == "", "custom").otherwise(kind), "_when": made("signal_date", when, "date"), "_url": made("signal_url", clean_url)}
+        raw |= {"_spot": text("signal_location", 200), "_text": text("signal_description", 1500), "_id": val("signal_id"), "_more": text_map(own_extras("signal_data."))}
+        raw |= {"_stage": made("funding_stage", lambda _: stage_words(F.col("_round"))), "_raised": made("funding_amount", parse_amount, "double"), "_currency": first_of(val("funding_currency"), F.lit("$")) if has("funding_currency") else F.lit("$"), "_raised_text": val("funding_amount"), "_day": made("funding_date", when, "date"), "_total": made("funding_total", parse_amount, "double"), "_total_text": val("funding_total"), "_news": made("funding_url", clean_url)}
         kept = [F.col(f"`{c}`") for c in keep]
         # what templates and the default signal read from the record
         canon = {k: F.col(f"_{k}") for k in ("name", "city", "state", "country", "location")}
         used = {n: record.text([n]) for t in (self.title, *(str((self.default_signal or {}).get(k, "")) for k in ("title", "description"))) for _, n, _, _ in string.Formatter().parse(t) if n}
         seen = {n: f"_field{i}" for i, n in enumerate(used)}
-        first = {texts[n]: self.value(record, n) for n in texts} | {seen[n]: c for n, c in used.items()}
-        first |= {"_parts": record.parts(self.fields.get("keywords", ())), "_team": self.people_of(record), "_needs": needed, "_round": clean_text(self.value(record, "funding_stage"))}
+        first = {texts[n]: self.value(record, n) for n in texts if n in given} | {seen[n]: c for n, c in used.items()}
+        first |= {"_parts": record.parts(self.fields.get("keywords", ())), "_team": self.people_of(record), "_needs": needed, "_round": clean_text(self.value(record, "funding_stage")) if has("funding_stage") else F.lit("")}
         rows = df.select(*kept, *(c.alias(n) for n, c in first.items()))
         rows = rows.select(*kept, *seen.values(), *(c.alias(n) for n, c in raw.items()))
         fields = Record({n: Value(F.col(c), T.StringType()) for n, c in seen.items()})
 
-        host = safe_host(F.col("_site"))
-        foreign, usable = F.coalesce(is_blocked_domain(host), F.lit(False)), clean_domain(F.col("_site")) != ""
-        rows = rows.withColumns({
-            "_page": F.when((F.col("_page") == "") & foreign & host.contains("linkedin.com"), F.col("_site")).otherwise(F.col("_page")),
-            "_listing": F.when(~foreign & ~usable & is_platform_url(F.col("_site")), F.col("_site")).otherwise(""),
-            "_own": F.when(usable & ~foreign, F.col("_site")).otherwise(""),
-            "_host": first_of(F.col("_host"), F.when(~foreign, clean_domain(F.col("_site"))).otherwise("")),
-            "_location": first_of(F.col("_location"), F.array_join(once(F.array("_city", "_state", "_country")), ", ")),
-        })
+        rows = rows.withColumns({"_own": F.lit(""), "_listing": F.lit("")})
+        if has("website"):
+            url, domain, foreign, shows = (F.col(f"_web.{c}") for c in ("url", "domain", "foreign", "shows"))
+            rows = rows.withColumns({
+                "_page": F.when((F.col("_page") == "") & foreign & F.col("_web.linkedin"), url).otherwise(F.col("_page")),
+                "_listing": F.when(~foreign & (domain == "") & shows, url).otherwise(""),
+                "_own": F.when(domain != "", url).otherwise(""),
+                "_host": first_of(F.col("_host"), domain),
+            })
+        if has("city", "state", "country"):
+            rows = rows.withColumn("_location", first_of(F.col("_location"), F.array_join(once(F.array("_city", "_state", "_country")), ", ")))
         # a host of people's addresses stands in if it may be the company's own
-        hosts = F.filter(F.transform("_people", lambda c: F.when((c["email"] != "") & ~is_free_email(c["email"]), clean_domain(c["email"])).otherwise("")), lambda h: h != "")
-        rows = rows.withColumn("_hosts", F.when(F.col("_host") == "", hosts).otherwise(F.array().cast("array<string>")))
-        fits = F.filter("_hosts", lambda h: (F.col("_name") == "") | domain_matches_name(h, F.col("_name")))
-        rows = rows.withColumns({"_host": first_of(F.col("_host"), F.get(fits, F.lit(0))), "_other": F.when(F.size(fits) == 0, no(F.get("_hosts", F.lit(0)))).otherwise("")})
-        rows = rows.where("_name <> '' OR _host <> ''").withColumn("_name", first_of(F.col("_name"), F.col("_host")))
+        if peopled:
+            hosts = F.filter(F.transform("_people", lambda c: F.when((c["email"] != "") & ~is_free_email(c["email"]), clean_domain(c["email"])).otherwise("")), lambda h: h != "")
+            rows = rows.withColumn("_hosts", F.when(F.col("_host") == "", hosts).otherwise(F.array().cast("array<string>")))
+            fits = F.filter("_hosts", lambda h: (F.col("_name") == "") | domain_matches_name(h, F.col("_name")))
+            rows = rows.withColumns({"_host": first_of(F.col("_host"), F.get(fits, F.lit(0))), "_other": F.when(F.size(fits) == 0, no(F.get("_hosts", F.lit(0)))).otherwise("")})
+        rows = rows.where("_name <> '' OR _host <> ''").withColumn("_name", F.when(F.col("_name") != "", F.col("_name")).otherwise(F.col("_host")))
         canon["domain"] = F.col("_host")
 
         title = first_of(F.col("_title"), clean_text(template(self.title, fields, canon), 300) if self.title else F.lit(""))
         signal = F.struct(F.col("_type").alias("type"), title.alias("title"), F.lit(self.label).alias("source"), F.col("_when").alias("posted_at"), F.col("_url").alias("url"), F.col("_spot").alias("location"), F.col("_text").alias("description"), F.col("_id").alias("external_id"), F.col("_more").alias("data"))
         own = F.when(F.col("_needed") & (title != ""), signal).cast(SIGNAL_TYPE)
         rows = rows.withColumn("_own_signal", own)
-        signals = F.array("_own_signal", F.when(F.col("_own_signal").isNull(), self.stand_in(fields, canon, when)).cast(SIGNAL_TYPE), self.funding().cast(SIGNAL_TYPE))
-        location = F.when(F.lit(self.location_from_signal) & (F.col("_location") == ""), no(F.col("_own_signal.location"))).otherwise(F.col("_location"))
-        more = text_map([("listing_url", F.col("_listing")), ("email_domain", F.col("_other")), ("city", F.col("_city")), ("state", F.col("_state"))])
-        data = F.map_concat("_data", F.map_filter(more, lambda k, v: ~F.map_contains_key("_data", k)))
+        signals = ["_own_signal"]
+        if self.default_signal is not None:
+            signals.append(F.when(F.col("_own_signal").isNull(), self.stand_in(fields, canon, when)).cast(SIGNAL_TYPE))
+        if has("funding_stage", "funding_amount", "funding_date"):
+            signals.append(self.funding().cast(SIGNAL_TYPE))
+        location = F.col("_location")
+        if self.location_from_signal and has("signal_location"):
+            location = F.when(location == "", no(F.col("_own_signal.location"))).otherwise(location)
+        more = [(k, F.col(f"_{c}")) for k, c, there in (("listing_url", "listing", has("website")), ("email_domain", "other", peopled), ("city", "city", has("city")), ("state", "state", has("state"))) if there]
+        data = F.map_concat("_data", F.map_filter(text_map(more), lambda k, v: ~F.map_contains_key("_data", k))) if more else F.col("_data")
         return rows.select(
             *kept, F.col("_name").alias("name"), F.col("_host").alias("domain"), F.col("_own").alias("website"), F.col("_page").alias("linkedin_url"), location.alias("location"), F.col("_country").alias("country"), F.col("_industry").alias("industry"),
             F.col("_employees").alias("employees"), F.col("_about").alias("description"), F.col("_keywords").alias("keywords"), data.alias("data"),
-            ordered_once(F.filter(signals, lambda s: s.isNotNull()), signal_key).alias("signals"), ordered_once(F.col("_people"), contact_key).alias("contacts"),
+            ordered_once(F.filter(F.array(*signals), lambda s: s.isNotNull()), signal_key).alias("signals"), (ordered_once(F.col("_people"), contact_key) if peopled else F.col("_people")).alias("contacts"),
         )
 
     def stand_in(self, record: Record, canon: Mapping[str, Column], when) -> Column:
