@@ -638,6 +638,21 @@ def test_near_copies_of_a_large_family_make_no_table_of_pairs(spark, monkeypatch
     assert made and max(n for label, n in made.items() if label.endswith(("pairs", "links"))) <= 10 * len(texts)
 
 
+def test_near_copies_take_what_simhash_links_and_is_alike(spark):
+    r, many = random.Random(18), []
+    for family in range(16):
+        words = [f"v{r.randrange(5000)}" for _ in range(2000)]
+        other = list(words)
+        other[r.randrange(2000)] = "new"
+        many += [" ".join(words), " ".join(other)]
+    many += ["few words here", "", None]
+    near = [f for f in range(16) if (simhash.fingerprint(many[2 * f]) ^ simhash.fingerprint(many[2 * f + 1])).bit_count() <= 3]
+    # one band of 256 min-hashes misses most of these pairs
+    got = dict(nearcopies.near_copies(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string"), bands=1, rows=256).collect())
+    assert len(near) >= 8 and all(got[2 * f + 1] == 2 * f for f in near)
+    assert all(root in (doc, doc - doc % 2) for doc, root in got.items() if doc < 32) and [got[k] for k in (32, 33, 34)] == [32, 33, 33]
+
+
 def test_texts_of_a_band_meet_like_brute_force():
     g = np.random.default_rng(16)
     sets = [np.unique(np.concatenate([np.arange(100)[g.random(100) < 0.93], g.integers(1000, 2**60, 5)])).astype(np.uint64) for _ in range(80)]
