@@ -229,19 +229,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int
 _SCORERS: dict[str, Scorer] = {}
 
 
-def _scorer(name: str, sent) -> Scorer:
+def _scorer(name: str, sent, kept: int) -> Scorer:
     """One for all tasks of a Python worker that use this model."""
     if name not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[name] = Scorer(*sent.value)
+        _SCORERS[name] = Scorer(*sent.value, kept)
     return _SCORERS[name]
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", kept: int = 600_000) -> DataFrame:
     """docs with a score from 0 to 1 for each row; null, empty and blank texts get the prior share of label 1.
 
     Whole texts are read in one pass without a shuffle; the model's size is fixed by its number of buckets. Any other
-    column of docs stays as it is.
+    column of docs stays as it is. A Python worker holds the values of `kept` words at most, for as long as it lives; those
+    of others are computed again.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.effect, model.offset, model.passage, model.prior))
 
@@ -249,7 +250,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = _scorer(name, sent)
+        scorer = _scorer(name, sent, kept)
         for b in batches:
             yield pd.Series(scorer.scores(b.tolist()), dtype="float64")
 
